@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from foliant.llm import substring_dedup
+from foliant.llm import decontaminate, hilbert, nearest, substring_dedup, url_filter
 
 QUERIES = {
+    "op2_benchmark_decontamination": decontaminate.query,
     "op3_substring_dedup": substring_dedup.query,
+    "op4_url_filters": url_filter.query,
+    "op7_hilbert_sharding": hilbert.query,
+    "op9_nearest_neighbours": nearest.query,
 }
 
 ORACLES = {
+    "op2_benchmark_decontamination": decontaminate.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
+    "op4_url_filters": url_filter.ORACLE,
+    "op9_nearest_neighbours": nearest.ORACLE,
 }
