@@ -137,3 +137,34 @@ def covered(n: int, at: np.ndarray, width: int | np.ndarray) -> np.ndarray:
     np.add.at(step, at, 1)
     np.add.at(step, at + width, -1)
     return np.cumsum(step[:n]) > 0
+
+
+def parity_bits(values: np.ndarray, first: np.ndarray, words: int) -> np.ndarray:
+    """Odd sketches: for each run first[i]:first[i+1] of hashes a bitmap of 64 * words bits, in which bit b tells
+    whether an odd number of values falls on b. The bits in which two sketches differ are at most as many as
+    the values in just one of the runs."""
+    n, size = len(first) - 1, 64 * words
+    at = (values % np.uint64(size)).astype(np.int64) + np.repeat(np.arange(n), np.diff(first)) * size
+    odd = (np.bincount(at, minlength=n * size) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, size), axis=1, bitorder="little").view("<u8").reshape(n, words)
+
+
+def candidates(y: dict, x: dict, k: int | None, fits, block: int = 1 << 20):
+    """For each row of y at most k rows of x, those with the nearest sketches first, among pairs for which
+    fits(rows of y as a column, x) holds. Yields index pairs and, for each row of y, whether it had more."""
+    step = max(1, block // max(1, len(x["sketch"])))
+    for lo in range(0, len(y["sketch"]), step):
+        own = {n: v[lo : lo + step] for n, v in y.items()}
+        apart = np.zeros((len(own["sketch"]), len(x["sketch"])), np.int32)
+        for w in range(own["sketch"].shape[1]):
+            apart += np.bitwise_count(own["sketch"][:, w, None] ^ x["sketch"][None, :, w])
+        ok = fits({n: v[:, None] for n, v in own.items() if n != "sketch"}, x, apart)
+        many = ok.sum(1) > k if k is not None else np.zeros(len(ok), bool)
+        if many.any():
+            rank = np.where(ok[many], apart[many], 1 << 20)
+            best = np.argpartition(rank, k - 1, axis=1)[:, :k]
+            few = np.zeros_like(rank, bool)
+            np.put_along_axis(few, best, True, 1)
+            ok[many] &= few
+        rows, cols = np.nonzero(ok)
+        yield rows + lo, cols, many[rows]

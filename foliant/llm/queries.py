@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontaminate, hilbert, nearest, substring_dedup, url_filter
+from foliant.llm import decontaminate, hilbert, near_dedup, nearest, substring_dedup, url_filter
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_url_filters": url_filter.query,
     "op7_hilbert_sharding": hilbert.query,
     "op9_nearest_neighbours": nearest.query,
+    "op10_minhash_near_dedup": near_dedup.query,
 }
 
 ORACLES = {
@@ -17,4 +18,5 @@ ORACLES = {
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_url_filters": url_filter.ORACLE,
     "op9_nearest_neighbours": nearest.ORACLE,
+    "op10_minhash_near_dedup": near_dedup.ORACLE,
 }
