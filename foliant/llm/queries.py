@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontaminate, hilbert, near_dedup, nearest, substring_dedup, url_filter
+from foliant.llm import decontaminate, hilbert, line_dedup, near_dedup, nearest, pieces, substring_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity_chain": toxicity.query,
     "op2_benchmark_decontamination": decontaminate.query,
     "op3_substring_dedup": substring_dedup.query,
     "op4_url_filters": url_filter.query,
+    "op5_line_dedup": line_dedup.query,
     "op7_hilbert_sharding": hilbert.query,
+    "op8_sentencepiece": pieces.query,
     "op9_nearest_neighbours": nearest.query,
     "op10_minhash_near_dedup": near_dedup.query,
 }
