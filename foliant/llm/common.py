@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,3 +55,8 @@ def dealt(df: DataFrame, n: int, *cols) -> DataFrame:
 def as_bytes(name: str = "text"):
     """The column as UTF-8 bytes: what Python gets without decoding."""
     return F.col(name).cast("binary").alias(name)
+
+
+def extended(schema: T.StructType, ddl: str) -> T.StructType:
+    """The schema with further columns."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import kernels as K
-from foliant.llm.common import forget, saved, table
+from foliant.llm.common import extended, forget, saved, table
 from foliant.llm.near_dedup import few
 
 #: Similarity as a fraction: 4 / 5.
@@ -256,8 +256,7 @@ def _joined(docs: DataFrame) -> DataFrame:
     by_doc = saved(gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("line").alias("_gone")), "line-removals")
     keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63))))
     out = keyed.join(F.broadcast(by_doc) if few(by_doc) else by_doc, "_id", "left")
-    shape = out.schema.add("_n_lines", "long")
-    return out.mapInArrow(_cut, shape)
+    return out.mapInArrow(_cut, extended(out.schema, "_n_lines long"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

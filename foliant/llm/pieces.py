@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import kernels as K
-from foliant.llm.common import table
+from foliant.llm.common import extended, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -308,9 +308,7 @@ def with_ids(docs: DataFrame, model_path: str = MODEL, decode: bool = True, keep
     with open(model_path, "rb") as f:  # installed on the driver; 0.5 MB
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     keep = docs.columns if keep is None else keep
-    shape = docs.select(*keep).schema
-    for name, kind in (("ids", "array<int>"), ("n_ids", "long"), *([("round_trip", "boolean")] if decode else [])):
-        shape = shape.add(name, kind)
+    shape = extended(docs.select(*keep).schema, "ids array<int>, n_ids long" + ", round_trip boolean" * decode)
     return docs.mapInArrow(_encode(model, keep, decode), shape)
 
 
@@ -328,8 +326,7 @@ def decoded(rows: DataFrame, model_path: str = MODEL) -> DataFrame:
     """rows with decoded: the text of their ids."""
     with open(model_path, "rb") as f:
         model = rows.sparkSession.sparkContext.broadcast(f.read())
-    shape = rows.select("*").schema.add("decoded", "string")
-    return rows.mapInArrow(_decode(model), shape)
+    return rows.mapInArrow(_decode(model), extended(rows.schema, "decoded string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontaminate, hilbert, line_dedup, near_dedup, nearest, pieces, substring_dedup, toxicity, url_filter
+from foliant.llm import decontaminate, hilbert, line_dedup, near_dedup, nearest, pieces, substring_dedup, surrogates, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity_chain": toxicity.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.query,
     "op4_url_filters": url_filter.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_pii_surrogates": surrogates.query,
     "op7_hilbert_sharding": hilbert.query,
     "op8_sentencepiece": pieces.query,
     "op9_nearest_neighbours": nearest.query,

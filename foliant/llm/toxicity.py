@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import kernels as K
-from foliant.llm.common import table
+from foliant.llm.common import extended, table
 
 PER_CLASS = 4000
 FEATURES = 256
@@ -207,9 +207,7 @@ def _score(chain):
 def scored(docs: DataFrame, chain: Chain) -> DataFrame:
     """docs with a column p_<category> for each category."""
     model = docs.sparkSession.sparkContext.broadcast(chain)
-    shape = docs.schema
-    for n in chain.names:
-        shape = type(shape)(shape.fields).add(f"p_{n}", "double")
+    shape = extended(docs.schema, ", ".join(f"p_{n} double" for n in chain.names))
     return docs.withColumn("_text", F.col("text").cast("binary")).mapInArrow(_score(model), shape)
 
 
