@@ -69,6 +69,7 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    _sums: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.start)
@@ -80,16 +81,18 @@ class Words:
     def text(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, cut: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; of its first `cut` bytes at most, if given."""
         n = len(self.buf)
         if not len(self.start):
             return np.zeros(0, _U)
         p, q = _powers(0x9E3779B97F4A7C15 | 5, n + 1)
-        h = np.zeros(n + 1, _U)
-        np.cumsum(_byte_values(seed)[self.buf] * p[:n], out=h[1:])
-        out = (h[self.end] - h[self.start]) * q[self.start]
-        return mix(out + (self.end - self.start).astype(_U) * _U(0xD6E8FEB86659FD93))
+        if self._sums is None:
+            self._sums = np.zeros(n + 1, _U)
+            np.cumsum(_byte_values(0)[self.buf] * p[:n], out=self._sums[1:])
+        h, end = self._sums, self.end if cut is None else np.minimum(self.end, self.start + cut)
+        out = (h[end] - h[self.start]) * q[self.start]
+        return mix(out + (end - self.start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
 def split(texts: list[bytes | None], ends_word: np.ndarray, lower: bool = False) -> Words:
