@@ -27,7 +27,6 @@ from foliant.llm.common import saved, table
 
 NGRAM = 10
 SLICE_BYTES = 16 << 20
-GROUP_BYTES = 4 << 20
 
 
 def _index(items: list[tuple], n: int) -> dict[int, tuple[np.ndarray, dict]]:
@@ -64,18 +63,6 @@ def _hits(texts: list[bytes | None], index: dict) -> tuple[K.Words, np.ndarray,
     return words, hit, items
 
 
-def _groups(texts: list) -> Iterator[tuple[int, int]]:
-    """Runs of a batch with bounded bytes (one text at least)."""
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= GROUP_BYTES:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def _scan(index, last: bool):
     """One pass: adds the slice's hits to the columns _hit (a bit for each word) and _items."""
 
@@ -85,7 +72,7 @@ def _scan(index, last: bool):
             texts = batch.column("_bytes").to_pylist()
             before, listed = batch.column("_hit").to_pylist(), batch.column("_items").to_pylist()
             masks, items = [], []
-            for lo, hi in _groups(texts):
+            for lo, hi in K.groups(texts):
                 words, hit, found = _hits(texts[lo:hi], known)
                 for i in range(hi - lo):
                     bits = np.packbits(hit[words.first[i] : words.first[i + 1]])
@@ -118,7 +105,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, slice_bytes: i
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, masks, items = (batch.column(c).to_pylist() for c in ("_bytes", "_hit", "_items"))
-        counts = np.concatenate([np.diff(K.split(texts[lo:hi], K.ALNUM, lower=True).first) for lo, hi in _groups(texts)] or [np.zeros(0, np.int64)])
+        counts = np.concatenate([np.diff(K.split(texts[lo:hi], K.ALNUM, lower=True).first) for lo, hi in K.groups(texts)] or [np.zeros(0, np.int64)])
         hits = [int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) for m in masks]
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"), "n_words": pa.array(counts.astype(np.int64)), "n_hit": pa.array(hits, pa.int64()),

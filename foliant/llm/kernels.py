@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,8 @@ ALNUM[0x80:] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_CHUNK = 1 << 14
+#: Bytes of text that a kernel takes at once; its arrays need some 60 times as much.
+GROUP_BYTES = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,26 +41,35 @@ def _byte_values(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed))
 
 
-@functools.lru_cache(16)
+_grown: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, rounded up so that few lengths are cached."""
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.ones(n, _U)
-        filled = 1
-        while filled < n:
-            step = min(filled, n - filled)
-            p[filled : filled + step] = p[:step] * _U(pow(b, filled, 1 << 64))
-            filled += step
-        p.flags.writeable = False
-        out.append(p)
-    return out[0], out[1]
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    return powers(base, size)
+    """base**i and base**-i modulo 2**64 for i < n at least. The longest so far is kept for each base."""
+    if base not in _grown or len(_grown[base][0]) < n:
+        size = 1 << max(16, int(n - 1).bit_length())
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.ones(size, _U)
+            filled = 1
+            while filled < size:
+                p[filled : 2 * filled] = p[:filled] * _U(pow(b, filled, 1 << 64))
+                filled *= 2
+            out.append(p)
+        _grown[base] = (out[0], out[1])
+    return _grown[base]
+
+
+def groups(texts: list, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about `limit` bytes, one text at least: what the kernels take at once."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= limit:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
 
 
 @dataclass
@@ -86,7 +97,7 @@ class Words:
         n = len(self.buf)
         if not len(self.start):
             return np.zeros(0, _U)
-        p, q = _powers(0x9E3779B97F4A7C15 | 5, n + 1)
+        p, q = powers(0x9E3779B97F4A7C15 | 5, n + 1)
         if self._sums is None:
             self._sums = np.zeros(n + 1, _U)
             np.cumsum(_byte_values(0)[self.buf] * p[:n], out=self._sums[1:])
@@ -119,7 +130,7 @@ def windows(values: np.ndarray, first: np.ndarray, width: int, base: int = 0xC2B
     n = len(values)
     if n < width:
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    p, q = _powers(base, n + 1)
+    p, q = powers(base, n + 1)
     h = np.zeros(n + 1, _U)
     np.cumsum(values * p[:n], out=h[1:])
     ok = np.zeros(n + 1, bool)

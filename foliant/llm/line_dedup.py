@@ -38,22 +38,10 @@ NUM, DEN = 4, 5
 SLOTS = 1 << 22
 BLOCKS = 64
 SKETCH_WORDS = 2
-GROUP_BYTES = 4 << 20
 SALT_ROWS = 4096
 ROUNDS = (4, 64, 1024, None)
 
 
-def _groups(texts: list) -> Iterator[tuple[int, int]]:
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= GROUP_BYTES:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(42)).astype(np.int64)
 
@@ -62,7 +50,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SLOTS, np.uint32)
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for lo, hi in _groups(texts):
+        for lo, hi in K.groups(texts):
             slots, n = np.unique(_slot(K.split(texts[lo:hi], K.SPACE, lower=True).hashes()), return_counts=True)
             total[slots] += n.astype(np.uint32)
     blobs = [zstandard.compress(b.tobytes(), 1) for b in total.reshape(BLOCKS, -1)]
@@ -120,7 +108,7 @@ def _describe(levels):
         known = levels.value
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            for lo, hi in _groups(texts):
+            for lo, hi in K.groups(texts):
                 x = _Lines(texts[lo:hi], known)
                 if not len(x.line):
                     continue
@@ -171,7 +159,7 @@ def _line_sets(levels):
         known = levels.value
         for batch in batches:
             texts, ids, lines = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("lines").to_pylist()
-            for lo, hi in _groups(texts):
+            for lo, hi in K.groups(texts):
                 x = _Lines(texts[lo:hi], known)
                 wanted = [set(own) for own in lines[lo:hi]]
                 keep = [i for i, (d, n) in enumerate(zip(x.doc.tolist(), x.number.tolist(), strict=True)) if n in wanted[d]]

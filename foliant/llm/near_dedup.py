@@ -35,7 +35,6 @@ SHINGLE = 5
 PERCENT = 85
 ROWS, BANDS = 4, 20
 SKETCH_WORDS = 4
-GROUP_BYTES = 4 << 20
 BROADCAST_ROWS = 500_000
 SALT_ROWS = 4096
 ROUNDS = (4, 32, 256, 4096, None)
@@ -65,21 +64,10 @@ def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*sets, hashes[:0]]), first
 
 
-def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    lo, total = 0, 0
-    for i, n in enumerate(sizes):
-        total += n
-        if total >= GROUP_BYTES:
-            yield lo, i + 1
-            lo, total = i + 1, 0
-    if lo < len(sizes):
-        yield lo, len(sizes)
-
-
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for lo, hi in _groups([len(t or b"") for t in texts]):
+        for lo, hi in K.groups(texts):
             values, first = shingle_sets(texts[lo:hi])
             sizes = np.diff(first)
             full = np.flatnonzero(sizes)
@@ -110,7 +98,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for lo, hi in _groups([len(t or b"") for t in texts]):
+        for lo, hi in K.groups(texts):
             values, first = shingle_sets(texts[lo:hi])
             sets = [values[first[i] : first[i + 1]].tobytes() for i in range(hi - lo)]
             yield pa.RecordBatch.from_pydict({"node": batch.column("doc_id").slice(lo, hi - lo), "shingles": pa.array(sets, pa.binary())})

@@ -38,7 +38,6 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 CACHE = 200_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-GROUP_BYTES = 4 << 20
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -251,7 +250,7 @@ class Transducer:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return K._powers(0x9E3779B97F4A7C15 | 5, n + 1)
+    return K.powers(0x9E3779B97F4A7C15 | 5, n + 1)
 
 
 def _hash_text(text: str) -> np.uint64:
@@ -271,23 +270,12 @@ def _compile(model: bytes) -> Transducer:
     return _compiled[key]
 
 
-def _groups(texts: list) -> Iterator[tuple[int, int]]:
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= GROUP_BYTES:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def _encode(model, keep: list[str], decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = _compile(model.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for lo, hi in _groups(texts):
+            for lo, hi in K.groups(texts):
                 ids = fst.encode(texts[lo:hi])
                 flat = np.frombuffer(b"".join(x or b"" for x in ids), "<u2").astype(np.int32)
                 counts = np.array([0 if x is None else len(x) // 2 for x in ids])

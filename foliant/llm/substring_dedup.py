@@ -30,9 +30,9 @@ from foliant.llm import kernels as K
 from foliant.llm.common import as_bytes, input_bytes, table
 
 WIDTH = 20
-PAGE_BYTES = 4 << 20
+PAGE_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 _ID = np.dtype("<i8")
 
 

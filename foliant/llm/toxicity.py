@@ -33,18 +33,6 @@ FOLDS = 5
 PENALTY = 0.05
 THRESHOLD = 0.5
 STEMS = (4, 5, 6, 7)
-GROUP_BYTES = 4 << 20
-
-
-def _groups(texts: list) -> Iterator[tuple[int, int]]:
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= GROUP_BYTES:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = PENALTY, steps: int = 12) -> np.ndarray:
@@ -122,7 +110,7 @@ def presence(texts: list[bytes | None], known: np.ndarray) -> tuple[np.ndarray,
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for lo, hi in _groups(texts):
+        for lo, hi in K.groups(texts):
             words = K.split(texts[lo:hi], K.ALNUM, lower=True)
             own, h = (np.concatenate(x) for x in zip(*_features(words), strict=True))
             order = np.argsort(own, kind="stable")
@@ -207,7 +195,7 @@ def _score(chain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_text").to_pylist()
-            parts = [chain.value.scores(texts[lo:hi]) for lo, hi in _groups(texts)]
+            parts = [chain.value.scores(texts[lo:hi]) for lo, hi in K.groups(texts)]
             p = np.concatenate(parts) if parts else np.zeros((0, len(chain.value.names)))
             keep = [i for i, n in enumerate(batch.schema.names) if n != "_text"]
             out = batch.select(keep)
@@ -240,7 +228,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.encode("utf-8", "replace") if t is not None else None for t in batch.column("text").to_pylist()]
-            parts = [model.value.scores(texts[lo:hi])[:, -1] for lo, hi in _groups(texts)]
+            parts = [model.value.scores(texts[lo:hi])[:, -1] for lo, hi in K.groups(texts)]
             yield batch.filter(pa.array(np.concatenate([*parts, np.zeros(0)]) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
