@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,6 +53,17 @@ def dealt(df: DataFrame, n: int, *cols) -> DataFrame:
     return df.repartition(n, *cols)
 
 
+#: Rows of texts that Spark hands to Python at once; its default of 10,000 is too many for long texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Python get BATCH_ROWS rows at once at most. Has no bearing on results."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def as_bytes(name: str = "text"):
     """The column as UTF-8 bytes: what Python gets without decoding."""
     return F.col(name).cast("binary").alias(name)
