@@ -66,6 +66,7 @@ def _hits(texts: list[bytes | None], index: dict) -> tuple[K.Words, np.ndarray,
 def _scan(index, last: bool):
     """One pass: adds the slice's hits to the columns _hit (a bit for each word) and _items."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
         for batch in batches:
@@ -102,6 +103,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, slice_bytes: i
     return out
 
 
+@K.tidy
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, masks, items = (batch.column(c).to_pylist() for c in ("_bytes", "_hit", "_items"))
@@ -121,6 +123,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, slice_bytes: i
     return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
+@K.tidy
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 _U = np.uint64
 
@@ -23,7 +25,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 #: Bytes of text that a kernel takes at once; its arrays need some 60 times as much.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,6 +43,28 @@ def _byte_values(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Spark keeps Python workers alive between stages, several on an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(f):
+    """For generators over batches that Spark runs in Python workers: no freed memory is held afterwards."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
 _grown: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

@@ -7,8 +7,10 @@
 3. Every class is tied to the smallest of each bucket that it shares (a star: no pairs within a group).
 4. Ties that the sizes and sketches allow are confirmed on the full sets, and confirmed ones merged.
 5. Buckets that still hold several components are searched in rounds: each class outside the bucket's main
-   component takes its K nearest sketches in other components; confirmed ones merge. K grows until no class
-   has candidates left untested, so no link that shares a bucket is lost. Large buckets are salted.
+   component takes its K nearest classes in other components, confirmed ones merge. Here the odd sketches are
+   of the whole sets, two bits a shingle or more: at least as many shingles are in just one of two sets as bits
+   differ, so nothing is lost by them, and few pairs pass that are not linked. K grows until no class has
+   candidates left untested, so no link that shares a bucket is lost. Large buckets are salted.
 
 Bands: two documents at a similarity of 0.85 share no bucket with a probability of (1 - 0.85**4)**20 = 4e-7.
 The sketch's limit lets them pass unless 33 of their 80 minima or more differ (12 are expected).
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import kernels as K
-from foliant.llm.common import as_bytes, forget, saved, table
+from foliant.llm.common import as_bytes, dealt, forget, saved, table
 from foliant.llm.components import components
 
 SHINGLE = 5
@@ -64,6 +66,7 @@ def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*sets, hashes[:0]]), first
 
 
+@K.tidy
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -95,16 +98,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
+@K.tidy
 def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for lo, hi in K.groups(texts):
             values, first = shingle_sets(texts[lo:hi])
-            sets = [values[first[i] : first[i + 1]].tobytes() for i in range(hi - lo)]
-            yield pa.RecordBatch.from_pydict({"node": batch.column("doc_id").slice(lo, hi - lo), "shingles": pa.array(sets, pa.binary())})
+            sets = [values[first[i] : first[i + 1]] for i in range(hi - lo)]
+            parity = [K.parity_bits(K.mix(v), np.array([0, len(v)]), parity_words(len(v))).tobytes() for v in sets]
+            yield pa.RecordBatch.from_pydict({"node": batch.column("doc_id").slice(lo, hi - lo), "shingles": pa.array([v.tobytes() for v in sets], pa.binary()), "parity": pa.array(parity, pa.binary())})
 
 
 def _confirm(percent: int):
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -128,19 +134,46 @@ def _limit(percent: int) -> int:
     return int(expected + 3 * (size * 0.25) ** 0.5 / 2)
 
 
-def _pairs(k: int | None, percent: int, limit: int):
+def parity_words(n: int) -> int:
+    """Words of 64 bits in the sketch of a whole set of n shingles."""
+    return 1 << max(2, (2 * n - 1) // 64).bit_length()
+
+
+def _fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    while sketch.shape[1] > words:
+        sketch = sketch[:, : sketch.shape[1] // 2] ^ sketch[:, sketch.shape[1] // 2 :]
+    return sketch
+
+
+def _pairs(k: int | None, percent: int):
     def fits(y, x, apart):
         least, most = np.minimum(y["n"], x["n"]), np.maximum(y["n"], x["n"])
-        return (apart <= limit) & (y["component"] != x["component"]) & (100 * least >= percent * most)
+        return ((100 + percent) * apart.astype(np.int64) <= (100 - percent) * (y["n"] + x["n"])) & (y["component"] != x["component"]) & (100 * least >= percent * most)
 
     def run(rows: pa.Table) -> pa.Table:
+        K.trim()
         cols = {c: rows.column(c).to_numpy() for c in ("node", "n", "component")}
-        cols["sketch"] = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)
+        sketches = rows.column("parity").to_pylist()
+        words = np.array([len(s) // 8 for s in sketches])
         role = rows.column("asks").to_numpy()
-        y, x = ({c: v[role == r] for c, v in cols.items()} for r in (True, False))
-        out = [(y["node"][i], x["node"][j], more) for i, j, more in K.candidates(y, x, k, fits)]
-        a, b, more = (np.concatenate([o[c] for o in out]) if out else np.zeros(0, t) for c, t in ((0, np.int64), (1, np.int64), (2, bool)))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": more})
+        sides = {}
+        for asks in (True, False):
+            for w in np.unique(words[role == asks]).tolist():
+                own = np.flatnonzero((role == asks) & (words == w))
+                sides[asks, w] = {c: v[own] for c, v in cols.items()} | {"sketch": np.frombuffer(b"".join(sketches[i] for i in own), "<u8").reshape(-1, w)}
+        a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for (asks, wy), y in sides.items():
+            for wx in (wy // 2, wy, 2 * wy) if asks else ():
+                if (x := sides.get((False, wx))) is None:
+                    continue
+                w = min(wx, wy)
+                y2, x2 = y | {"sketch": _fold(y["sketch"], w)}, x | {"sketch": _fold(x["sketch"], w)}
+                for i, j, m in K.candidates(y2, x2, k, fits):
+                    a.append(y["node"][i])
+                    b.append(x["node"][j])
+                    more.append(m)
+        a, b, more = np.concatenate(a), np.concatenate(b), np.concatenate(more)
+        return pa.table({"y": a, "x": b, "more": more})
 
     return run
 
@@ -163,7 +196,7 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     wanted = saved(members.select("node").distinct(), "candidates")
     found = source.withColumnRenamed("doc_id", "node").join(F.broadcast(wanted) if few(wanted) else wanted, "node", "left_semi")
-    sets = saved(found.select(F.col("node").alias("doc_id"), "text").mapInArrow(_emit_sets, "node long, shingles binary"), "sets")
+    sets = saved(found.select(F.col("node").alias("doc_id"), "text").mapInArrow(_emit_sets, "node long, shingles binary, parity binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -177,30 +210,33 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     apart = sum((F.bit_count(F.conv(F.substring(F.hex("sketch"), 8 * i + 1, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(F.hex("s2"), 8 * i + 1, 8), 16, 10).cast("long"))) for i in range(8 * SKETCH_WORDS // 4)), F.lit(0))
     links = confirmed(near.where(apart <= limit).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     label = components(links)
+    shapes = sets.select("node", "parity").join(light.select("node", "n"), "node")
+    asking = None
     for k in ROUNDS:
-        now = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-        open_rows = saved(now.join(mixed, "band").select("band", "node", "n", "sketch", "component"), "open")
-        if open_rows.isEmpty():
-            forget(open_rows)
-            break
-        main = open_rows.groupBy("band", "component").count().groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("size"))
-        spread = open_rows.join(main, "band").withColumn("salts", F.ceil(F.col("size") / SALT_ROWS).cast("int"))
-        held = spread.withColumns({"salt": F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"), "asks": F.lit(False)})
-        ask = spread.where("component <> main").withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "asks": F.lit(True)})
-        cols = ["band", "salt", "asks", "node", "n", "sketch", "component"]
-        tried = held.select(cols).unionByName(ask.select(cols)).groupBy("band", "salt").applyInArrow(_pairs(k, percent, limit), "a long, b long, more boolean")
-        pairs = saved(tried.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
-        forget(open_rows)
-        state = pairs.agg(F.count("*"), F.max("more")).head()
-        if not state[0]:
-            break
-        new = confirmed(pairs.select("a", "b"))
+        held = members.select("band", "node")
+        if asking is not None:  # only those with candidates left untested ask again, in their buckets
+            held = held.join(held.join(F.broadcast(asking) if few(asking) else asking, "node", "left_semi").select("band").distinct(), "band", "left_semi")
+        known = shapes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        now = saved(held.join(known, "node"), "open")
+        mixed = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size")
+        main = now.groupBy("band", "component").count().groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+        spread = now.join(mixed.join(main, "band"), "band").withColumn("salts", F.ceil(F.col("size") / SALT_ROWS).cast("int"))
+        rows = spread.withColumns({"salt": F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"), "asks": F.lit(False)})
+        ask = spread.where("component <> main") if asking is None else spread.join(asking, "node", "left_semi")
+        ask = ask.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "asks": F.lit(True)})
+        cols = ["band", "salt", "asks", "node", "n", "component", "parity"]
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, but much to compare
+        tried = dealt(rows.select(cols).unionByName(ask.select(cols)), parts, "band", "salt").groupBy("band", "salt").applyInArrow(_pairs(k, percent), "y long, x long, more boolean")
+        pairs = saved(tried.groupBy("y", "x").agg(F.max("more").alias("more")), "pairs")
+        forget(now)
+        new = confirmed(pairs.select(F.least("y", "x").alias("a"), F.greatest("y", "x").alias("b")).distinct())
         own = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         other = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        joined = new.join(own, "a", "left").join(other, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(joined))
-        if not state[1]:
+        joined = saved(new.join(own, "a", "left").join(other, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "merges")
+        if not joined.isEmpty():
+            label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(joined))
+        asking = saved(pairs.where("more").select(F.col("y").alias("node")).distinct(), "asking")
+        if asking.isEmpty():
             break
     classed = nodes.select("k1", "k2", "n", "node").join(label, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("c"))
     # copies of one class may hold a third of all rows: those that are no smallest doc_id are a plain join, which Spark splits

@@ -271,6 +271,7 @@ def _compile(model: bytes) -> Transducer:
 
 
 def _encode(model, keep: list[str], decode: bool):
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = _compile(model.value)
         for batch in batches:
@@ -301,6 +302,7 @@ def with_ids(docs: DataFrame, model_path: str = MODEL, decode: bool = True, keep
 
 
 def _decode(model):
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = _compile(model.value)
         for batch in batches:

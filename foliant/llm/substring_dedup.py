@@ -71,6 +71,7 @@ def _unpack(blobs: list[bytes]) -> tuple[list[int | None], list[bytes | None]]:
 def _to_pages(cuts: list[int]):
     bounds = np.array(cuts, np.int64)
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
         size = 0
@@ -119,6 +120,7 @@ def _first_in_page(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _emit_windows(width: int, buckets: int, hash_bytes: int):
     def run(key: tuple[pa.Scalar, ...], pages: pa.Table) -> pa.Table:
+        K.trim()
         _, texts = _unpack(pages.column("docs").to_pylist())
         _, a, b, at = _page_windows(texts, width)
         keep = _first_in_page(a, b)
@@ -154,6 +156,7 @@ def unpack_offsets(blob: bytes) -> np.ndarray:
 
 def _find_repeats(hash_bytes: int):
     def run(rows: pa.Table) -> pa.Table:
+        K.trim()
         rows = rows.sort_by("page")
         pages = rows.column("page").to_pylist()
         blobs = rows.column("hashes").to_pylist()
@@ -179,6 +182,7 @@ def _find_repeats(hash_bytes: int):
 
 def _apply(width: int, with_text: bool):
     def run(pages: pa.Table, hits: pa.Table) -> pa.Table:
+        K.trim()
         ids, texts = _unpack(pages.column("docs").to_pylist())
         words, a, b, at = _page_windows(texts, width)
         gone_at = [unpack_offsets(x) for x in hits.column("hits").to_pylist()]

@@ -107,6 +107,7 @@ def presence(texts: list[bytes | None], known: np.ndarray) -> tuple[np.ndarray,
     return pairs // len(known), pairs % len(known)
 
 
+@K.tidy
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -192,6 +193,7 @@ def _fit_or_prior(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _score(chain):
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_text").to_pylist()
@@ -225,6 +227,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     chain = fit(docs, chained_labels(labels), NAMES)
     model = docs.sparkSession.sparkContext.broadcast(chain)
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.encode("utf-8", "replace") if t is not None else None for t in batch.column("text").to_pylist()]
