@@ -5,14 +5,14 @@ doc_id, or further up) has a Jaccard similarity of 0.8 or more with it; lines ar
 
 1. All words are counted in a count-min sketch of fixed size. Words are ordered by rarity: the logarithm of
    the sketched count, then the hash. Any order that all lines share gives exact results.
-2. Lines of equal sets are one class; its first line stands for it and the others go.
-3. Prefix filter: similar lines share a word among their rarest |x| - ceil(0.8 |x|) + 1. Words that the sketch
-   proves to occur once are left out. Each line sends its prefix words with size, position and an odd sketch of
-   its words to that word's bucket.
-4. In a bucket, an unresolved line takes at most K earlier lines that pass the length filter, the positional
-   filter and the sketch (words in just one of two lines are at least as many as differing bits): nearest first.
-5. Candidates are verified on their full sets. One verified earlier line is enough for a line to go; lines with
-   untested candidates are asked again with a larger K until none is left. Large buckets are salted.
+2. Prefix filter: similar lines share a word among their rarest |x| - ceil(0.8 |x|) + 1. Words that the sketch
+   proves to occur once are left out. For each prefix word a line sends its place, the line's size, key and odd
+   sketch, packed by chunks of text, to the word's bucket; equal lines of a chunk are sent once.
+3. In a bucket, of equal lines the later ones go. Pairs that share a word are compared in order of size, and pass
+   the length filter, the positional filter and the sketch: as many words at least are in just one of two lines
+   as bits differ. Each line keeps the NEAREST earlier lines for each of its prefix words.
+4. Candidates are verified on their full sets: first the nearest of each line, then the others. Lines that had
+   more candidates and found no match are asked again, with no limit, so nothing is lost to it.
 
 Cases: lines without words stay, as do null and empty texts. Repeated documents: the same doc_id and text twice
 are one document, and keep the same lines. A null doc_id comes first. Extra columns pass through deduplicated().
@@ -30,22 +30,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import kernels as K
-from foliant.llm.common import extended, forget, saved, table
+from foliant.llm.common import extended, input_bytes, saved, table
 from foliant.llm.near_dedup import few
 
 #: Similarity as a fraction: 4 / 5.
 NUM, DEN = 4, 5
 SLOTS = 1 << 22
 BLOCKS = 64
-SKETCH_WORDS = 2
-SALT_ROWS = 4096
-ROUNDS = (4, 64, 1024, None)
+CHUNK_BYTES = 12 << 20
+BUCKET_BYTES = 4 << 20
+NEAREST = 3
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(42)).astype(np.int64)
 
 
+@K.tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SLOTS, np.uint32)
     for batch in batches:
@@ -58,6 +59,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _add(rows: pa.Table) -> pa.Table:
+    K.trim()
     total = np.zeros(SLOTS // BLOCKS, np.uint64)
     for b in rows.column("counts").to_pylist():
         total += np.frombuffer(zstandard.decompress(b), np.uint32)
@@ -103,58 +105,205 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
     return size - -(-NUM * size // DEN) + 1
 
 
-def _describe(levels):
+def sketch_words(size: np.ndarray) -> np.ndarray:
+    """Words of 64 bits in the odd sketch of a line of so many words: a power of two, a bit for each word at least."""
+    return 1 << np.ceil(np.log2(np.maximum(size / 64, 1))).astype(np.int64)
+
+
+_COLUMNS = {"token": "<u8", "key": "<u8", "doc": "<i8", "line": "<i4", "size": "<i4", "place": "<i4", "flags": "<u1"}
+LEAD, ASKS = 1, 2
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Compressed, first bytes of all values first."""
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
+
+
+def _unplanes(blob: bytes, kind: str) -> np.ndarray:
+    kind = np.dtype(kind)
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+class _Chunk:
+    """What a chunk of text sends: columns by prefix word, and the lines' sketches."""
+
+    def __init__(self):
+        self.lines: list[dict] = []
+        self.size = 0
+
+    def add(self, texts: list[bytes | None], ids: np.ndarray, asks: list | None, levels: np.ndarray) -> None:
+        x = _Lines(texts, levels)
+        self.size += sum(len(t or b"") for t in texts)
+        if not len(x.line):
+            return
+        starts, want = x.first[:-1], prefix_length(x.size)
+        asked = np.zeros(len(x.line), bool)
+        if asks is not None:
+            wanted = [set(a or ()) for a in asks]
+            asked = np.array([n in wanted[d] for d, n in zip(x.doc.tolist(), x.number.tolist(), strict=True)], bool)
+        at = np.repeat(starts, want) + np.arange(want.sum()) - np.repeat(np.cumsum(want) - want, want)
+        owner = np.repeat(np.arange(len(want)), want)
+        useful = (x.token[at] >> np.uint64(59)) > 0  # others occur once
+        at, owner = at[useful], owner[useful]
+        words = sketch_words(x.size)
+        sketches = np.zeros(int(words.sum()), np.uint64)
+        begin = np.cumsum(words) - words
+        mixed = K.mix(x.token)
+        for w in np.unique(words).tolist():
+            rows = np.flatnonzero(words == w)
+            pick = np.repeat(starts[rows], x.size[rows]) + np.arange(x.size[rows].sum()) - np.repeat(np.cumsum(x.size[rows]) - x.size[rows], x.size[rows])
+            sketches[(begin[rows][:, None] + np.arange(w)).ravel()] = K.parity_bits(mixed[pick], np.r_[0, np.cumsum(x.size[rows])], w).ravel()
+        self.lines.append({
+            "doc": ids[x.doc], "line": x.number.astype("<i4"), "size": x.size.astype("<i4"), "key": np.add.reduceat(K.mix(~x.token), starts),
+            "asks": asked, "words": words, "sketches": sketches, "owner": owner, "token": x.token[at], "place": (at - starts[owner]).astype("<i4"),
+        })
+
+    def send(self, buckets: int) -> pa.RecordBatch | None:
+        parts, self.lines, self.size = self.lines, [], 0
+        if not parts:
+            return None
+        base = np.cumsum([0] + [len(p["doc"]) for p in parts])
+        line = {c: np.concatenate([p[c] for p in parts]) for c in ("doc", "line", "size", "key", "asks", "words", "sketches")}
+        owner = np.concatenate([p["owner"] + b for p, b in zip(parts, base, strict=False)])
+        token, place = (np.concatenate([p[c] for p in parts]) for c in ("token", "place"))
+        # of equal lines the first stands for the chunk; the others are told apart from it, but compared no further
+        order = np.lexsort((line["line"], line["doc"], line["size"], line["key"]))
+        again = np.zeros(len(order), bool)
+        again[order[1:]] = (line["key"][order[1:]] == line["key"][order[:-1]]) & (line["size"][order[1:]] == line["size"][order[:-1]])
+        lead = np.r_[True, owner[1:] != owner[:-1]] if len(owner) else np.zeros(0, bool)
+        # a later equal line goes in any case: it is sent to one bucket, to be reported
+        keep = ~again[owner] | lead
+        owner, token, place, lead = owner[keep], token[keep], place[keep], lead[keep]
+        flags = (lead * LEAD + line["asks"][owner] * ASKS).astype("<u1")
+        bucket = (K.mix(token) & np.uint64(buckets - 1)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.flatnonzero(np.diff(bucket[order])) + 1
+        begin = np.cumsum(line["words"]) - line["words"]
+        out: dict[str, list] = {"bucket": [], "blob": []}
+        for rows in np.split(order, cut) if len(order) else []:
+            own = owner[rows]
+            cols = {"token": token[rows], "key": line["key"][own], "doc": np.diff(line["doc"][own], prepend=0), "line": line["line"][own], "size": line["size"][own], "place": place[rows], "flags": flags[rows]}
+            w = line["words"][own]
+            pick = np.repeat(begin[own], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            blobs = [_planes(cols[c].astype(k)) for c, k in _COLUMNS.items()] + [_planes(line["sketches"][pick].astype("<u8"))]
+            out["bucket"].append(int(bucket[rows[0]]))
+            out["blob"].append(blobs)
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), "blob": pa.array(out["blob"], pa.list_(pa.binary()))})
+
+
+def _send(levels, buckets: int):
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = levels.value
+        chunk = _Chunk()
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
+            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_numpy()
+            asks = batch.column("lines").to_pylist() if "lines" in batch.schema.names else None
             for lo, hi in K.groups(texts):
-                x = _Lines(texts[lo:hi], known)
-                if not len(x.line):
-                    continue
-                starts = x.first[:-1]
-                sketch = K.parity_bits(K.mix(x.token), x.first, SKETCH_WORDS)
-                want = prefix_length(x.size)
-                at = np.repeat(starts, want) + np.arange(want.sum()) - np.repeat(np.cumsum(want) - want, want)
-                useful = (x.token[at] >> np.uint64(59)) > 0
-                owner = np.repeat(np.arange(len(want)), want)[useful]
-                offsets = np.searchsorted(owner, np.arange(len(want) + 1)).astype(np.int32)
-                tokens, place = x.token[at][useful].view(np.int64), (at - starts[np.repeat(np.arange(len(want)), want)])[useful].astype(np.int32)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": ids.slice(lo, hi - lo).take(pa.array(x.doc)), "line": pa.array(x.number, pa.int32()), "size": pa.array(x.size, pa.int32()),
-                    "k1": pa.array(np.add.reduceat(K.mix(x.token), starts).view(np.int64)), "k2": pa.array(np.add.reduceat(K.mix(~x.token), starts).view(np.int64)),
-                    "sketch": pa.array([s.tobytes() for s in sketch], pa.binary()),
-                    "tokens": pa.ListArray.from_arrays(offsets, tokens), "places": pa.ListArray.from_arrays(offsets, place),
-                })
+                chunk.add(texts[lo:hi], ids[lo:hi], asks and asks[lo:hi], levels.value)
+                if chunk.size >= CHUNK_BYTES and (out := chunk.send(buckets)):
+                    yield out
+        if out := chunk.send(buckets):
+            yield out
 
     return run
 
 
-def _pairs(k: int | None):
-    def fits(y, x, apart):
-        total = y["size"] + x["size"]
-        need = -(-NUM * total // (NUM + DEN))  # words in common that the similarity asks for
-        room = np.minimum(y["size"] - y["place"], x["size"] - x["place"])  # as if this were their first common word
-        return (x["rank"] < y["rank"]) & (DEN * np.minimum(y["size"], x["size"]) >= NUM * np.maximum(y["size"], x["size"])) & (room >= need) & ((NUM + DEN) * apart <= (DEN - NUM) * total)
+def _match(k: int | None):
+    """Compares the lines of a bucket. k None: for lines that ask, all candidates."""
 
     def run(rows: pa.Table) -> pa.Table:
-        cols = {c: rows.column(c).to_numpy() for c in ("doc_id", "line", "size", "place")}
-        order = np.lexsort((cols["line"], cols["doc_id"]))
-        new = np.ones(len(order), bool)
-        new[1:] = (cols["doc_id"][order][1:] != cols["doc_id"][order][:-1]) | (cols["line"][order][1:] != cols["line"][order][:-1])
-        cols["rank"] = np.zeros(len(order), np.int64)
-        cols["rank"][order] = np.cumsum(new)
-        cols["sketch"] = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)
-        role = rows.column("asks").to_numpy()
-        y, x = ({c: v[role == r] for c, v in cols.items()} for r in (True, False))
-        out = [(y["doc_id"][i], y["line"][i], x["doc_id"][j], x["line"][j], more) for i, j, more in K.candidates(y, x, k, fits)]
-        kinds = {"doc_id": np.int64, "line": np.int32, "x_doc": np.int64, "x_line": np.int32, "more": bool}
-        return pa.table({n: np.concatenate([np.zeros(0, t), *(o[c] for o in out)]).astype(t) for c, (n, t) in enumerate(kinds.items())})
+        K.trim()
+        cols: dict[str, list] = {c: [] for c in (*_COLUMNS, "sketch")}
+        for blobs in rows.column("blob").to_pylist():
+            for (c, kind), blob in zip((*_COLUMNS.items(), ("sketch", "<u8")), blobs, strict=True):
+                cols[c].append(_unplanes(blob, kind))
+            cols["doc"][-1] = np.cumsum(cols["doc"][-1])
+        c = {n: np.concatenate(v) for n, v in cols.items()}
+        sketch = c.pop("sketch")
+        words = sketch_words(c["size"])
+        c["own"], c["words"] = np.cumsum(words) - words, words
+        # equal lines
+        order = np.lexsort((c["line"], c["doc"], c["size"], c["key"], c["token"]))
+        same = np.zeros(len(order), bool)
+        same[1:] = np.logical_and.reduce([c[n][order[1:]] == c[n][order[:-1]] for n in ("token", "key", "size")])
+        gone = order[same & ((c["flags"][order] & LEAD) > 0)] if k is not None else order[:0]
+        hits = c["doc"][gone], c["line"][gone]
+        keep = order[~same]
+        keep = keep[np.lexsort((c["size"][keep], c["token"][keep]))]
+        c = {n: v[keep] for n, v in c.items()}
+        n = len(keep)
+        rank = np.empty(n, np.int64)
+        by_place = np.lexsort((c["line"], c["doc"]))
+        rank[by_place] = np.cumsum(np.r_[0, (c["doc"][by_place][1:] != c["doc"][by_place][:-1]) | (c["line"][by_place][1:] != c["line"][by_place][:-1])]) if n else 0
+        # sketches of half the width, to compare lines that need different widths
+        wide = np.flatnonzero(c["words"] > 1)
+        half_words = c["words"][wide] // 2
+        pick = np.repeat(c["own"][wide], half_words) + np.arange(half_words.sum()) - np.repeat(np.cumsum(half_words) - half_words, half_words)
+        half = sketch[pick] ^ sketch[pick + np.repeat(half_words, half_words)]
+        c["half"] = np.zeros(n, np.int64)
+        c["half"][wide] = len(sketch) + np.cumsum(half_words) - half_words
+        sketch = np.concatenate([sketch, half])
+        asks = (c["flags"] & ASKS) > 0
+        width = k or 1
+        near, who, more = np.full((n, width), 1 << 30, np.int64), np.full((n, width), -1, np.int64), np.zeros(n, bool)
+        every: list[tuple] = []
+
+        def offer(y, x, apart):
+            if k is None:
+                every.append((y[asks[y]], x[asks[y]], apart[asks[y]]))
+                return
+            more[y[who[y, -1] >= 0]] = True
+            better = apart < near[y, -1]
+            y, x, apart = y[better], x[better], apart[better]
+            near[y, -1], who[y, -1] = apart, x
+            order = np.argsort(near[y], axis=1, kind="stable")
+            near[y], who[y] = np.take_along_axis(near[y], order, 1), np.take_along_axis(who[y], order, 1)
+
+        i, step = np.arange(n), 0
+        while len(i):
+            step += 1
+            i = i[i + step < n]
+            j = i + step
+            # rows of a word come by size: once the partner is too long, so are all that follow
+            fits = (c["token"][i] == c["token"][j]) & (DEN * c["size"][i] >= NUM * c["size"][j])
+            i, j = i[fits], j[fits]
+            total = c["size"][i] + c["size"][j]
+            room = np.minimum(c["size"][i] - c["place"][i], c["size"][j] - c["place"][j])  # as if this were their first common word
+            ok = (NUM + DEN) * room >= NUM * total
+            a, b, total = i[ok], j[ok], total[ok]
+            least = np.minimum(c["words"][a], c["words"][b])
+            at_a = np.where(c["words"][a] == least, c["own"][a], c["half"][a])
+            at_b = np.where(c["words"][b] == least, c["own"][b], c["half"][b])
+            apart = np.bitwise_count(sketch[at_a] ^ sketch[at_b]).astype(np.int64)
+            for t in range(1, int(least.max()) if len(least) else 0):
+                has = np.flatnonzero(least > t)
+                apart[has] += np.bitwise_count(sketch[at_a[has] + t] ^ sketch[at_b[has] + t])
+            ok = ((NUM + DEN) * apart <= (DEN - NUM) * total) & (rank[a] != rank[b])
+            a, b, apart = a[ok], b[ok], apart[ok]
+            later = rank[a] > rank[b]
+            offer(a[later], b[later], apart[later])
+            offer(b[~later], a[~later], apart[~later])
+        if k is None:
+            y, x, apart = (np.concatenate([np.zeros(0, np.int64), *(e[m] for e in every)]) for m in range(3))
+        else:
+            y, slot = np.nonzero(who >= 0)
+            x, apart = who[y, slot], near[y, slot]
+        # one row for each pair of lines in this bucket
+        _, once = np.unique(rank[y] * max(n, 1) + rank[x], return_index=True)
+        y, x, apart, flag = y[once], x[once], apart[once], more[y[once]]
+        none = np.zeros(len(gone), np.int64)
+        return pa.table({
+            "doc_id": np.r_[c["doc"][y], hits[0]], "line": np.r_[c["line"][y], hits[1]].astype(np.int32), "x_doc": np.r_[c["doc"][x], none],
+            "x_line": np.r_[c["line"][x], none].astype(np.int32), "apart": np.r_[apart, none].astype(np.int32), "more": np.r_[flag, none > 0],
+            "equal": np.r_[np.zeros(len(y), bool), none == 0],
+        })
 
     return run
 
 
 def _line_sets(levels):
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = levels.value
         for batch in batches:
@@ -171,6 +320,7 @@ def _line_sets(levels):
     return run
 
 
+@K.tidy
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -181,51 +331,52 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["doc_id", "line"]).filter(pa.array(keep, pa.bool_()))
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, nearest: int = NEAREST) -> DataFrame:
     """(doc_id, line): the lines to remove, numbered from 0 in their documents."""
     spark = docs.sparkSession
     source = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     levels = spark.sparkContext.broadcast(rarity(docs))
-    shape = "doc_id long, line int, size int, k1 long, k2 long, sketch binary, tokens array<long>, places array<int>"
-    lines = saved(source.mapInArrow(_describe(levels), shape), "lines")
-    firsts = lines.groupBy("k1", "k2", "size").agg(F.min(F.struct("doc_id", "line")).alias("f")).select("k1", "k2", "size", F.col("f.doc_id").alias("fd"), F.col("f.line").alias("fl"))
-    tagged = lines.select("doc_id", "line", "k1", "k2", "size").join(firsts, ["k1", "k2", "size"])
-    copies = saved(tagged.where("doc_id <> fd or line <> fl").select("doc_id", "line"), "copies")
-    # of each class its first line
-    prefix = (
-        lines.groupBy("k1", "k2", "size").agg(F.min(F.struct("doc_id", "line", "sketch", "tokens", "places")).alias("f"))
-        .select("f.doc_id", "f.line", "size", "f.sketch", F.explode(F.arrays_zip("f.tokens", "f.places")).alias("t"))
-        .select("doc_id", "line", "size", "sketch", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
-    )
-    # buckets of one line have nothing to compare
-    buckets = prefix.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
-    members = saved(prefix.join(buckets, "token"), "prefixes")
-    gone, asking, sets = None, None, None
-    for k in ROUNDS:
-        ask = members if asking is None else members.join(asking, ["doc_id", "line"], "left_semi")
-        salts = F.ceil(F.col("members") / SALT_ROWS).cast("int")
-        held = members.withColumns({"salt": F.pmod(F.xxhash64("doc_id", "line"), salts).cast("int"), "asks": F.lit(False)})
-        if asking is not None:  # only buckets that someone asks
-            held = held.join(ask.select("token").distinct(), "token", "left_semi")
-        ask = ask.withColumns({"salt": F.explode(F.sequence(F.lit(0), salts - 1)), "asks": F.lit(True)})
-        found = held.unionByName(ask).groupBy("token", "salt").applyInArrow(_pairs(k), "doc_id long, line int, x_doc long, x_line int, more boolean")
-        pairs = saved(found.groupBy("doc_id", "line", "x_doc", "x_line").agg(F.max("more").alias("more")), "line-pairs")
-        wanted = pairs.select("doc_id", "line").unionByName(pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line"))).distinct()
-        by_doc = saved(wanted.groupBy("doc_id").agg(F.collect_list("line").alias("lines")), "line-wanted")
-        texts = source.join(F.broadcast(by_doc) if few(by_doc) else by_doc, "doc_id")
-        sets = saved(texts.mapInArrow(_line_sets(levels), "doc_id long, line int, words binary"), "line-sets")
-        left = pairs.join(sets.withColumnRenamed("words", "wy"), ["doc_id", "line"])
-        both = left.join(sets.select(F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line"), F.col("words").alias("wx")), ["x_doc", "x_line"])
-        hit = saved(both.select("doc_id", "line", "wy", "wx").mapInArrow(_verify, "doc_id long, line int").distinct(), "line-hits")
-        gone = hit if gone is None else gone.unionByName(hit)
-        asking = saved(pairs.where("more").select("doc_id", "line").distinct().join(hit, ["doc_id", "line"], "left_anti"), "line-asking")
-        forget(sets)
-        if asking.isEmpty():
-            break
-    forget(members)
-    return copies.unionByName(gone).distinct()
+    buckets = 1 << max(5, (4 * input_bytes(docs) // BUCKET_BYTES).bit_length())
+    line, other = ["doc_id", "line"], ["x_doc", "x_line"]
 
+    def compared(texts: DataFrame, k: int | None) -> DataFrame:
+        sent = texts.mapInArrow(_send(levels, buckets), "bucket int, blob array<binary>")
+        shape = "doc_id long, line int, x_doc long, x_line int, apart int, more boolean, equal boolean"
+        return saved(sent.groupBy("bucket").applyInArrow(_match(k), shape), "line-pairs")
 
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(line).unionByName(pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line"))).distinct()
+        by_doc = saved(wanted.groupBy("doc_id").agg(F.collect_list("line").alias("lines")), "line-wanted")
+        texts = source.join(F.broadcast(by_doc) if few(by_doc) else by_doc, "doc_id")
+        return saved(texts.mapInArrow(_line_sets(levels), "doc_id long, line int, words binary"), "line-sets")
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        left = pairs.join(sets.withColumnRenamed("words", "wy"), line)
+        both = left.join(sets.select(F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line"), F.col("words").alias("wx")), other)
+        return saved(both.select("doc_id", "line", "wy", "wx").mapInArrow(_verify, "doc_id long, line int").distinct(), "line-hits")
+
+    found = compared(source, nearest)
+    equal = found.where("equal").select(line)
+    # a line that equals an earlier one goes anyhow
+    open_pairs = found.where("not equal").join(equal, line, "left_anti")
+    pairs = saved(open_pairs.groupBy(*line, *other).agg(F.min("apart").alias("apart"), F.max("more").alias("more")), "line-candidates")
+    sets = sets_of(pairs)
+    best = pairs.groupBy(line).agg(F.min(F.struct("apart", *other)).alias("b")).select(*line, "b.x_doc", "b.x_line")
+    hits = verified(best, sets)
+    rest = saved(pairs.join(hits, line, "left_anti"), "line-rest")
+    gone = equal.unionByName(hits)
+    if not rest.isEmpty():
+        hits = verified(rest.select(*line, *other).distinct(), sets)
+        gone = gone.unionByName(hits)
+        asking = saved(rest.where("more").select(line).distinct().join(hits, line, "left_anti"), "line-asking")
+        if not asking.isEmpty():
+            by_doc = saved(asking.groupBy("doc_id").agg(F.collect_list("line").alias("lines")), "line-asking")
+            again = compared(source.join(F.broadcast(by_doc) if few(by_doc) else by_doc, "doc_id", "left"), None)
+            gone = gone.unionByName(verified(again.select(*line, *other).distinct(), sets_of(again)))
+    return gone.distinct()
+
+
+@K.tidy
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removes the lines listed in _gone from text; adds _n_lines."""
     for batch in batches:
@@ -252,6 +403,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return _joined(docs).select(*docs.columns)
 
 
+@K.tidy
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
