@@ -36,7 +36,8 @@ from foliant.llm.common import extended, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CACHE = 200_000
+CACHE = 250_000
+GROUP_BYTES = 4 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -91,9 +92,21 @@ class Transducer:
         self.split_at_blanks = all(BLANK not in p.lstrip(BLANK) for p in self.ids)
         self.longest = max(map(len, self.ids))
         self._edges()
-        known = sorted((int(_hash_text(p)), i) for p, i in self.ids.items())
-        self.hashes, self.known = np.array([h for h, _ in known], np.uint64), np.array([i for _, i in known], np.int64)
+        left = {int(_hash_text(p)): i for p, i in self.ids.items()}
+        self.tables: list[tuple[int, np.ndarray, np.ndarray]] = []  # shift, hashes, pieces: each table takes one hash a slot
+        while left:
+            shift, hashes, known = 47 - 8 * len(self.tables), np.zeros(1 << 17, np.uint64), np.zeros(1 << 17, np.int64)
+            rest = {}
+            for h, i in left.items():
+                slot = h >> shift & (1 << 17) - 1
+                if hashes[slot]:
+                    rest[h] = i
+                else:
+                    hashes[slot], known[slot] = h, i
+            self.tables.append((shift, hashes, known))
+            left = rest
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _halves(self, piece: str) -> tuple[str, str] | None:
@@ -134,6 +147,15 @@ class Transducer:
                     return False
         return True
 
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The pieces of the hashes; -1 where there is none."""
+        out = np.full(len(h), -1, np.int64)
+        for shift, hashes, known in self.tables:
+            slot = (h >> np.uint64(shift) & np.uint64((1 << 17) - 1)).astype(np.int64)
+            hit = hashes[slot] == h
+            out[hit] = known[slot[hit]]
+        return out
+
     def _weights(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """True where the arc from piece a to piece b has a finite weight; a < 0: the start, or after an unknown character."""
         out = np.ones(len(a), bool)
@@ -160,51 +182,57 @@ class Transducer:
         out: list = [b""] * len(segments)
         by_length: dict[int, list[int]] = {}
         for i, s in enumerate(segments):
-            by_length.setdefault(len(s), []).append(i)
+            by_length.setdefault(1 << max(3, (len(s) - 1).bit_length()), []).append(i)
         for n, rows in sorted(by_length.items()):
-            step = max(1, 2_000_000 // (n * min(n, self.longest) or 1))
+            step = max(1, 2_000_000 // n)
             for lo in range(0, len(rows), step):
                 own = rows[lo : lo + step]
-                for i, ids in zip(own, self._paths([segments[i] for i in own], n), strict=True):
+                for i, ids in zip(own, self._paths([segments[i] for i in own]), strict=True):
                     out[i] = ids
         return out
 
-    def _paths(self, segments: list[str], n: int) -> list[bytes]:
-        """Viterbi over segments of n characters: for each state (position, last piece) of finite weight its predecessor.
+    def _paths(self, segments: list[str]) -> list[bytes]:
+        """Viterbi over segments: for each state (position, last piece) of finite weight its predecessor.
 
         Paths of finite weight that end at one position share their last piece, so a position needs one entry.
         """
-        m = len(segments)
-        chars = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4").reshape(m, n).astype(np.uint64)
+        segments, order = zip(*sorted(zip(segments, range(len(segments))), key=lambda x: -len(x[0])), strict=True)
+        lengths = np.array([len(s) for s in segments])
+        m, n = len(segments), int(lengths[0])
+        chars = np.frombuffer("".join(s.ljust(n, "\0") for s in segments).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n).astype(np.uint64)
         power, inverse = _powers(n)
-        sums = np.zeros((m, n + 1), np.uint64)
-        np.cumsum(K.mix(chars) * power[:n], axis=1, out=sums[:, 1:])
-        last = np.full((m, n + 1), -3, np.int64)  # -3: not reached, -2: an unknown character, -1: the start
-        last[:, 0] = -1
-        back = np.zeros((m, n + 1), np.int32)
+        sums = np.zeros((n + 1, m), np.uint64)
+        np.cumsum((K.mix(chars) * power[:n]).T, axis=0, out=sums[1:])
+        last = np.full((n + 1, m), -3, np.int64)  # -3: not reached, -2: an unknown character, -1: the start
+        last[0] = -1
+        back = np.zeros((n + 1, m), np.int32)
         for end in range(1, n + 1):
-            todo = np.arange(m)
+            todo = np.arange(int((lengths >= end).sum()))  # longest first
             for width in range(min(end, self.longest), 0, -1):
                 begin = end - width
-                todo_now = todo[last[todo, begin] > -3]
-                if not len(todo_now):
+                now = todo[last[begin, todo] > -3]
+                if not len(now):
                     continue
-                h = K.mix((sums[todo_now, end] - sums[todo_now, begin]) * inverse[begin] + np.uint64(width))
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                hit = self.hashes[at] == h
-                rows, piece = todo_now[hit], self.known[at[hit]]
-                ok = self._weights(last[rows, begin], piece)
-                if self._unmade(piece).any():
-                    ok &= ~self._unmade(piece)
-                rows, piece = rows[ok], piece[ok]
-                last[rows, end], back[rows, end] = piece, begin
+                h = K.mix((sums[end, now] - sums[begin, now]) * inverse[begin] + np.uint64(width))
+                found = self._find(h)
+                hit = found >= 0
+                rows, piece = now[hit], found[hit]
+                if len(rows):
+                    ok = self._weights(last[begin, rows], piece) & ~self._unmade(piece)
+                    rows, piece = rows[ok], piece[ok]
+                    last[end, rows], back[end, rows] = piece, begin
                 if width == 1:  # no piece has this character: an unknown one, which joins nothing
-                    rows = todo_now[~hit]
-                    last[rows, end], back[rows, end] = -2, begin
-                todo = todo[last[todo, end] == -3]
-                if not len(todo):
-                    break
-        return [self._trace(segments[r], last[r].tolist(), back[r].tolist(), n) for r in range(m)]
+                    rows = now[~hit]
+                    last[end, rows], back[end, rows] = -2, begin
+                if len(rows):
+                    todo = todo[last[end, todo] == -3]
+                    if not len(todo):
+                        break
+        out: list = [b""] * m
+        last_rows, back_rows = last.T.tolist(), back.T.tolist()
+        for k, (s, i) in enumerate(zip(segments, order, strict=True)):
+            out[i] = self._trace(s, last_rows[k], back_rows[k], len(s))
+        return out
 
     def _unmade(self, piece: np.ndarray) -> np.ndarray:
         if not hasattr(self, "_unmade_ids"):
@@ -214,7 +242,7 @@ class Transducer:
 
     def _trace(self, text: str, last: list[int], back: list[int], n: int) -> bytes:
         if last[n] == -3:
-            raise ValueError(f"no path for {text!r}")
+            raise ValueError(f"no path for {text[:100]!r}")
         ids: list[int] = []
         while n:
             if last[n] == -2:
@@ -232,10 +260,17 @@ class Transducer:
         seen: set[str] = set()
         for s in split:
             seen.update(s)
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        new = [s for s in seen if s not in self.cache]
-        self.cache.update(zip(new, self.shortest(new), strict=True))
+        if len(self.cache) > CACHE:  # two generations: what is still in use moves on
+            self.cache, self.older = {}, self.cache
+        cache, older, new = self.cache, self.older, []
+        for s in seen:
+            if s not in cache:
+                if (ids := older.get(s)) is None:
+                    new.append(s)
+                else:
+                    cache[s] = ids
+        if new:
+            cache.update(zip(new, self.shortest(new), strict=True))
         get = self.cache.__getitem__
         each = iter(split)
         return [b"".join(map(get, next(each))) if t else None if t is None else b"" for t in normal]
@@ -276,7 +311,7 @@ def _encode(model, keep: list[str], decode: bool):
         fst = _compile(model.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for lo, hi in K.groups(texts):
+            for lo, hi in K.groups(texts, GROUP_BYTES):
                 ids = fst.encode(texts[lo:hi])
                 flat = np.frombuffer(b"".join(x or b"" for x in ids), "<u2").astype(np.int32)
                 counts = np.array([0 if x is None else len(x) // 2 for x in ids])
