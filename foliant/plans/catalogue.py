@@ -2,5 +2,482 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from foliant.functions import elementwise as E
+from foliant.operators import decoding, detection, evaluation, tensor
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+#: Coordinates of the vectors as [64], [8, 8], [1, 8, 8] and [4, 4, 4].
+_FLAT = "WITH e AS (SELECT vec_id, unnest(range(64))::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+_MAP = _FLAT + ", x AS (SELECT vec_id, 0 AS c, i // 8 AS h, i % 8 AS w, v FROM e)"
+_CUBE = _FLAT + ", x AS (SELECT vec_id, i // 16 AS c, i // 4 % 4 AS h, i % 4 AS w, v FROM e)"
+
+
+def _pattern(i: str) -> str:
+    return f"((({i}) * 17) % 257 - 128) / 127.0::DOUBLE"
+
+
+def query(name: str, sql: str | None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _flat(spark: SparkSession, sf: str) -> DataFrame:
+    return tensor.coordinates(_t(spark, sf, "embeddings"), (64,), "i")
+
+
+def _map(spark: SparkSession, sf: str) -> DataFrame:
+    return tensor.coordinates(_t(spark, sf, "embeddings"), (1, 8, 8), "chw")
+
+
+def _cube(spark: SparkSession, sf: str) -> DataFrame:
+    return tensor.coordinates(_t(spark, sf, "embeddings"), (4, 4, 4), "chw")
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names or ("v",)})
+
+
+# --- decoding -----------------------------------------------------------------------------------------------
+
+_STEPS = """WITH s AS (SELECT vec_id // 8 AS line, vec_id % 8 AS t, list_position(embedding, list_max(embedding)) - 1 AS top,
+  1 / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)))) AS prob FROM embeddings),
+steps AS (SELECT line, t, (top % 4)::INT AS class, prob FROM s)"""
+
+
+def _steps(spark: SparkSession, sf: str) -> DataFrame:
+    top, prob = tensor.winner(F.col("embedding").cast("array<double>"))
+    return _t(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("line"), (F.col("vec_id") % 8).alias("t"), (top % 4).alias("class"), prob.alias("prob"))
+
+
+def _dictionary(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, "a"), (2, "b"), (3, " ")], "class int, label string")
+
+
+@query("ctc_projection", _STEPS + """, p AS (SELECT *, lag(class, 1, 0) OVER (PARTITION BY line ORDER BY t) AS before FROM steps),
+k AS (SELECT line, string_agg(CASE class WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE ' ' END, '' ORDER BY t) AS text, avg(prob) AS score, count(*) AS emitted FROM p WHERE class <> 0 AND class <> before GROUP BY line)
+SELECT l.line, coalesce(text, '') AS text, round(coalesce(score, 0), 6) AS score, coalesce(emitted, 0) AS emitted FROM (SELECT DISTINCT line FROM steps) l LEFT JOIN k USING (line)""")
+def ctc_projection(spark, sf):
+    return _rounded(decoding.texts(_steps(spark, sf), _dictionary(spark)), "score")
+
+
+@query("projection_argmax", "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS class, round(1 / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)))), 6) AS prob FROM embeddings")
+def projection_argmax(spark, sf):
+    top, prob = tensor.winner(F.col("embedding").cast("array<double>"))
+    return _rounded(_t(spark, sf, "embeddings").select("vec_id", top.alias("class"), prob.alias("prob")), "prob")
+
+
+@query("ctc_collapse", _STEPS + " SELECT line, t, class FROM (SELECT *, lag(class, 1, 0) OVER (PARTITION BY line ORDER BY t) AS before FROM steps) WHERE class <> 0 AND class <> before")
+def ctc_collapse(spark, sf):
+    return decoding.collapse(_steps(spark, sf)).select("line", "t", "class")
+
+
+@query("dictionary_lookup", _STEPS + " SELECT line, t, CASE class WHEN 0 THEN '' WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE ' ' END AS label FROM steps")
+def dictionary_lookup(spark, sf):
+    found = _steps(spark, sf).join(F.broadcast(_dictionary(spark)), "class", "left")
+    return found.select("line", "t", F.coalesce("label", F.lit("")).alias("label"))
+
+
+@query("cls_decide", "SELECT vec_id, (b > a)::INT * 180 AS degrees, (b > a AND b > 0.1) AS rotate FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings)")
+def cls_decide(spark, sf):
+    a, b = (F.col("embedding")[k].cast("double") for k in (0, 1))
+    return _t(spark, sf, "embeddings").select("vec_id", F.when(b > a, 180).otherwise(0).alias("degrees"), ((b > a) & (b > 0.1)).alias("rotate"))
+
+
+# --- element-wise -------------------------------------------------------------------------------------------
+
+_X = F.col("v")
+_ERF = "(CASE WHEN {x} < 0 THEN -1 ELSE 1 END * (1 - (((((1.061405429 * {t} - 1.453152027) * {t}) + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592) * {t} * exp(-({x}) * ({x}))))"
+
+
+def _erf_sql(x: str) -> str:
+    return _ERF.format(x=x, t=f"(1 / (1 + 0.3275911 * abs({x})))")
+
+
+_ELEMENTWISE = {
+    "relu": (E.relu(_X), "greatest(0, v)"),
+    "sigmoid": (E.sigmoid(_X), "1 / (1 + exp(-v))"),
+    "erf": (E.erf(_X), _erf_sql("v")),
+    "hard_sigmoid": (E.hard_sigmoid(_X), "greatest(0, least(1, 0.2 * v + 0.5))"),
+    "sqrt": (F.sqrt(F.abs(_X)), "sqrt(abs(v))"),
+    "pow": (F.pow(F.abs(_X), F.lit(1.5)), "pow(abs(v), 1.5)"),
+    "gelu": (E.gelu(_X), f"({_erf_sql('v / sqrt(2::DOUBLE)')} + 1) * v * 0.5"),
+    "hard_swish": (E.hard_swish(_X), "greatest(0, least(1, v / 6 + 0.5)) * v"),
+    "add": (_X + (F.col("i") % 7 - 3), "v + (i % 7 - 3)"),
+    "sub": (_X - (F.col("i") % 7 - 3), "v - (i % 7 - 3)"),
+    "mul": (_X * (F.col("i") % 7 - 3), "v * (i % 7 - 3)"),
+    "div": (E.divide(_X, (F.col("i") % 7 + 1).cast("double")), "v / (i % 7 + 1)"),
+}
+
+
+def _elementwise(value):
+    return lambda spark, sf: _rounded(_flat(spark, sf).select("vec_id", "i", value.alias("v")))
+
+
+for _name, (_value, _sql) in _ELEMENTWISE.items():
+    QUERIES[f"ew_{_name}"] = _elementwise(_value)
+    ORACLES[f"ew_{_name}"] = f"{_FLAT} SELECT vec_id, i, round({_sql}, 6)::DOUBLE AS v FROM e"
+
+
+@query("broadcast_channel", _CUBE + f" SELECT vec_id, c, h, w, round(v * ({_pattern('c')}), 6) AS v FROM x")
+def broadcast_channel(spark, sf):
+    factor = spark.createDataFrame([(c, tensor.pattern(c)) for c in range(4)], "c int, f double")
+    return _rounded(_cube(spark, sf).join(F.broadcast(factor), "c").select("vec_id", "c", "h", "w", (F.col("v") * F.col("f")).alias("v")))
+
+
+_BN = "(v - 0.01 * c) * ((1 + 0.5 * c) / sqrt(0.5 + 0.1 * c + 1e-5)) + 0.25 * c"
+
+
+@query("batch_norm", _CUBE + f" SELECT vec_id, c, h, w, round({_BN}, 6)::DOUBLE AS v FROM x")
+def batch_norm(spark, sf):
+    p = spark.createDataFrame([(c, 0.01 * c, 0.5 + 0.1 * c, 1 + 0.5 * c, 0.25 * c) for c in range(4)], "c int, m double, s double, g double, b double")
+    x = _cube(spark, sf).join(F.broadcast(p), "c")
+    return _rounded(x.select("vec_id", "c", "h", "w", E.batch_norm(F.col("v"), F.col("m"), F.col("s"), F.col("g"), F.col("b")).alias("v")))
+
+
+# --- reductions and products --------------------------------------------------------------------------------
+
+
+@query("reduce_mean_axes", _CUBE + " SELECT vec_id, h, round(avg(v), 6) AS v FROM x GROUP BY ALL")
+def reduce_mean_axes(spark, sf):
+    return _rounded(tensor.reduce_mean(_cube(spark, sf), ["vec_id", "h"]))
+
+
+@query("global_avg_pool", _CUBE + " SELECT vec_id, c, round(avg(v), 6) AS v FROM x GROUP BY ALL")
+def global_avg_pool(spark, sf):
+    return _rounded(tensor.reduce_mean(_cube(spark, sf), ["vec_id", "c"]))
+
+
+@query("softmax", _CUBE + ", m AS (SELECT *, exp(v - max(v) OVER (PARTITION BY vec_id, h, w)) AS q FROM x) SELECT vec_id, c, h, w, round(q / sum(q) OVER (PARTITION BY vec_id, h, w), 6) AS v FROM m")
+def softmax(spark, sf):
+    return _rounded(tensor.softmax(_cube(spark, sf), ["vec_id", "h", "w"]))
+
+
+@query("matmul", _MAP + f" SELECT vec_id, h AS i, j, round(sum(v * ({_pattern('w * 8 + j')})), 6) AS v FROM x, (SELECT unnest(range(8))::INT AS j) GROUP BY ALL")
+def matmul(spark, sf):
+    b = spark.createDataFrame([(k, j, tensor.pattern(k * 8 + j)) for k in range(8) for j in range(8)], "k int, j int, w double")
+    a = _map(spark, sf).select("vec_id", F.col("h").alias("i"), F.col("w").alias("k"), "v")
+    return _rounded(tensor.matmul(a, b, ["vec_id"]))
+
+
+@query("batched_matmul", _MAP + " SELECT a.vec_id, a.h AS i, b.w AS j, round(sum(a.v * b.v), 6) AS v FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.w = b.h GROUP BY ALL")
+def batched_matmul(spark, sf):
+    x = _map(spark, sf)
+    return _rounded(tensor.matmul(x.select("vec_id", F.col("h").alias("i"), F.col("w").alias("k"), "v"), x.select("vec_id", F.col("h").alias("k"), F.col("w").alias("j"), F.col("v").alias("w")), ["vec_id"]))
+
+
+# --- layout -------------------------------------------------------------------------------------------------
+
+
+@query("transpose", _CUBE + " SELECT vec_id, w AS c, h, c AS w, round(v, 6) AS v FROM x")
+def transpose(spark, sf):
+    return _rounded(_cube(spark, sf).select("vec_id", F.col("w").alias("c"), "h", F.col("c").alias("w"), "v"))
+
+
+@query("reshape", _FLAT + " SELECT vec_id, i // 32 AS a, i % 32 AS b, round(v, 6) AS v FROM e")
+def reshape(spark, sf):
+    return _rounded(tensor.coordinates(_t(spark, sf, "embeddings"), (2, 32), "ab"))
+
+
+@query("squeeze_unsqueeze", _MAP + " SELECT vec_id, h, 0 AS n, w, round(v, 6) AS v FROM x")
+def squeeze_unsqueeze(spark, sf):
+    return _rounded(_map(spark, sf).drop("c").select("vec_id", "h", F.lit(0).alias("n"), "w", "v"))
+
+
+@query("concat", _CUBE + " SELECT vec_id, c, h, w, round(v, 6) AS v FROM x UNION ALL SELECT vec_id, c + 4, h, w, round(-v, 6) FROM x")
+def concat(spark, sf):
+    x = _cube(spark, sf)
+    return _rounded(tensor.concat([x, x.withColumn("v", -F.col("v"))], "c", [4, 4]))
+
+
+@query("slice", _MAP + " SELECT vec_id, h, (w - 3) // 2 AS w, round(v, 6) AS v FROM x WHERE w >= 3 AND w < 7 AND (w - 3) % 2 = 0")
+def slice_(spark, sf):
+    return _rounded(tensor.slice_axis(_map(spark, sf).drop("c"), "w", -5, -1, 2, size=8))
+
+
+@query("resize_nearest", _CUBE + " SELECT vec_id, c, oh AS h, ow AS w, round(v, 6) AS v FROM x, (SELECT unnest(range(8))::INT AS oh) a, (SELECT unnest(range(8))::INT AS ow) b WHERE h = oh // 2 AND w = ow // 2")
+def resize_nearest(spark, sf):
+    return _rounded(tensor.resize_nearest(_cube(spark, sf), 2))
+
+
+@query("rotate180", _MAP + " SELECT vec_id, 7 - h AS h, 7 - w AS w, round(v, 6) AS v FROM x")
+def rotate180(spark, sf):
+    return _rounded(_map(spark, sf).select("vec_id", (7 - F.col("h")).alias("h"), (7 - F.col("w")).alias("w"), "v"))
+
+
+# --- windows ------------------------------------------------------------------------------------------------
+
+
+def _conv_sql(view: str, oc: int, ic: int, kh: int, kw: int, out: tuple[int, int], stride=1, pad=(0, 0), dilation=1, depthwise=False) -> str:
+    """The gather form: each output cell collects its taps."""
+    weight = _pattern(f"((o * {ic} + {'0' if depthwise else 'c'}) * {kh} + a) * {kw} + b")
+    grid = ", ".join(f"(SELECT unnest(range({n}))::INT AS {v})" for v, n in (("o", oc), ("y", out[0]), ("z", out[1]), ("a", kh), ("b", kw)))
+    where = f"h = y * {stride} - {pad[0]} + a * {dilation} AND w = z * {stride} - {pad[1]} + b * {dilation}" + (" AND c = o" if depthwise else "")
+    return f"{view} SELECT vec_id, o AS c, y AS h, z AS w, round(sum(v * ({weight})), 6) AS v FROM x, {grid} WHERE {where} GROUP BY ALL"
+
+
+_CONVS = {
+    "conv3x3": (_map, _MAP, (2, 1, 3, 3), (8, 8), {"pad": 1}),
+    "conv_stride2": (_map, _MAP, (2, 1, 3, 3), (4, 4), {"stride": 2, "pad": 1}),
+    "conv_dilated": (_map, _MAP, (1, 1, 3, 3), (8, 8), {"pad": 2, "dilation": 2}),
+    "conv_depthwise": (_cube, _CUBE, (4, 1, 3, 3), (4, 4), {"pad": 1, "depthwise": True}),
+    "conv_pointwise": (_cube, _CUBE, (3, 4, 1, 1), (4, 4), {}),
+    "conv_wide": (_map, _MAP, (1, 1, 1, 7), (8, 8), {"pad": 0, "pad_w": 3}),
+}
+
+
+def _conv(view, w, kw):
+    def run(spark, sf):
+        x = view(spark, sf)
+        size = (8, 8) if view is _map else (4, 4)
+        return _rounded(tensor.conv(x, tensor.weights(spark, *w), size, kernel=w[2:], **kw))
+
+    return run
+
+
+for _name, (_view, _sql, _w, _out, _kw) in _CONVS.items():
+    QUERIES[_name] = _conv(_view, _w, _kw)
+    ORACLES[_name] = _conv_sql(_sql, *_w, _out, _kw.get("stride", 1), (_kw.get("pad", 0), _kw.get("pad_w", _kw.get("pad", 0))), _kw.get("dilation", 1), _kw.get("depthwise", False))
+
+
+@query("conv_epilogue", _conv_sql(_MAP, 2, 1, 3, 3, (8, 8), 1, (1, 1)).replace("round(sum", "greatest(0, round(sum").replace(", 6) AS v FROM x", " + 0.125 * any_value(o), 6))::DOUBLE AS v FROM x"))
+def conv_epilogue(spark, sf):
+    x = tensor.conv(_map(spark, sf), tensor.weights(spark, 2, 1, 3, 3), (8, 8), pad=1)
+    return x.withColumn("v", E.relu(F.round(F.col("v") + 0.125 * F.col("c"), 6)))
+
+
+@query("conv_transpose", _CUBE + f" SELECT vec_id, o AS c, h * 2 + a AS h, w * 2 + b AS w, round(sum(v * ({_pattern('((o * 4 + c) * 2 + a) * 2 + b')})), 6) AS v FROM x, (SELECT unnest(range(2))::INT AS o), (SELECT unnest(range(2))::INT AS a), (SELECT unnest(range(2))::INT AS b) GROUP BY ALL")
+def conv_transpose(spark, sf):
+    return _rounded(tensor.conv_transpose(_cube(spark, sf), tensor.weights(spark, 2, 4, 2, 2), 2))
+
+
+_POOL = _CUBE + " SELECT vec_id, c, y AS h, z AS w, round({f}, 6) AS v FROM x, (SELECT unnest(range({n}))::INT AS y), (SELECT unnest(range({n}))::INT AS z) WHERE h BETWEEN y * {s} - {p} AND y * {s} - {p} + {k} - 1 AND w BETWEEN z * {s} - {p} AND z * {s} - {p} + {k} - 1 GROUP BY ALL"
+
+
+@query("max_pool", _POOL.format(f="max(v)", n=2, s=2, p=0, k=2))
+def max_pool(spark, sf):
+    return _rounded(tensor.pool(_cube(spark, sf), "max", 4, 2, 2))
+
+
+@query("avg_pool", _POOL.format(f="sum(v) / count(*)", n=2, s=2, p=1, k=3))
+def avg_pool(spark, sf):
+    return _rounded(tensor.pool(_cube(spark, sf), "avg", 4, 3, 2, pad=1))
+
+
+@query("avg_pool_count_pad", _POOL.format(f="sum(v) / 9", n=2, s=2, p=1, k=3))
+def avg_pool_count_pad(spark, sf):
+    return _rounded(tensor.pool(_cube(spark, sf), "avg", 4, 3, 2, pad=1, count_pad=True))
+
+
+# --- detection ----------------------------------------------------------------------------------------------
+
+_PIXELS = _MAP + ", px AS (SELECT vec_id, h, w FROM x WHERE v > 0.05)"
+
+
+def _pixels(spark, sf):
+    return detection.threshold(_map(spark, sf), 0.05)
+
+
+QUERIES["det_threshold"], ORACLES["det_threshold"] = _pixels, _PIXELS + " SELECT * FROM px"
+
+
+@query("det_dilate", _PIXELS + " SELECT DISTINCT vec_id, h + a AS h, w + b AS w FROM px, (SELECT unnest(range(2))::INT AS a), (SELECT unnest(range(2))::INT AS b) WHERE h + a < 8 AND w + b < 8")
+def det_dilate(spark, sf):
+    return detection.dilate(_pixels(spark, sf), 8, 8)
+
+
+@query("det_components", _PIXELS.replace("WITH e", "WITH RECURSIVE e") + ", r(vec_id, h, w, src) AS (SELECT vec_id, h, w, h * 8 + w FROM px UNION SELECT p.vec_id, p.h, p.w, r.src FROM r JOIN px p ON p.vec_id = r.vec_id AND abs(p.h - r.h) <= 1 AND abs(p.w - r.w) <= 1) SELECT vec_id, h, w, min(src)::BIGINT AS label FROM r GROUP BY ALL")
+def det_components(spark, sf):
+    return detection.components(_pixels(spark, sf), 8)
+
+
+@query("det_boundary", _PIXELS + " SELECT p.vec_id, p.h, p.w FROM px p LEFT JOIN px q ON p.vec_id = q.vec_id AND abs(p.h - q.h) + abs(p.w - q.w) = 1 GROUP BY ALL HAVING count(q.h) < 4")
+def det_boundary(spark, sf):
+    return detection.boundary(_pixels(spark, sf), 8, 8)
+
+
+@query("det_rect_score", _MAP + " SELECT vec_id, b AS box_id, round(avg(v), 6) AS score FROM x, (SELECT unnest(range(3))::INT AS b) WHERE w BETWEEN b AND b + 3 AND h BETWEEN vec_id % 4 AND vec_id % 4 + 2 GROUP BY ALL")
+def det_rect_score(spark, sf):
+    lo = (F.col("vec_id") % 4).cast("int")
+    boxes = _t(spark, sf, "embeddings").select("vec_id", F.explode(F.array(*map(F.lit, range(3)))).alias("box_id")).select("vec_id", "box_id", F.col("box_id").alias("x0"), (F.col("box_id") + 3).alias("x1"), lo.alias("y0"), (lo + 2).alias("y1"))
+    return _rounded(detection.rectangle_scores(_map(spark, sf), boxes), "score")
+
+
+@query("det_shape_policy", "WITH s AS (SELECT p_partkey, 37 * p_size AS w, 23 * p_size + 11 AS h FROM part), r AS (SELECT *, least(1, 960 / greatest(w, h)::DOUBLE) AS k FROM s) SELECT p_partkey, greatest(32, floor(w * k / 32 + 0.5) * 32)::INT AS dw, greatest(32, floor(h * k / 32 + 0.5) * 32)::INT AS dh FROM r")
+def det_shape_policy(spark, sf):
+    w, h = 37 * F.col("p_size"), 23 * F.col("p_size") + 11
+    ratio = F.least(F.lit(1.0), F.lit(960.0) / F.greatest(w, h))
+    return _t(spark, sf, "part").select("p_partkey", detection.input_side(w, ratio).alias("dw"), detection.input_side(h, ratio).alias("dh"))
+
+
+@query("rec_width_bucket", "WITH s AS (SELECT doc_id, ceil(48 * (n_chars % 1500 + 1) / (20 + doc_id % 40)::DOUBLE)::INT AS need FROM documents) SELECT doc_id, CASE WHEN need <= 192 THEN 192 WHEN need <= 320 THEN 320 WHEN need <= 480 THEN 480 WHEN need <= 640 THEN 640 ELSE 960 END AS bucket FROM s")
+def rec_width_bucket(spark, sf):
+    need = F.ceil(48 * (F.col("n_chars") % 1500 + 1) / (20 + F.col("doc_id") % 40).cast("double"))
+    bucket = F.lit(960)
+    for width in (640, 480, 320, 192):
+        bucket = F.when(need <= width, width).otherwise(bucket)
+    return _t(spark, sf, "documents").select("doc_id", bucket.alias("bucket"))
+
+
+# --- evaluation ---------------------------------------------------------------------------------------------
+
+_BOXES = """WITH b AS (SELECT l_orderkey AS file, l_linenumber AS n, l_partkey % 40 AS x, l_suppkey % 20 AS y, 10 + l_quantity AS s FROM lineitem WHERE l_orderkey % 2 = 0),
+g AS (SELECT file, n AS gt, x::DOUBLE AS x0, y::DOUBLE AS y0, x + s AS x1, y + 20.0::DOUBLE AS y1 FROM b WHERE n <= 4),
+p AS (SELECT file, n AS pred, x::DOUBLE AS x0, y::DOUBLE AS y0, x + s AS x1, y + 20.0::DOUBLE AS y1 FROM b WHERE n > 3),
+i AS (SELECT g.file, gt, pred, greatest(0, least(g.x1, p.x1) - greatest(g.x0, p.x0)) * greatest(0, least(g.y1, p.y1) - greatest(g.y0, p.y0)) AS common,
+  (g.x1 - g.x0) * (g.y1 - g.y0) + (p.x1 - p.x0) * (p.y1 - p.y0) AS areas FROM g JOIN p USING (file)),
+pairs AS (SELECT file, gt, pred, common / (areas - common) AS iou FROM i WHERE areas - common > 0 AND common / (areas - common) >= 0.2)"""
+
+
+def _overlaps(spark, sf):
+    x, y = (F.col("l_partkey") % 40).cast("double"), (F.col("l_suppkey") % 20).cast("double")
+    b = _t(spark, sf, "lineitem").where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("n"), x.alias("x0"), y.alias("y0"), (x + 10 + F.col("l_quantity")).alias("x1"), (y + 20).alias("y1"))
+
+    def side(p: str, key: str, cond: str) -> DataFrame:
+        return b.where(cond).select("file", F.col("n").alias(key), *[F.col(c).alias(p + c) for c in ("x0", "y0", "x1", "y1")])
+
+    return evaluation.overlaps(side("g_", "gt", "n <= 4"), side("p_", "pred", "n > 3"), 0.2)
+
+
+@query("iou_pairs", _BOXES + " SELECT file, gt, pred, round(iou, 6) AS iou FROM pairs")
+def iou_pairs(spark, sf):
+    return _rounded(_overlaps(spark, sf), "iou")
+
+
+@query("iou_greedy_match", None)
+def iou_greedy_match(spark, sf):
+    return _rounded(evaluation.greedy_matches(_overlaps(spark, sf)), "iou")
+
+
+ORACLES["iou_greedy_match"] = _BOXES.replace("WITH b", "WITH RECURSIVE b") + """,
+o AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY -iou, gt, pred) AS k FROM pairs),
+m(file, k, gs, ps, hit) AS (SELECT DISTINCT file, 0::BIGINT, []::INT[], []::INT[], false FROM o UNION ALL
+  SELECT file, k, CASE WHEN f THEN list_append(gs, gt) ELSE gs END, CASE WHEN f THEN list_append(ps, pred) ELSE ps END, f
+  FROM (SELECT o.file, o.k, o.gt, o.pred, gs, ps, NOT list_contains(gs, o.gt) AND NOT list_contains(ps, o.pred) AS f FROM m JOIN o ON o.file = m.file AND o.k = m.k + 1))
+SELECT o.file, o.gt, o.pred, round(o.iou, 6) AS iou FROM m JOIN o ON o.file = m.file AND o.k = m.k WHERE m.hit"""
+
+
+@query("cer_report", "WITH t AS (SELECT file, levenshtein(a, b) AS d, length(a) AS n FROM (SELECT c_nationkey AS file, c_name AS a, reverse(c_name) AS b FROM customer)) SELECT file, sum(d)::BIGINT AS distance, sum(n)::BIGINT AS characters, round(sum(d) / sum(n), 6) AS cer FROM t GROUP BY ROLLUP (file)")
+def cer_report(spark, sf):
+    t = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("file"), F.levenshtein("c_name", F.reverse("c_name")).alias("d"), F.length("c_name").alias("n"))
+    out = t.rollup("file").agg(F.sum("d").alias("distance"), F.sum("n").alias("characters"))
+    return out.withColumn("cer", F.round(F.try_divide("distance", "characters"), 6))
+
+
+_DIFF = "WITH a AS (SELECT l_orderkey AS file, l_linenumber AS n, l_returnflag AS t, l_quantity AS q FROM lineitem WHERE l_partkey % 10 <> 0), b AS (SELECT l_orderkey AS file, l_linenumber AS n, l_linestatus AS t, l_quantity + l_tax AS q FROM lineitem WHERE l_partkey % 10 <> 1)"
+
+
+def _sides(spark, sf):
+    t = _t(spark, sf, "lineitem")
+    keys = [F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("n")]
+    return t.where("l_partkey % 10 <> 0").select(*keys, F.col("l_returnflag").alias("t"), F.col("l_quantity").alias("q")), t.where("l_partkey % 10 <> 1").select(*keys, F.col("l_linestatus").alias("t2"), (F.col("l_quantity") + F.col("l_tax")).alias("q2"))
+
+
+@query("prediction_diff", _DIFF + " SELECT count(*) AS lines, count(*) FILTER (WHERE a.t <> b.t) AS text_mismatches, count(*) FILTER (WHERE abs(a.q - b.q) > 0.05) AS box_mismatches, round(max(abs(a.q - b.q)), 6) AS max_delta FROM a JOIN b USING (file, n)")
+def prediction_diff(spark, sf):
+    a, b = _sides(spark, sf)
+    delta = F.abs(F.col("q") - F.col("q2"))
+    return a.join(b, ["file", "n"]).agg(F.count("*").alias("lines"), F.count_if(F.col("t") != F.col("t2")).alias("text_mismatches"), F.count_if(delta > 0.05).alias("box_mismatches"), F.round(F.max(delta), 6).alias("max_delta"))
+
+
+@query("missing_extra_files", _DIFF + " SELECT coalesce(a.file, b.file) AS file, CASE WHEN b.file IS NULL THEN 'missing' ELSE 'extra' END AS what FROM (SELECT DISTINCT file FROM a) a FULL JOIN (SELECT DISTINCT file FROM b) b ON a.file = b.file WHERE a.file IS NULL OR b.file IS NULL")
+def missing_extra_files(spark, sf):
+    a, b = (x.select("file").distinct() for x in _sides(spark, sf))
+    both = a.select("file", F.lit(1).alias("a")).join(b.select("file", F.lit(1).alias("b")), "file", "full")
+    return both.where("a IS NULL OR b IS NULL").select("file", F.when(F.col("b").isNull(), "missing").otherwise("extra").alias("what"))
+
+
+# --- profiles and plans -------------------------------------------------------------------------------------
+
+
+@query("profile_by_operator", "SELECT event_type AS op, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def profile_by_operator(spark, sf):
+    return _t(spark, sf, "events").groupBy(F.col("event_type").alias("op")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("profile_hot_nodes", "SELECT op, node, round(total, 4) AS total, k::INT AS k FROM (SELECT *, row_number() OVER (PARTITION BY op ORDER BY round(total, 4) DESC, node) AS k FROM (SELECT event_type AS op, user_id AS node, sum(value) AS total FROM events GROUP BY 1, 2)) WHERE k <= 8")
+def profile_hot_nodes(spark, sf):
+    total = _t(spark, sf, "events").groupBy(F.col("event_type").alias("op"), F.col("user_id").alias("node")).agg(F.round(F.sum("value"), 4).alias("total"))
+    return total.withColumn("k", F.row_number().over(Window.partitionBy("op").orderBy(F.desc("total"), "node"))).where("k <= 8")
+
+
+@query("latency_percentiles", "SELECT event_type AS op, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def latency_percentiles(spark, sf):
+    _t(spark, sf, "events").createOrReplaceTempView("_events")
+    return spark.sql("SELECT event_type AS op, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, round(avg(value), 6) AS mean FROM _events GROUP BY 1")
+
+
+@query("upper_median", "SELECT op, value AS median FROM (SELECT event_type AS op, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE k = n // 2 + 1")
+def upper_median(spark, sf):
+    w = Window.partitionBy("event_type")
+    e = _t(spark, sf, "events").withColumns({"k": F.row_number().over(w.orderBy("value", "event_id")), "n": F.count("*").over(w)})
+    return e.where(F.col("k") == F.floor(F.col("n") / 2) + 1).select(F.col("event_type").alias("op"), F.col("value").alias("median"))
+
+
+@query("regression_gates", "WITH m AS (SELECT event_type AS metric, avg(value) AS v FROM events GROUP BY 1), g(metric, rule, lim) AS (VALUES ('click', '<', 20.0), ('view', '<=', 5.0), ('error', '>=', 0.95)) SELECT metric, rule, lim::DOUBLE AS lim, round(v, 6) AS v FROM m JOIN g USING (metric) WHERE NOT CASE rule WHEN '<' THEN v < lim WHEN '<=' THEN v <= lim ELSE v >= lim END")
+def regression_gates(spark, sf):
+    m = _t(spark, sf, "events").groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("v"))
+    g = spark.createDataFrame([("click", "<", 20.0), ("view", "<=", 5.0), ("error", ">=", 0.95)], "metric string, rule string, lim double")
+    holds = F.when(F.col("rule") == "<", F.col("v") < F.col("lim")).when(F.col("rule") == "<=", F.col("v") <= F.col("lim")).otherwise(F.col("v") >= F.col("lim"))
+    return _rounded(m.join(F.broadcast(g), "metric").where(~holds).select("metric", "rule", "lim", "v"))
+
+
+@query("run_contract_diff", "SELECT a.o_orderkey AS run, a.o_orderstatus IS DISTINCT FROM b.o_orderstatus AS status_differs, a.o_orderpriority IS DISTINCT FROM b.o_orderpriority AS priority_differs FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey % 5 = 0")
+def run_contract_diff(spark, sf):
+    o = _t(spark, sf, "orders")
+    b = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
+    return o.where("o_custkey % 5 = 0").join(b, "o_orderkey").select(F.col("o_orderkey").alias("run"), (~F.col("o_orderstatus").eqNullSafe(F.col("s"))).alias("status_differs"), (~F.col("o_orderpriority").eqNullSafe(F.col("p"))).alias("priority_differs"))
+
+
+@query("width_histogram", ORACLES["rec_width_bucket"].replace("SELECT doc_id, CASE", "SELECT bucket, count(*) AS n FROM (SELECT CASE") + ") GROUP BY 1")
+def width_histogram(spark, sf):
+    return rec_width_bucket(spark, sf).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query("block_winner", "WITH s AS (SELECT l_suppkey AS shape, l_linenumber % 3 AS block, quantile_disc(l_extendedprice, 0.5) AS median FROM lineitem GROUP BY 1, 2), b AS (SELECT shape, count(*) AS n, arg_min(block, median) AS best, min(median) AS least, max(median) FILTER (WHERE block = 0) AS base FROM s GROUP BY 1) SELECT shape, best, round(least, 2) AS least, least <= 0.97 * base AS wins FROM b WHERE n = 3")
+def block_winner(spark, sf):
+    _t(spark, sf, "lineitem").createOrReplaceTempView("_lineitem")
+    s = spark.sql("SELECT l_suppkey AS shape, l_linenumber % 3 AS block, percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice) AS median FROM _lineitem GROUP BY 1, 2")
+    b = s.groupBy("shape").agg(F.count("*").alias("n"), F.min_by("block", "median").alias("best"), F.min("median").alias("least"), F.max(F.when(F.col("block") == 0, F.col("median"))).alias("base"))
+    return b.where("n = 3").select("shape", "best", F.round("least", 2).alias("least"), (F.col("least") <= 0.97 * F.col("base")).alias("wins"))
+
+
+_SPANS = "WITH s AS (SELECT o_custkey AS grp, datediff('day', DATE '1990-01-01', o_orderdate::DATE) AS birth, datediff('day', DATE '1990-01-01', o_orderdate::DATE) + 30 + o_orderkey % 200 AS death, floor(o_totalprice)::BIGINT AS size FROM orders)"
+
+
+def _spans(spark, sf):
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long")
+    return _t(spark, sf, "orders").select(F.col("o_custkey").alias("grp"), "o_orderkey", day.alias("birth"), (day + 30 + F.col("o_orderkey") % 200).alias("death"), F.floor("o_totalprice").alias("size"))
+
+
+@query("workspace_live_bound", _SPANS + " SELECT a.grp, max(total)::BIGINT AS bound FROM (SELECT a.grp, a.birth, sum(b.size) AS total FROM (SELECT DISTINCT grp, birth FROM s) a JOIN s b ON a.grp = b.grp AND b.birth <= a.birth AND a.birth <= b.death GROUP BY 1, 2) a GROUP BY 1")
+def workspace_live_bound(spark, sf):
+    return evaluation.live_bound(_spans(spark, sf))
+
+
+@query("lifetime_overlap", _SPANS.replace("SELECT o_custkey", "SELECT o_orderkey AS id, o_custkey") + " SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.grp = b.grp AND a.id < b.id AND a.birth <= b.death AND b.birth <= a.death")
+def lifetime_overlap(spark, sf):
+    s = _spans(spark, sf)
+    a = s.select("grp", F.col("o_orderkey").alias("a"), F.col("birth").alias("ab"), F.col("death").alias("ad"))
+    b = s.select("grp", F.col("o_orderkey").alias("b"), F.col("birth").alias("bb"), F.col("death").alias("bd"))
+    return a.join(b, "grp").where("a < b AND ab <= bd AND bb <= ad").select("a", "b")
+
+
+@query("page_text", "SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
+def page_text(spark, sf):
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    return _t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda s: s.text), "\n").alias("text"))
