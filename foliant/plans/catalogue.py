@@ -100,7 +100,6 @@ def cls_decide(spark, sf):
 
 # --- element-wise -------------------------------------------------------------------------------------------
 
-_X = F.col("v")
 _ERF = "(CASE WHEN {x} < 0 THEN -1 ELSE 1 END * (1 - (((((1.061405429 * {t} - 1.453152027) * {t}) + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592) * {t} * exp(-({x}) * ({x}))))"
 
 
@@ -109,23 +108,23 @@ def _erf_sql(x: str) -> str:
 
 
 _ELEMENTWISE = {
-    "relu": (E.relu(_X), "greatest(0, v)"),
-    "sigmoid": (E.sigmoid(_X), "1 / (1 + exp(-v))"),
-    "erf": (E.erf(_X), _erf_sql("v")),
-    "hard_sigmoid": (E.hard_sigmoid(_X), "greatest(0, least(1, 0.2 * v + 0.5))"),
-    "sqrt": (F.sqrt(F.abs(_X)), "sqrt(abs(v))"),
-    "pow": (F.pow(F.abs(_X), F.lit(1.5)), "pow(abs(v), 1.5)"),
-    "gelu": (E.gelu(_X), f"({_erf_sql('v / sqrt(2::DOUBLE)')} + 1) * v * 0.5"),
-    "hard_swish": (E.hard_swish(_X), "greatest(0, least(1, v / 6 + 0.5)) * v"),
-    "add": (_X + (F.col("i") % 7 - 3), "v + (i % 7 - 3)"),
-    "sub": (_X - (F.col("i") % 7 - 3), "v - (i % 7 - 3)"),
-    "mul": (_X * (F.col("i") % 7 - 3), "v * (i % 7 - 3)"),
-    "div": (E.divide(_X, (F.col("i") % 7 + 1).cast("double")), "v / (i % 7 + 1)"),
+    "relu": (lambda x: E.relu(x), "greatest(0, v)"),
+    "sigmoid": (lambda x: E.sigmoid(x), "1 / (1 + exp(-v))"),
+    "erf": (lambda x: E.erf(x), _erf_sql("v")),
+    "hard_sigmoid": (lambda x: E.hard_sigmoid(x), "greatest(0, least(1, 0.2 * v + 0.5))"),
+    "sqrt": (lambda x: F.sqrt(F.abs(x)), "sqrt(abs(v))"),
+    "pow": (lambda x: F.pow(F.abs(x), F.lit(1.5)), "pow(abs(v), 1.5)"),
+    "gelu": (lambda x: E.gelu(x), f"({_erf_sql('v / sqrt(2::DOUBLE)')} + 1) * v * 0.5"),
+    "hard_swish": (lambda x: E.hard_swish(x), "greatest(0, least(1, v / 6 + 0.5)) * v"),
+    "add": (lambda x: x + (F.col("i") % 7 - 3), "v + (i % 7 - 3)"),
+    "sub": (lambda x: x - (F.col("i") % 7 - 3), "v - (i % 7 - 3)"),
+    "mul": (lambda x: x * (F.col("i") % 7 - 3), "v * (i % 7 - 3)"),
+    "div": (lambda x: E.divide(x, (F.col("i") % 7 + 1).cast("double")), "v / (i % 7 + 1)"),
 }
 
 
 def _elementwise(value):
-    return lambda spark, sf: _rounded(_flat(spark, sf).select("vec_id", "i", value.alias("v")))
+    return lambda spark, sf: _rounded(_flat(spark, sf).select("vec_id", "i", value(F.col("v")).alias("v")))
 
 
 for _name, (_value, _sql) in _ELEMENTWISE.items():
