@@ -10,9 +10,11 @@ doc_id, or further up) has a Jaccard similarity of 0.8 or more with it; lines ar
    sketch, packed by chunks of text, to the word's bucket; equal lines of a chunk are sent once.
 3. In a bucket, of equal lines the later ones go. Pairs that share a word are compared in order of size, and pass
    the length filter, the positional filter and the sketch: as many words at least are in just one of two lines
-   as bits differ. Each line keeps the NEAREST earlier lines for each of its prefix words.
+   as bits differ. Each line keeps the NEAREST earlier lines for each of its prefix words, of which it sends on
+   NEAR_ENOUGH where the nearest differs in at most half the bits that it may; without so near a one it sends all.
 4. Candidates are verified on their full sets: first the nearest of each line, then the others. Lines that had
-   more candidates and found no match are asked again, with no limit, so nothing is lost to it.
+   more candidates and found no match are asked again, with no limit, so nothing is lost to it: SEEK_LINES of them
+   at most are broadcast and sought in one pass, more go through the buckets once more.
 
 Cases: lines without words stay, as do null and empty texts. Repeated documents: the same doc_id and text twice
 are one document, and keep the same lines. A null doc_id comes first. Extra columns pass through deduplicated().
@@ -39,7 +41,9 @@ SLOTS = 1 << 22
 BLOCKS = 64
 CHUNK_BYTES = 12 << 20
 BUCKET_BYTES = 4 << 20
-NEAREST = 3
+NEAREST = 32
+NEAR_ENOUGH = 8
+SEEK_LINES = 2000
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -106,8 +110,8 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
 
 
 def sketch_words(size: np.ndarray) -> np.ndarray:
-    """Words of 64 bits in the odd sketch of a line of so many words: a power of two, a bit for each word at least."""
-    return 1 << np.ceil(np.log2(np.maximum(size / 64, 1))).astype(np.int64)
+    """Words of 64 bits in the odd sketch of a line of so many words: a power of two, two bits for each word at least."""
+    return 1 << np.ceil(np.log2(np.maximum(size / 32, 1))).astype(np.int64)
 
 
 _COLUMNS = {"token": "<u8", "key": "<u8", "doc": "<i8", "line": "<i4", "size": "<i4", "place": "<i4", "flags": "<u1"}
@@ -260,17 +264,12 @@ def _match(k: int | None):
             order = np.argsort(near[y], axis=1, kind="stable")
             near[y], who[y] = np.take_along_axis(near[y], order, 1), np.take_along_axis(who[y], order, 1)
 
-        i, step = np.arange(n), 0
-        while len(i):
-            step += 1
-            i = i[i + step < n]
-            j = i + step
-            # rows of a word come by size: once the partner is too long, so are all that follow
-            fits = (c["token"][i] == c["token"][j]) & (DEN * c["size"][i] >= NUM * c["size"][j])
-            i, j = i[fits], j[fits]
+        def passing(i, j):
+            """Of the pairs those that pass the positional filter and the sketch, with the bits in which they differ."""
             total = c["size"][i] + c["size"][j]
             room = np.minimum(c["size"][i] - c["place"][i], c["size"][j] - c["place"][j])  # as if this were their first common word
-            ok = (NUM + DEN) * room >= NUM * total
+            # shorter lines would have to be equal, and no two here are
+            ok = ((NUM + DEN) * room >= NUM * total) & (total >= NUM + DEN)
             a, b, total = i[ok], j[ok], total[ok]
             least = np.minimum(c["words"][a], c["words"][b])
             at_a = np.where(c["words"][a] == least, c["own"][a], c["half"][a])
@@ -280,15 +279,41 @@ def _match(k: int | None):
                 has = np.flatnonzero(least > t)
                 apart[has] += np.bitwise_count(sketch[at_a[has] + t] ^ sketch[at_b[has] + t])
             ok = ((NUM + DEN) * apart <= (DEN - NUM) * total) & (rank[a] != rank[b])
-            a, b, apart = a[ok], b[ok], apart[ok]
+            return a[ok], b[ok], apart[ok]
+
+        i, step = np.arange(n), 0
+        while len(i):
+            step += 1
+            i = i[i + step < n]
+            j = i + step
+            # rows of a word come by size: once the partner is too long, so are all that follow
+            fits = (c["token"][i] == c["token"][j]) & (DEN * c["size"][i] >= NUM * c["size"][j])
+            i, j = i[fits], j[fits]
+            a, b, apart = passing(i, j)
             later = rank[a] > rank[b]
             offer(a[later], b[later], apart[later])
             offer(b[~later], a[~later], apart[~later])
         if k is None:
             y, x, apart = (np.concatenate([np.zeros(0, np.int64), *(e[m] for e in every)]) for m in range(3))
         else:
+            # where the nearest is well within the limit it is all but sure to match: a few will do
+            sure = 2 * (NUM + DEN) * near[:, 0] <= (DEN - NUM) * 2 * c["size"]
+            if k > NEAR_ENOUGH:
+                cut = sure & (who[:, NEAR_ENOUGH] >= 0)
+                more[cut] = True
+                who[cut, NEAR_ENOUGH:] = -1
             y, slot = np.nonzero(who >= 0)
             x, apart = who[y, slot], near[y, slot]
+            # lines with more candidates than that, none of them so near: all of them
+            unsure = np.flatnonzero(more & ~sure)
+            more[unsure] = False
+            for row in unsure.tolist():
+                lo, hi = np.searchsorted(c["token"], c["token"][row], "left"), np.searchsorted(c["token"], c["token"][row], "right")
+                other = np.arange(lo, hi)
+                short, long = np.minimum(c["size"][other], c["size"][row]), np.maximum(c["size"][other], c["size"][row])
+                other = other[(rank[other] < rank[row]) & (DEN * short >= NUM * long)]
+                yy, xx, aa = passing(np.full(len(other), row), other)
+                y, x, apart = np.r_[y, yy], np.r_[x, xx], np.r_[apart, aa]
         # one row for each pair of lines in this bucket
         _, once = np.unique(rank[y] * max(n, 1) + rank[x], return_index=True)
         y, x, apart, flag = y[once], x[once], apart[once], more[y[once]]
@@ -369,14 +394,57 @@ def removals(docs: DataFrame, nearest: int = NEAREST) -> DataFrame:
         hits = verified(rest.select(*line, *other).distinct(), sets)
         gone = gone.unionByName(hits)
         asking = saved(rest.where("more").select(line).distinct().join(hits, line, "left_anti"), "line-asking")
-        if not asking.isEmpty():
+        if few(asking, SEEK_LINES):
+            rows = sets.join(F.broadcast(asking), line, "left_semi").limit(SEEK_LINES).collect()
+            if rows:
+                lines = [(r.doc_id, r.line, np.frombuffer(bytes(r.words), np.uint64)) for r in rows]
+                owners: dict[int, list[int]] = {}
+                for i, (_, _, words) in enumerate(lines):
+                    for t in words[: int(prefix_length(np.int64(len(words))))].tolist():
+                        owners.setdefault(t, []).append(i)
+                known = sorted(owners)
+                asks = spark.sparkContext.broadcast((np.array(known, np.uint64), [owners[t] for t in known], lines))
+                gone = gone.unionByName(source.mapInArrow(_seek(levels, asks), "doc_id long, line int"))
+        else:
             by_doc = saved(asking.groupBy("doc_id").agg(F.collect_list("line").alias("lines")), "line-asking")
             again = compared(source.join(F.broadcast(by_doc) if few(by_doc) else by_doc, "doc_id", "left"), None)
             gone = gone.unionByName(verified(again.select(*line, *other).distinct(), sets_of(again)))
     return gone.distinct()
 
 
-@K.tidy
+def _seek(levels, asks):
+    """Of few lines that ask, those that an earlier line of the batches matches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, own, lines = asks.value
+        found: set[int] = set()
+        for batch in batches:
+            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            for lo, hi in K.groups(texts):
+                words = K.split(texts[lo:hi], K.SPACE, lower=True)
+                h = words.hashes()
+                token = (levels.value[_slot(h)].astype(np.uint64) << np.uint64(59)) | (h >> np.uint64(5))
+                hit = known[np.minimum(np.searchsorted(known, token), len(known) - 1)] == token
+                docs = np.unique(words.doc_of()[hit])
+                if not len(docs):
+                    continue
+                x = _Lines([texts[lo + d] for d in docs.tolist()], levels.value)
+                at = np.minimum(np.searchsorted(known, x.token), len(known) - 1)
+                pos = np.flatnonzero(known[at] == x.token)
+                for i, k in set(zip((np.searchsorted(x.first, pos, "right") - 1).tolist(), at[pos].tolist(), strict=True)):
+                    place, size = (ids[lo + docs[x.doc[i]]], int(x.number[i])), int(x.size[i])
+                    mine = x.token[x.first[i] : x.first[i + 1]]
+                    for y in own[k]:
+                        doc, line, theirs = lines[y]
+                        if place < (doc, line) and y not in found and DEN * min(size, len(theirs)) >= NUM * max(size, len(theirs)):
+                            both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                            if DEN * both >= NUM * (size + len(theirs) - both):
+                                found.add(y)
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([lines[y][0] for y in found], pa.int64()), "line": pa.array([lines[y][1] for y in found], pa.int32())})
+
+    return K.tidy(run)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removes the lines listed in _gone from text; adds _n_lines."""
     for batch in batches:

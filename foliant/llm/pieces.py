@@ -17,8 +17,8 @@ No piece has U+2581 after another character, so no path crosses a blank: a text
 what follows, which are composed by themselves, many of one length at a time, and kept in a bounded cache.
 
 Cases: a null text gives null ids, an empty one none. A literal U+2581 in a text decodes as a blank, which is the
-model's own loss. Unpaired surrogates cannot occur in Spark strings. Extra columns are ignored by encoded() and
-kept by with_ids().
+model's own loss. Unpaired surrogates cannot occur in Spark strings. Extra columns stay, but for
+those with the names of the new ones.
 """
 
 from __future__ import annotations
@@ -331,7 +331,7 @@ def with_ids(docs: DataFrame, model_path: str = MODEL, decode: bool = True, keep
     """docs with ids (array<int>), n_ids and, if asked, round_trip: whether decoding the ids gives the text again."""
     with open(model_path, "rb") as f:  # installed on the driver; 0.5 MB
         model = docs.sparkSession.sparkContext.broadcast(f.read())
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_ids", "round_trip")]
     shape = extended(docs.select(*keep).schema, "ids array<int>, n_ids long" + ", round_trip boolean" * decode)
     return docs.mapInArrow(_encode(model, keep, decode), shape)
 
