@@ -44,8 +44,11 @@ def forget(df: DataFrame) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of what df reads. Sizes partitions and buckets only, never results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of what df reads; measured where it has none. Sizes partitions and buckets only, never results."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:
+        size = df.select(F.sum(F.octet_length(F.to_json(F.struct("*"))))).head()[0] or 0
+    return size
 
 
 def dealt(df: DataFrame, n: int, *cols) -> DataFrame:
@@ -54,7 +57,7 @@ def dealt(df: DataFrame, n: int, *cols) -> DataFrame:
 
 
 #: Rows of texts that Spark hands to Python at once; its default of 10,000 is too many for long texts.
-BATCH_ROWS = 1000
+BATCH_ROWS = 400
 
 
 def small_batches(spark: SparkSession) -> None:

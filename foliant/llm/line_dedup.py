@@ -39,7 +39,7 @@ from foliant.llm.near_dedup import few
 NUM, DEN = 4, 5
 SLOTS = 1 << 22
 BLOCKS = 64
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 BUCKET_BYTES = 4 << 20
 NEAREST = 32
 NEAR_ENOUGH = 8
@@ -231,7 +231,9 @@ def _match(k: int | None):
         order = np.lexsort((c["line"], c["doc"], c["size"], c["key"], c["token"]))
         same = np.zeros(len(order), bool)
         same[1:] = np.logical_and.reduce([c[n][order[1:]] == c[n][order[:-1]] for n in ("token", "key", "size")])
-        gone = order[same & ((c["flags"][order] & LEAD) > 0)] if k is not None else order[:0]
+        run_first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+        other = (c["doc"][order] != c["doc"][run_first]) | (c["line"][order] != c["line"][run_first])  # not the same row twice
+        gone = order[same & other & ((c["flags"][order] & LEAD) > 0)] if k is not None else order[:0]
         hits = c["doc"][gone], c["line"][gone]
         keep = order[~same]
         keep = keep[np.lexsort((c["size"][keep], c["token"][keep]))]
