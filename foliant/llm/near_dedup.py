@@ -10,7 +10,7 @@
    component takes its K nearest classes in other components, confirmed ones merge. Here the odd sketches are
    of the whole sets, two bits a shingle or more: at least as many shingles are in just one of two sets as bits
    differ, so nothing is lost by them, and few pairs pass that are not linked. K grows until no class has
-   candidates left untested, so no link that shares a bucket is lost. Large buckets are salted.
+   candidates left untested, so no link that shares a bucket is lost. Large buckets are salted on both sides.
 
 Bands: two documents at a similarity of 0.85 share no bucket with a probability of (1 - 0.85**4)**20 = 4e-7.
 The sketch's limit lets them pass unless 33 of their 80 minima or more differ (12 are expected).
@@ -221,12 +221,14 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         mixed = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size")
         main = now.groupBy("band", "component").count().groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
         spread = now.join(mixed.join(main, "band"), "band").withColumn("salts", F.ceil(F.col("size") / SALT_ROWS).cast("int"))
-        rows = spread.withColumns({"salt": F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"), "asks": F.lit(False)})
         ask = spread.where("component <> main") if asking is None else spread.join(asking, "node", "left_semi")
-        ask = ask.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "asks": F.lit(True)})
-        cols = ["band", "salt", "asks", "node", "n", "component", "parity"]
+        askers = ask.groupBy("band").count().select("band", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("parts"))
+        # a grid of cells: those asked are in one row of a bucket's cells, those that ask in one column
+        rows = spread.join(askers, "band").withColumns({"salt": F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "asks": F.lit(False)})
+        ask = ask.join(askers, "band").withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "asks": F.lit(True)})
+        cols = ["band", "salt", "part", "asks", "node", "n", "component", "parity"]
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, but much to compare
-        tried = dealt(rows.select(cols).unionByName(ask.select(cols)), parts, "band", "salt").groupBy("band", "salt").applyInArrow(_pairs(k, percent), "y long, x long, more boolean")
+        tried = dealt(rows.select(cols).unionByName(ask.select(cols)), parts, "band", "salt", "part").groupBy("band", "salt", "part").applyInArrow(_pairs(k, percent), "y long, x long, more boolean")
         pairs = saved(tried.groupBy("y", "x").agg(F.max("more").alias("more")), "pairs")
         forget(now)
         new = confirmed(pairs.select(F.least("y", "x").alias("a"), F.greatest("y", "x").alias("b")).distinct())
