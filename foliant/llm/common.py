@@ -24,11 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Bytes of a Parquet row group that saved() writes: what a task buffers on writing, and what one reads at least.
+ROW_GROUP_BYTES = 16 << 20
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet below the shared folder and reads it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._foliant_path = path
     return out
@@ -61,10 +65,10 @@ BATCH_ROWS = 400
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets Python get BATCH_ROWS rows at once at most. Has no bearing on results."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Lets Parquet's reader and Python get BATCH_ROWS rows at once at most. Has no bearing on results."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+            spark.conf.set(key, BATCH_ROWS)
 
 
 def as_bytes(name: str = "text"):
