@@ -63,14 +63,15 @@ def _hits(texts: list[bytes | None], index: dict) -> tuple[K.Words, np.ndarray,
     return words, hit, items
 
 
-def _scan(index, last: bool):
-    """One pass: adds the slice's hits to the columns _hit (a bit for each word) and _items."""
+def _scan(index, then=None):
+    """One pass: adds the slice's hits to the columns _hit (a bit for each word) and _items. What follows on the
+    batches runs in the same Python worker."""
 
     @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
         for batch in batches:
-            texts = batch.column("_bytes").to_pylist()
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
             before, listed = batch.column("_hit").to_pylist(), batch.column("_items").to_pylist()
             masks, items = [], []
             for lo, hi in K.groups(texts):
@@ -84,29 +85,29 @@ def _scan(index, last: bool):
             batch = batch.set_column(batch.schema.get_field_index("_hit"), "_hit", pa.array(masks, pa.binary()))
             yield batch.set_column(batch.schema.get_field_index("_items"), "_items", pa.array(items, pa.list_(pa.string())))
 
-    return run
+    return run if then is None else lambda batches: then(run(batches))
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """docs with _bytes, _hit and _items."""
+def marked(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, slice_bytes: int = SLICE_BYTES, then=None, schema=None) -> DataFrame:
+    """docs with _hit and _items; or what the function makes of such batches, in the given schema."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", F.col("text").cast("binary").alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).head()[0] or 0
     slices = -(-total // slice_bytes) or 1
-    out = docs.withColumns({"_bytes": F.col("text").cast("binary"), "_hit": F.lit(b"").cast("binary"), "_items": F.array().cast("array<string>")})
+    out = docs.withColumns({"_hit": F.lit(b"").cast("binary"), "_items": F.array().cast("array<string>")})
     for k in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(slices)) == k)
         index = spark.sparkContext.broadcast(_index([tuple(r) for r in part.collect()], n))
-        out = out.mapInArrow(_scan(index, k == slices - 1), out.schema)
-        if k < slices - 1:
-            out = saved(out, "decontaminate")
-    return out
+        if k == slices - 1:
+            return out.mapInArrow(_scan(index, then), out.schema if schema is None else schema)
+        out = saved(out.mapInArrow(_scan(index), out.schema), "decontaminate")
 
 
 @K.tidy
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, masks, items = (batch.column(c).to_pylist() for c in ("_bytes", "_hit", "_items"))
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        masks, items = (batch.column(c).to_pylist() for c in ("_hit", "_items"))
         counts = np.concatenate([np.diff(K.split(texts[lo:hi], K.ALNUM, lower=True).first) for lo, hi in K.groups(texts)] or [np.zeros(0, np.int64)])
         hits = [int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) for m in masks]
         yield pa.RecordBatch.from_pydict({
@@ -119,15 +120,14 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """For each document the number of words, of hit words and of items, and a digest of the items."""
-    found = marked(docs.select("doc_id", "text"), benchmark, n, slice_bytes).drop("text")
-    return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    shape = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return marked(docs.select("doc_id", "text"), benchmark, n, slice_bytes, _digest, shape)
 
 
-@K.tidy
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        texts, out = batch.column("_bytes").to_pylist(), batch.column("text").to_pylist()
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
         for i, mask in enumerate(batch.column("_hit").to_pylist()):
             if mask and any(mask):
                 words = K.split([texts[i]], K.ALNUM, lower=True)
@@ -137,18 +137,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for lo, hi in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
                     kept.append(texts[i][last : int(words.start[lo])])
                     last = int(words.end[hi - 1])
-                out[i] = b"".join([*kept, texts[i][last:]]).decode("utf-8", "replace")
-        yield batch.set_column(at, "text", pa.array(out, pa.string()))
+                texts[i] = b"".join([*kept, texts[i][last:]])
+        yield batch.set_column(at, "text", pa.array(texts, pa.binary()).view(pa.string())).select([c for c in batch.schema.names if c not in ("_hit", "_items")])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "spans", n: int = NGRAM) -> DataFrame:
     """docs without the contaminated spans ("spans") or documents ("documents"); all columns stay."""
-    found = marked(docs, benchmark, n)
     if remove == "documents":
-        out = found.where("length(replace(hex(_hit), '0', '')) = 0")
-    else:
-        out = found.mapInArrow(_cut, found.schema)
-    return out.select(*docs.columns)
+        return marked(docs, benchmark, n).where("length(replace(hex(_hit), '0', '')) = 0").select(*docs.columns)
+    return marked(docs, benchmark, n, then=_cut, schema=docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

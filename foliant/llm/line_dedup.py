@@ -447,6 +447,7 @@ def _seek(levels, asks):
     return K.tidy(run)
 
 
+@K.tidy
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removes the lines listed in _gone from text; adds _n_lines."""
     for batch in batches:
