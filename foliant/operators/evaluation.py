@@ -39,3 +39,24 @@ def live_bound(spans: DataFrame) -> DataFrame:
     steps = rise.unionByName(fall).groupBy("grp", "at").agg(F.sum("d").alias("d"))
     live = F.sum("d").over(Window.partitionBy("grp").orderBy("at"))
     return steps.withColumn("live", live).groupBy("grp").agg(F.max("live").alias("bound"))
+
+
+def merged_profiles(stages: list[DataFrame]) -> DataFrame:
+    """Profiles (op, calls, total) of several models as one: sums for each operator that was called."""
+    out = stages[0]
+    for stage in stages[1:]:
+        out = out.unionByName(stage)
+    return out.groupBy("op").agg(F.sum("calls").alias("calls"), F.sum("total").alias("total")).where("calls > 0")
+
+
+def rounded_mean(total: Column, n: Column) -> Column:
+    """The mean of whole numbers, to the nearest whole number, halves up; null for none."""
+    half = F.floor(n / 2)
+    return F.floor(F.try_divide(total + half, n))
+
+
+def closeness(a: DataFrame, b: DataFrame, keys: list[str], by: str, absolute: float, relative: float) -> DataFrame:
+    """For each tensor the largest and mean difference of v, and how many elements are off by more than allowed."""
+    both = a.join(b.withColumnRenamed("v", "want"), keys)
+    delta = F.abs(F.col("v") - F.col("want"))
+    return both.groupBy(by).agg(F.max(delta).alias("max_delta"), F.avg(delta).alias("mean_delta"), F.count_if(delta > absolute + relative * F.abs(F.col("v"))).alias("off"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions import elementwise as E
-from foliant.operators import decoding, detection, evaluation, tensor
+from foliant.operators import decoding, detection, evaluation, images, tensor
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -480,3 +480,92 @@ def lifetime_overlap(spark, sf):
 def page_text(spark, sf):
     lines = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
     return _t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda s: s.text), "\n").alias("text"))
+
+
+# --- reports over runs --------------------------------------------------------------------------------------
+
+
+@query("profile_nodes", "SELECT user_id % 3 AS model, user_id AS node, event_type AS op, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def profile_nodes(spark, sf):
+    keys = [(F.col("user_id") % 3).alias("model"), F.col("user_id").alias("node"), F.col("event_type").alias("op")]
+    return _t(spark, sf, "events").groupBy(*keys).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("profile_merge", "SELECT event_type AS op, count(*) FILTER (WHERE value > 1) AS calls, round(sum(value) FILTER (WHERE value > 1), 4) AS total FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE value > 1) > 0")
+def profile_merge(spark, sf):
+    """Profiles of three models in one; operators without calls go."""
+    op = F.col("event_type").alias("op")
+    stages = [_t(spark, sf, "events").where(F.col("user_id") % 3 == k).groupBy(op).agg(F.count_if(F.col("value") > 1).alias("calls"), F.sum(F.when(F.col("value") > 1, F.col("value"))).alias("total")) for k in range(3)]
+    return evaluation.merged_profiles(stages).withColumn("total", F.round("total", 4))
+
+
+@query("rounded_per_call", "SELECT l_suppkey AS op, (sum(l_partkey) + count(*) // 2) // count(*) AS mean FROM lineitem GROUP BY 1")
+def rounded_per_call(spark, sf):
+    return _t(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("op")).agg(evaluation.rounded_mean(F.sum("l_partkey"), F.count("*")).alias("mean"))
+
+
+@query("throughput_change", "WITH m AS (SELECT l_linenumber AS run, avg(l_quantity) AS mean FROM lineitem GROUP BY 1) SELECT run, round(CASE WHEN mean > 0 THEN 1000 / mean ELSE 0 END, 6)::DOUBLE AS per_second, round((mean / (SELECT mean FROM m WHERE run = 1) - 1) * 100, 6)::DOUBLE AS change FROM m")
+def throughput_change(spark, sf):
+    m = _t(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("run")).agg(F.avg("l_quantity").alias("mean"))
+    base = m.where("run = 1").select(F.col("mean").alias("base"))  # one row
+    rate = F.when(F.col("mean") > 0, 1000 / F.col("mean")).otherwise(0.0)
+    return _rounded(m.join(F.broadcast(base)).select("run", rate.alias("per_second"), ((F.col("mean") / F.col("base") - 1) * 100).alias("change")), "per_second", "change")
+
+
+@query("workspace_totals", "SELECT count(*) AS plans, sum(p_size)::BIGINT AS before, sum(p_size // 2 + 1)::BIGINT AS after, round(CASE WHEN sum(p_size // 2 + 1) > 0 THEN sum(p_size // 3) / sum(p_size // 2 + 1) ELSE 1 END, 6)::DOUBLE AS efficiency FROM part")
+def workspace_totals(spark, sf):
+    size = F.col("p_size").cast("long")
+    after, bound = F.sum(F.floor(size / 2) + 1), F.sum(F.floor(size / 3))
+    return _t(spark, sf, "part").agg(F.count("*").alias("plans"), F.sum(size).alias("before"), after.alias("after"), F.round(F.coalesce(F.try_divide(bound, after), F.lit(1.0)), 6).alias("efficiency"))
+
+
+@query("tensor_close", _FLAT + ", d AS (SELECT vec_id, abs(v - round(v, 3)) AS d, 0.0001 + 0.001 * abs(v) AS most FROM e) SELECT vec_id, round(max(d), 6) AS max_delta, round(avg(d), 6) AS mean_delta, count(*) FILTER (WHERE d > most) AS off FROM d GROUP BY 1")
+def tensor_close(spark, sf):
+    x = _flat(spark, sf)
+    return _rounded(evaluation.closeness(x, x.select("vec_id", "i", F.round("v", 3).alias("v")), ["vec_id", "i"], "vec_id", 1e-4, 1e-3), "max_delta", "mean_delta")
+
+
+@query("file_sets", "SELECT 'both' AS what, count(*) AS n FROM (SELECT l_partkey FROM lineitem INTERSECT SELECT p_partkey FROM part WHERE p_size > 20) UNION ALL SELECT 'either', count(*) FROM (SELECT l_partkey FROM lineitem UNION SELECT p_partkey FROM part WHERE p_size > 20) UNION ALL SELECT 'first', count(*) FROM (SELECT l_partkey FROM lineitem EXCEPT SELECT p_partkey FROM part WHERE p_size > 20)")
+def file_sets(spark, sf):
+    a, b = _t(spark, sf, "lineitem").select(F.col("l_partkey").alias("k")), _t(spark, sf, "part").where("p_size > 20").select(F.col("p_partkey").alias("k"))
+    both = a.distinct().withColumn("a", F.lit(1)).join(b.distinct().withColumn("b", F.lit(1)), "k", "full")  # one pass for all three
+    n = both.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("x"), F.count("*").alias("y"), F.count_if(F.col("b").isNull()).alias("z"))
+    return n.select(F.explode(F.array(*[F.struct(F.lit(w).alias("what"), F.col(c).alias("n")) for w, c in (("both", "x"), ("either", "y"), ("first", "z"))])).alias("r")).select("r.*")
+
+
+@query("running_peak", "SELECT event_id, user_id, round(max(value) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS peak FROM events")
+def running_peak(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return _t(spark, sf, "events").select("event_id", "user_id", F.round(F.max("value").over(w), 6).alias("peak"))
+
+
+# --- pixels, boxes and texts --------------------------------------------------------------------------------
+
+
+@query("argb_to_bgr", "SELECT l_orderkey, l_linenumber, (v & 255)::INT AS b, (v >> 8 & 255)::INT AS g, (v >> 16 & 255)::INT AS r FROM (SELECT l_orderkey, l_linenumber, l_partkey::BIGINT * 7919 AS v FROM lineitem)")
+def argb_to_bgr(spark, sf):
+    b, g, r = images.channels(F.col("l_partkey").cast("long") * 7919)
+    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", b.alias("b"), g.alias("g"), r.alias("r"))
+
+
+@query("box_unclip", "SELECT l_orderkey, l_linenumber, round(l_quantity * (l_linenumber + 2) * 1.5::DOUBLE / (2 * (l_quantity + l_linenumber + 2)), 6)::DOUBLE AS distance FROM lineitem")
+def box_unclip(spark, sf):
+    return _rounded(_t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", images.unclip(F.col("l_quantity"), F.col("l_linenumber") + 2, 1.5).alias("distance")), "distance")
+
+
+@query("crop_size", "SELECT p_partkey, w, h, h >= 1.5 * w AS rotated FROM (SELECT p_partkey, greatest(1, floor(sqrt(p_size * p_size + 9.0) + 0.5))::INT AS w, greatest(1, floor(sqrt((p_partkey % 50) * (p_partkey % 50) + 4.0) + 0.5))::INT AS h FROM part)")
+def crop_size(spark, sf):
+    w, h = images.side(F.col("p_size"), F.lit(3)), images.side(F.col("p_partkey") % 50, F.lit(2))
+    return _t(spark, sf, "part").select("p_partkey", w.alias("w"), h.alias("h")).withColumn("rotated", F.col("h") >= 1.5 * F.col("w"))
+
+
+@query("file_names", "SELECT page_id, CASE WHEN strpos(reverse(url), '.') BETWEEN 1 AND length(url) - 1 THEN left(url, length(url) - strpos(reverse(url), '.')) ELSE url END || '.jpg' AS name FROM pages")
+def file_names(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", images.with_extension(F.col("url"), ".jpg").alias("name"))
+
+
+@query("reading_order", None)
+def reading_order(spark, sf):
+    """Boxes of a page in columns; tests hold it against hand-made pages."""
+    boxes = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("int").alias("idx"), (F.col("l_partkey") % 100).cast("double").alias("x0"), (F.col("l_suppkey") % 100).cast("double").alias("y0"))
+    return images.lines_in_order(boxes.withColumns({"x1": F.col("x0") + 30, "y1": F.col("y0") + 12}))

@@ -3,7 +3,7 @@
 import math
 
 from foliant.functions import elementwise as E
-from foliant.operators import decoding, detection, evaluation, tensor
+from foliant.operators import decoding, detection, evaluation, images, tensor
 
 
 def values(df, *order):
@@ -69,3 +69,15 @@ def test_hull_drops_collinear_points():
 def test_greedy_matches_are_one_to_one(spark):
     pairs = spark.createDataFrame([("f", 1, 1, 0.9), ("f", 1, 2, 0.8), ("f", 2, 1, 0.7), ("f", 2, 2, 0.6)], "file string, gt int, pred int, iou double")
     assert sorted((r.gt, r.pred) for r in evaluation.greedy_matches(pairs).collect()) == [(1, 1), (2, 2)]
+
+
+def test_reading_order_within_and_across_rows(spark):
+    rows = [(1, 0, 50.0, 5.0), (1, 1, 10.0, 9.0), (1, 2, 0.0, 40.0), (2, 0, 0.0, 0.0)]
+    boxes = spark.createDataFrame(rows, "page long, idx int, x0 double, y0 double").selectExpr("*", "x0 + 5 AS x1", "y0 + 5 AS y1")
+    got = {(r.page, r.k): r.idx for r in images.lines_in_order(boxes).collect()}
+    assert got == {(1, 0): 1, (1, 1): 0, (1, 2): 2, (2, 0): 0}
+
+
+def test_file_names_keep_a_leading_dot(spark):
+    names = spark.createDataFrame([("a.b.png",), (".png",), ("a",)], "n string")
+    assert [r.n for r in names.select(images.with_extension(names.n, ".jpg").alias("n")).collect()] == ["a.b.jpg", ".png.jpg", "a.jpg"]
