@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions import elementwise as E
+from foliant.functions import text as texts
 from foliant.operators import decoding, detection, evaluation, images, tensor
 
 QUERIES: dict = {}
@@ -499,7 +500,7 @@ def profile_merge(spark, sf):
     return evaluation.merged_profiles(stages).withColumn("total", F.round("total", 4))
 
 
-@query("rounded_per_call", "SELECT l_suppkey AS op, (sum(l_partkey) + count(*) // 2) // count(*) AS mean FROM lineitem GROUP BY 1")
+@query("rounded_per_call", "SELECT l_suppkey AS op, ((sum(l_partkey) + count(*) // 2) // count(*))::BIGINT AS mean FROM lineitem GROUP BY 1")
 def rounded_per_call(spark, sf):
     return _t(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("op")).agg(evaluation.rounded_mean(F.sum("l_partkey"), F.count("*")).alias("mean"))
 
@@ -569,3 +570,13 @@ def reading_order(spark, sf):
     """Boxes of a page in columns; tests hold it against hand-made pages."""
     boxes = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("int").alias("idx"), (F.col("l_partkey") % 100).cast("double").alias("x0"), (F.col("l_suppkey") % 100).cast("double").alias("y0"))
     return images.lines_in_order(boxes.withColumns({"x1": F.col("x0") + 30, "y1": F.col("y0") + 12}))
+
+
+@query("text_nfc", "SELECT doc_id, nfc_normalize(replace(text, chr(13) || chr(10), chr(10))) AS text FROM documents")
+def text_nfc(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", texts.nfc(F.col("text")).alias("text"))
+
+
+@query("asset_hashes", "SELECT item_id, sha256(text) AS sha256 FROM benchmark")
+def asset_hashes(spark, sf):
+    return _t(spark, sf, "benchmark").select("item_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
