@@ -46,6 +46,8 @@ PATTERNS = {
     "name": rf"(?<=(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? ){_WORD}(?: {_WORD})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Cheap to look for; every match of ANY has one of these within it or right before it.
+ANCHORS = r"[0-9@]|AKIA|[a-f]{32}|[A-F]{32}|(?:password|PASSWORD|Password)=|(?:" + f"{MALE}|{FEMALE}|{NEUTRAL}" + r")\.? \p{Lu}"
 
 #: Given names by gender and script.
 GIVEN = {
@@ -193,7 +195,7 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with the entities of text replaced, and n_entities: the mentions in each."""
-    found = docs.withColumn("_mentions", F.when(F.col("text").rlike(r"[0-9@]|(?:" + f"{MALE}|{FEMALE}|{NEUTRAL}" + r")\.? \p{Lu}"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+    found = docs.withColumn("_mentions", F.when(F.col("text").rlike(ANCHORS), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
     own = F.size("_mentions")
     with_any = found.where(own > 0).withColumn("_row", F.xxhash64("doc_id", "text"))
     without = found.where(~F.coalesce(own > 0, F.lit(False)))

@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+from foliant.llm import surrogates
 from foliant.llm.common import table
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -38,3 +39,13 @@ def test_pipeline_drops_near_copies_from_80_percent(spark):
     assert between
     left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SHAPE), "")
     assert sorted(r.doc_id for r in left.collect()) == sorted(i for i in sets if root(i) == i)
+
+
+def test_secrets_without_digits(spark):
+    secrets = ["hunter", "AKIA" + "QWERTYUIOPASDFGH", "abcdef" * 6, "ABCDEF" * 6]
+    texts = [f"the password={secrets[0]} of ours", *(f"our key {s} here" for s in secrets[1:])]
+    rows = list(enumerate(texts)) + [(10 + k, t + " 7") for k, t in enumerate(texts)] + [(20, "nothing to see")]
+    got = {r.doc_id: r for r in surrogates.replaced(spark.createDataFrame(rows, SHAPE)).collect()}
+    for k, s in enumerate(secrets):
+        assert got[k].n_entities == 1 and s not in got[k].text and got[10 + k].text == got[k].text + " 7"
+    assert (got[20].n_entities, got[20].text) == (0, "nothing to see")
