@@ -17,7 +17,8 @@ doc_id, or further up) has a Jaccard similarity of 0.8 or more with it; lines ar
    at most are broadcast and sought in one pass, more go through the buckets once more.
 
 Cases: lines without words stay, as do null and empty texts. Repeated documents: the same doc_id and text twice
-are one document, and keep the same lines. A null doc_id comes first. Extra columns pass through deduplicated().
+are one document, and keep the same lines. Rows that share a doc_id, or have none, but differ in text are told apart
+by a hash of it, in whose order they come. A null doc_id comes first. Extra columns pass through deduplicated().
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def sketch_words(size: np.ndarray) -> np.ndarray:
     return 1 << np.ceil(np.log2(np.maximum(size / 32, 1))).astype(np.int64)
 
 
-_COLUMNS = {"token": "<u8", "key": "<u8", "doc": "<i8", "line": "<i4", "size": "<i4", "place": "<i4", "flags": "<u1"}
+_COLUMNS = {"token": "<u8", "key": "<u8", "doc": "<i8", "row": "<i8", "line": "<i4", "size": "<i4", "place": "<i4", "flags": "<u1"}
 LEAD, ASKS = 1, 2
 
 
@@ -136,7 +137,7 @@ class _Chunk:
         self.lines: list[dict] = []
         self.size = 0
 
-    def add(self, texts: list[bytes | None], ids: np.ndarray, asks: list | None, levels: np.ndarray) -> None:
+    def add(self, texts: list[bytes | None], ids: np.ndarray, rows: np.ndarray, asks: list | None, levels: np.ndarray) -> None:
         x = _Lines(texts, levels)
         self.size += sum(len(t or b"") for t in texts)
         if not len(x.line):
@@ -155,11 +156,11 @@ class _Chunk:
         begin = np.cumsum(words) - words
         mixed = K.mix(x.token)
         for w in np.unique(words).tolist():
-            rows = np.flatnonzero(words == w)
-            pick = np.repeat(starts[rows], x.size[rows]) + np.arange(x.size[rows].sum()) - np.repeat(np.cumsum(x.size[rows]) - x.size[rows], x.size[rows])
-            sketches[(begin[rows][:, None] + np.arange(w)).ravel()] = K.parity_bits(mixed[pick], np.r_[0, np.cumsum(x.size[rows])], w).ravel()
+            own = np.flatnonzero(words == w)
+            pick = np.repeat(starts[own], x.size[own]) + np.arange(x.size[own].sum()) - np.repeat(np.cumsum(x.size[own]) - x.size[own], x.size[own])
+            sketches[(begin[own][:, None] + np.arange(w)).ravel()] = K.parity_bits(mixed[pick], np.r_[0, np.cumsum(x.size[own])], w).ravel()
         self.lines.append({
-            "doc": ids[x.doc], "line": x.number.astype("<i4"), "size": x.size.astype("<i4"), "key": np.add.reduceat(K.mix(~x.token), starts),
+            "doc": ids[x.doc], "row": rows[x.doc], "line": x.number.astype("<i4"), "size": x.size.astype("<i4"), "key": np.add.reduceat(K.mix(~x.token), starts),
             "asks": asked, "words": words, "sketches": sketches, "owner": owner, "token": x.token[at], "place": (at - starts[owner]).astype("<i4"),
         })
 
@@ -168,11 +169,11 @@ class _Chunk:
         if not parts:
             return None
         base = np.cumsum([0] + [len(p["doc"]) for p in parts])
-        line = {c: np.concatenate([p[c] for p in parts]) for c in ("doc", "line", "size", "key", "asks", "words", "sketches")}
+        line = {c: np.concatenate([p[c] for p in parts]) for c in ("doc", "row", "line", "size", "key", "asks", "words", "sketches")}
         owner = np.concatenate([p["owner"] + b for p, b in zip(parts, base, strict=False)])
         token, place = (np.concatenate([p[c] for p in parts]) for c in ("token", "place"))
         # of equal lines the first stands for the chunk; the others are told apart from it, but compared no further
-        order = np.lexsort((line["line"], line["doc"], line["size"], line["key"]))
+        order = np.lexsort((line["line"], line["row"], line["doc"], line["size"], line["key"]))
         again = np.zeros(len(order), bool)
         again[order[1:]] = (line["key"][order[1:]] == line["key"][order[:-1]]) & (line["size"][order[1:]] == line["size"][order[:-1]])
         lead = np.r_[True, owner[1:] != owner[:-1]] if len(owner) else np.zeros(0, bool)
@@ -187,7 +188,7 @@ class _Chunk:
         out: dict[str, list] = {"bucket": [], "blob": []}
         for rows in np.split(order, cut) if len(order) else []:
             own = owner[rows]
-            cols = {"token": token[rows], "key": line["key"][own], "doc": np.diff(line["doc"][own], prepend=0), "line": line["line"][own], "size": line["size"][own], "place": place[rows], "flags": flags[rows]}
+            cols = {"token": token[rows], "key": line["key"][own], "doc": np.diff(line["doc"][own], prepend=0), "row": line["row"][own], "line": line["line"][own], "size": line["size"][own], "place": place[rows], "flags": flags[rows]}
             w = line["words"][own]
             pick = np.repeat(begin[own], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
             blobs = [_planes(cols[c].astype(k)) for c, k in _COLUMNS.items()] + [_planes(line["sketches"][pick].astype("<u8"))]
@@ -201,10 +202,10 @@ def _send(levels, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_numpy()
+            texts, ids, rows = batch.column("text").to_pylist(), batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
             asks = batch.column("lines").to_pylist() if "lines" in batch.schema.names else None
             for lo, hi in K.groups(texts):
-                chunk.add(texts[lo:hi], ids[lo:hi], asks and asks[lo:hi], levels.value)
+                chunk.add(texts[lo:hi], ids[lo:hi], rows[lo:hi], asks and asks[lo:hi], levels.value)
                 if chunk.size >= CHUNK_BYTES and (out := chunk.send(buckets)):
                     yield out
         if out := chunk.send(buckets):
@@ -228,20 +229,20 @@ def _match(k: int | None):
         words = sketch_words(c["size"])
         c["own"], c["words"] = np.cumsum(words) - words, words
         # equal lines
-        order = np.lexsort((c["line"], c["doc"], c["size"], c["key"], c["token"]))
+        order = np.lexsort((c["line"], c["row"], c["doc"], c["size"], c["key"], c["token"]))
         same = np.zeros(len(order), bool)
         same[1:] = np.logical_and.reduce([c[n][order[1:]] == c[n][order[:-1]] for n in ("token", "key", "size")])
         run_first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-        other = (c["doc"][order] != c["doc"][run_first]) | (c["line"][order] != c["line"][run_first])  # not the same row twice
+        other = np.logical_or.reduce([c[n][order] != c[n][run_first] for n in ("doc", "row", "line")])  # not the same row twice
         gone = order[same & other & ((c["flags"][order] & LEAD) > 0)] if k is not None else order[:0]
-        hits = c["doc"][gone], c["line"][gone]
+        hits = c["doc"][gone], c["row"][gone], c["line"][gone]
         keep = order[~same]
         keep = keep[np.lexsort((c["size"][keep], c["token"][keep]))]
         c = {n: v[keep] for n, v in c.items()}
         n = len(keep)
         rank = np.empty(n, np.int64)
-        by_place = np.lexsort((c["line"], c["doc"]))
-        rank[by_place] = np.cumsum(np.r_[0, (c["doc"][by_place][1:] != c["doc"][by_place][:-1]) | (c["line"][by_place][1:] != c["line"][by_place][:-1])]) if n else 0
+        by_place = np.lexsort((c["line"], c["row"], c["doc"]))
+        rank[by_place] = np.cumsum(np.r_[0, np.logical_or.reduce([c[m][by_place][1:] != c[m][by_place][:-1] for m in ("doc", "row", "line")])]) if n else 0
         # sketches of half the width, to compare lines that need different widths
         wide = np.flatnonzero(c["words"] > 1)
         half_words = c["words"][wide] // 2
@@ -321,8 +322,8 @@ def _match(k: int | None):
         y, x, apart, flag = y[once], x[once], apart[once], more[y[once]]
         none = np.zeros(len(gone), np.int64)
         return pa.table({
-            "doc_id": np.r_[c["doc"][y], hits[0]], "line": np.r_[c["line"][y], hits[1]].astype(np.int32), "x_doc": np.r_[c["doc"][x], none],
-            "x_line": np.r_[c["line"][x], none].astype(np.int32), "apart": np.r_[apart, none].astype(np.int32), "more": np.r_[flag, none > 0],
+            "doc_id": np.r_[c["doc"][y], hits[0]], "row": np.r_[c["row"][y], hits[1]], "line": np.r_[c["line"][y], hits[2]].astype(np.int32),
+            "x_doc": np.r_[c["doc"][x], none], "x_row": np.r_[c["row"][x], none], "x_line": np.r_[c["line"][x], none].astype(np.int32), "apart": np.r_[apart, none].astype(np.int32), "more": np.r_[flag, none > 0],
             "equal": np.r_[np.zeros(len(y), bool), none == 0],
         })
 
@@ -334,13 +335,13 @@ def _line_sets(levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = levels.value
         for batch in batches:
-            texts, ids, lines = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("lines").to_pylist()
+            texts, ids, rows, lines = (batch.column(c).to_pylist() for c in ("text", "doc_id", "row", "lines"))
             for lo, hi in K.groups(texts):
                 x = _Lines(texts[lo:hi], known)
                 wanted = [set(own) for own in lines[lo:hi]]
                 keep = [i for i, (d, n) in enumerate(zip(x.doc.tolist(), x.number.tolist(), strict=True)) if n in wanted[d]]
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([ids[lo + x.doc[i]] for i in keep], pa.int64()), "line": pa.array(x.number[keep], pa.int32()),
+                    "doc_id": pa.array([ids[lo + x.doc[i]] for i in keep], pa.int64()), "row": pa.array([rows[lo + x.doc[i]] for i in keep], pa.int64()), "line": pa.array(x.number[keep], pa.int32()),
                     "words": pa.array([x.token[x.first[i] : x.first[i + 1]].tobytes() for i in keep], pa.binary()),
                 })
 
@@ -355,32 +356,44 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             y, x = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
             both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
             keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
-        yield batch.select(["doc_id", "line"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.select(["doc_id", "row", "line"]).filter(pa.array(keep, pa.bool_()))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _id, and _row: a hash of the text where doc_id is null or other texts have it too, else 0."""
+    text_hash, own = F.xxhash64("text"), docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63))))
+    hashes = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text_hash).alias("lo"), F.max(text_hash).alias("hi"))
+    shared = saved(hashes.where("lo <> hi").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_shared")), "line-ids")
+    if not few(shared):  # the hash does no harm to rows that need none
+        return own.withColumn("_row", text_hash)
+    told = F.when(F.col("doc_id").isNull() | F.col("_shared"), text_hash).otherwise(F.lit(0))
+    return own.join(F.broadcast(shared), "_id", "left").withColumn("_row", told).drop("_shared")
 
 
 def removals(docs: DataFrame, nearest: int = NEAREST) -> DataFrame:
-    """(doc_id, line): the lines to remove, numbered from 0 in their documents."""
+    """(doc_id, row, line): the lines to remove, numbered from 0 in their documents; row as in keyed()."""
     spark = docs.sparkSession
-    source = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    named = docs if "_row" in docs.columns else keyed(docs)
+    source = named.select(F.col("_id").alias("doc_id"), F.col("_row").alias("row"), F.col("text").cast("binary").alias("text"))
     levels = spark.sparkContext.broadcast(rarity(docs))
     buckets = 1 << max(5, (4 * input_bytes(docs) // BUCKET_BYTES).bit_length())
-    line, other = ["doc_id", "line"], ["x_doc", "x_line"]
+    doc, line, other = ["doc_id", "row"], ["doc_id", "row", "line"], ["x_doc", "x_row", "x_line"]
 
     def compared(texts: DataFrame, k: int | None) -> DataFrame:
         sent = texts.mapInArrow(_send(levels, buckets), "bucket int, blob array<binary>")
-        shape = "doc_id long, line int, x_doc long, x_line int, apart int, more boolean, equal boolean"
+        shape = "doc_id long, row long, line int, x_doc long, x_row long, x_line int, apart int, more boolean, equal boolean"
         return saved(sent.groupBy("bucket").applyInArrow(_match(k), shape), "line-pairs")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(line).unionByName(pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line"))).distinct()
-        by_doc = saved(wanted.groupBy("doc_id").agg(F.collect_list("line").alias("lines")), "line-wanted")
-        texts = source.join(F.broadcast(by_doc) if few(by_doc) else by_doc, "doc_id")
-        return saved(texts.mapInArrow(_line_sets(levels), "doc_id long, line int, words binary"), "line-sets")
+        wanted = pairs.select(line).unionByName(pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_row").alias("row"), F.col("x_line").alias("line"))).distinct()
+        by_doc = saved(wanted.groupBy(doc).agg(F.collect_list("line").alias("lines")), "line-wanted")
+        texts = source.join(F.broadcast(by_doc) if few(by_doc) else by_doc, doc)
+        return saved(texts.mapInArrow(_line_sets(levels), "doc_id long, row long, line int, words binary"), "line-sets")
 
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         left = pairs.join(sets.withColumnRenamed("words", "wy"), line)
-        both = left.join(sets.select(F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line"), F.col("words").alias("wx")), other)
-        return saved(both.select("doc_id", "line", "wy", "wx").mapInArrow(_verify, "doc_id long, line int").distinct(), "line-hits")
+        both = left.join(sets.select(F.col("doc_id").alias("x_doc"), F.col("row").alias("x_row"), F.col("line").alias("x_line"), F.col("words").alias("wx")), other)
+        return saved(both.select(*line, "wy", "wx").mapInArrow(_verify, "doc_id long, row long, line int").distinct(), "line-hits")
 
     found = compared(source, nearest)
     equal = found.where("equal").select(line)
@@ -388,7 +401,7 @@ def removals(docs: DataFrame, nearest: int = NEAREST) -> DataFrame:
     open_pairs = found.where("not equal").join(equal, line, "left_anti")
     pairs = saved(open_pairs.groupBy(*line, *other).agg(F.min("apart").alias("apart"), F.max("more").alias("more")), "line-candidates")
     sets = sets_of(pairs)
-    best = pairs.groupBy(line).agg(F.min(F.struct("apart", *other)).alias("b")).select(*line, "b.x_doc", "b.x_line")
+    best = pairs.groupBy(line).agg(F.min(F.struct("apart", *other)).alias("b")).select(*line, "b.x_doc", "b.x_row", "b.x_line")
     hits = verified(best, sets)
     rest = saved(pairs.join(hits, line, "left_anti"), "line-rest")
     gone = equal.unionByName(hits)
@@ -397,19 +410,19 @@ def removals(docs: DataFrame, nearest: int = NEAREST) -> DataFrame:
         gone = gone.unionByName(hits)
         asking = saved(rest.where("more").select(line).distinct().join(hits, line, "left_anti"), "line-asking")
         if few(asking, SEEK_LINES):
-            rows = sets.join(F.broadcast(asking), line, "left_semi").limit(SEEK_LINES).collect()
+            rows = sets.join(F.broadcast(asking), line, "left_semi").dropDuplicates(line).collect()
             if rows:
-                lines = [(r.doc_id, r.line, np.frombuffer(bytes(r.words), np.uint64)) for r in rows]
+                lines = [((r.doc_id, r.row, r.line), np.frombuffer(bytes(r.words), np.uint64)) for r in rows]
                 owners: dict[int, list[int]] = {}
-                for i, (_, _, words) in enumerate(lines):
+                for i, (_, words) in enumerate(lines):
                     for t in words[: int(prefix_length(np.int64(len(words))))].tolist():
                         owners.setdefault(t, []).append(i)
                 known = sorted(owners)
                 asks = spark.sparkContext.broadcast((np.array(known, np.uint64), [owners[t] for t in known], lines))
-                gone = gone.unionByName(source.mapInArrow(_seek(levels, asks), "doc_id long, line int"))
+                gone = gone.unionByName(source.mapInArrow(_seek(levels, asks), "doc_id long, row long, line int"))
         else:
-            by_doc = saved(asking.groupBy("doc_id").agg(F.collect_list("line").alias("lines")), "line-asking")
-            again = compared(source.join(F.broadcast(by_doc) if few(by_doc) else by_doc, "doc_id", "left"), None)
+            by_doc = saved(asking.groupBy(doc).agg(F.collect_list("line").alias("lines")), "line-asking")
+            again = compared(source.join(F.broadcast(by_doc) if few(by_doc) else by_doc, doc, "left"), None)
             gone = gone.unionByName(verified(again.select(*line, *other).distinct(), sets_of(again)))
     return gone.distinct()
 
@@ -421,7 +434,7 @@ def _seek(levels, asks):
         known, own, lines = asks.value
         found: set[int] = set()
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            texts, ids, rows = (batch.column(c).to_pylist() for c in ("text", "doc_id", "row"))
             for lo, hi in K.groups(texts):
                 words = K.split(texts[lo:hi], K.SPACE, lower=True)
                 h = words.hashes()
@@ -434,15 +447,17 @@ def _seek(levels, asks):
                 at = np.minimum(np.searchsorted(known, x.token), len(known) - 1)
                 pos = np.flatnonzero(known[at] == x.token)
                 for i, k in set(zip((np.searchsorted(x.first, pos, "right") - 1).tolist(), at[pos].tolist(), strict=True)):
-                    place, size = (ids[lo + docs[x.doc[i]]], int(x.number[i])), int(x.size[i])
+                    d = lo + docs[x.doc[i]]
+                    place, size = (ids[d], rows[d], int(x.number[i])), int(x.size[i])
                     mine = x.token[x.first[i] : x.first[i + 1]]
                     for y in own[k]:
-                        doc, line, theirs = lines[y]
-                        if place < (doc, line) and y not in found and DEN * min(size, len(theirs)) >= NUM * max(size, len(theirs)):
+                        own_place, theirs = lines[y]
+                        if place < own_place and y not in found and DEN * min(size, len(theirs)) >= NUM * max(size, len(theirs)):
                             both = len(np.intersect1d(mine, theirs, assume_unique=True))
                             if DEN * both >= NUM * (size + len(theirs) - both):
                                 found.add(y)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([lines[y][0] for y in found], pa.int64()), "line": pa.array([lines[y][1] for y in found], pa.int32())})
+        places = [lines[y][0] for y in found]
+        yield pa.RecordBatch.from_pydict({c: pa.array([p[i] for p in places], t) for i, (c, t) in enumerate({"doc_id": pa.int64(), "row": pa.int64(), "line": pa.int32()}.items())})
 
     return K.tidy(run)
 
@@ -462,10 +477,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    gone = removals(docs)
-    by_doc = saved(gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("line").alias("_gone")), "line-removals")
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63))))
-    out = keyed.join(F.broadcast(by_doc) if few(by_doc) else by_doc, "_id", "left")
+    named = keyed(docs)
+    gone = removals(named)
+    by_doc = saved(gone.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list("line").alias("_gone")), "line-removals")
+    out = named.join(F.broadcast(by_doc) if few(by_doc) else by_doc, ["_id", "_row"], "left")
     return out.mapInArrow(_cut, extended(out.schema, "_n_lines long"))
 
 

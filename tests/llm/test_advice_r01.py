@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from foliant.llm import surrogates
+from foliant.llm import line_dedup, surrogates
 from foliant.llm.common import table
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,3 +49,15 @@ def test_secrets_without_digits(spark):
     for k, s in enumerate(secrets):
         assert got[k].n_entities == 1 and s not in got[k].text and got[10 + k].text == got[k].text + " 7"
     assert (got[20].n_entities, got[20].text) == (0, "nothing to see")
+
+
+def test_line_dedup_tells_rows_of_one_doc_id_apart(spark):
+    same = "one line that both of them have"
+    texts = [(i, f"{same}\nunique words {k} of document {k} number {k}\n{tail}") for i in (None, 7) for k, tail in ((f"a{i}", same), (f"b{i}", f"more of b{i} only here"))]
+    rows = [*texts, texts[0]]
+    order = {(i, t): r._row for i, t, r in ((r.doc_id, r.text, r) for r in line_dedup.keyed(spark.createDataFrame(rows, SHAPE)).collect())}
+    seen, want = set(), {}
+    for i, t in sorted(order, key=lambda x: (x[0] is not None, x[0] or 0, order[x])):
+        want[i, t] = "\n".join(x for x in t.split("\n") if not (x in seen or seen.add(x)))
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, SHAPE)).collect()
+    assert sorted(r.text for r in got) == sorted(want[x] for x in rows)
