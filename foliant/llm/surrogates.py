@@ -11,7 +11,9 @@ DataFrame functions only.
    the first octet, phone numbers their country code, e-mail addresses the top-level domain. Given names come
    from a list for gender and script.
 4. Collision check: a surrogate that two entities share, or that is itself an entity of the corpus, stays with
-   the first and is drawn again, with the next attempt, for the others, until all are distinct.
+   the first and is drawn again, with the next attempt, for the others, until all are distinct. Short values can
+   run out of free ones: after ATTEMPTS draws a surrogate gets longer by a character with each further attempt
+   (IP addresses: three-digit octets), and is checked like the others.
 5. Surrogates are written in the format of each mention (punctuation, case, length).
 
 Only documents with mentions take part in the joins; all others pass through. Entities are counted per document
@@ -57,7 +59,23 @@ GIVEN = {
     ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Ксения Лидия Мария Нина Ольга Полина Раиса София".split(),
 }
 #: Letters that stand in for a letter of the same alphabet.
-ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "àáâäçèéêëìíîïñòóôöùúûü", "абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω", "的一是不了人我在有他这为之大来以个中上们")
+ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "àáâäçèéêëìíîïñòóôöùúûü", "абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω")
+
+
+def _some(first: int, last: int) -> str:
+    """256 letters at most, spread over a range of code points."""
+    letters = [chr(c) for c in range(first, last + 1) if chr(c).isalpha() and chr(c) == chr(c).lower()]
+    return "".join(letters[:: -(-len(letters) // 256)])
+
+
+#: Letters for those that are in none of ALPHABETS, by script; those of other scripts become Latin.
+SCRIPTS = {
+    "Latin": ALPHABETS[1], "Cyrillic": ALPHABETS[2], "Greek": ALPHABETS[3], "Armenian": _some(0x561, 0x586), "Hebrew": _some(0x5D0, 0x5EA), "Arabic": _some(0x620, 0x64A),
+    "Devanagari": _some(0x904, 0x939), "Bengali": _some(0x985, 0x9B9), "Tamil": _some(0xB85, 0xBB9), "Thai": _some(0xE01, 0xE30), "Georgian": _some(0x10D0, 0x10FA),
+    "Ethiopic": _some(0x1200, 0x135A), "Hiragana": _some(0x3041, 0x3096), "Katakana": _some(0x30A1, 0x30FA), "Hangul": _some(0xAC00, 0xD7A3), "Han": _some(0x4E00, 0x9FA5),
+}
+#: Draws in the format of the entity; later ones are longer.
+ATTEMPTS = 200
 
 
 def kind(m: Column) -> Column:
@@ -95,10 +113,14 @@ def _value(draws: Column, i: Column) -> Column:
 
 def _letter(c: Column, v: Column) -> Column:
     """Another character of the class of c."""
-    out = F.when(c.rlike(r"\d"), (v % 10).cast("string"))
+    pick = lambda letters: F.substring(F.lit(letters), v % len(letters) + 1, F.lit(1))
+    out = F.when(c.rlike(r"\p{N}"), (v % 10).cast("string"))
     for letters in ALPHABETS:
-        out = out.when(F.instr(F.lit(letters), c) > 0, F.substring(F.lit(letters), v % len(letters) + 1, F.lit(1)))
-    return out.otherwise(c)
+        out = out.when(F.instr(F.lit(letters), c) > 0, pick(letters))
+    out = out.when(~c.rlike(r"\p{L}"), c)
+    for script, letters in SCRIPTS.items():
+        out = out.when(c.rlike(rf"\p{{Is{script}}}"), pick(letters))
+    return out.otherwise(pick(ALPHABETS[0]))
 
 
 def _each(text: Column, draws: Column) -> Column:
@@ -133,15 +155,33 @@ def surrogate(canon: Column, k: Column, attempt: Column, key: str) -> Column:
     )
 
 
+def longer(canon: Column, k: Column, attempt: int, key: str) -> Column:
+    """The surrogate with attempt - ATTEMPTS further characters: before an e-mail address, else at the end."""
+    n, s, draws = attempt - ATTEMPTS, surrogate(canon, k, F.lit(attempt), key), _draw(canon, k, F.lit(f"{attempt}+"), key)
+    octets = F.transform(F.split(canon, r"\."), lambda o, i: ((_value(draws, 2 * i) * 256 + _value(draws, 2 * i + 1)) % 900 + 100).cast("string"))
+    return (
+        F.when(k == "ip", F.array_join(octets, "."))
+        .when(k == "email", F.concat(_each(F.repeat(F.substring(canon, 1, 1), F.lit(n)), draws), s))
+        .otherwise(F.concat(s, _each(F.repeat(F.substring(canon, -1, 1), F.lit(n)), draws)))
+    )
+
+
 def _like(mention: Column, s: Column) -> Column:
-    """s, as long as the mention, with the mention's upper case."""
+    """s with the mention's upper case; what s is longer by is upper case where all of the mention is."""
+    rest = F.substring(s, F.length(mention) + 1, F.length(s))
+    loud = (mention == F.upper(mention)) & (mention != F.lower(mention))
+    return F.concat(_cased(mention, s), F.when(loud, F.upper(rest)).otherwise(rest))
+
+
+def _cased(mention: Column, s: Column) -> Column:
     return F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when((c == F.upper(c)) & (c != F.lower(c)), F.upper(F.substring(s, i + 1, F.lit(1)))).otherwise(F.substring(s, i + 1, F.lit(1)))), "")
 
 
 def _digits_into(mention: Column, s: Column) -> Column:
-    """The digits of s at the places of the mention's digits."""
+    """The digits of s at the places of the mention's digits, further ones at the end."""
     at = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), r"\D", ""))
-    return F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike(r"\d"), F.substring(s, at(i), F.lit(1))).otherwise(c)), "")
+    rest = F.substring(s, F.length(F.regexp_replace(mention, r"\D", "")) + 1, F.length(s))
+    return F.concat(F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike(r"\d"), F.substring(s, at(i), F.lit(1))).otherwise(c)), ""), rest)
 
 
 def _given(mention: Column, before: Column, key: str) -> Column:
@@ -177,7 +217,8 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     taken = entities.select("kind", F.col("canon").alias("surrogate"))
     done, todo, attempt, parts = None, entities, 0, [entities]
     while True:
-        drawn = todo.withColumn("surrogate", surrogate(F.col("canon"), F.col("kind"), F.lit(attempt), key))
+        canon, k = F.col("canon"), F.col("kind")
+        drawn = todo.withColumn("surrogate", surrogate(canon, k, F.lit(attempt), key) if attempt <= ATTEMPTS else longer(canon, k, attempt, key))
         free = drawn.join(taken, ["kind", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
@@ -188,9 +229,6 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         attempt += 1
         if todo.isEmpty():
             return done
-        if attempt > 200:
-            # short numbers can run out of free values: those left over keep a draw that is no entity, where there is one
-            return done.unionByName(todo.withColumn("surrogate", surrogate(F.col("canon"), F.col("kind"), F.lit(attempt), key)))
 
 
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -1,6 +1,11 @@
 """Cases of the first advice: near copies at 0.8 in the pipeline, secrets without digits, scripts, rows that share a doc_id."""
 
 import re
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foliant.llm import line_dedup, surrogates
@@ -61,3 +66,20 @@ def test_line_dedup_tells_rows_of_one_doc_id_apart(spark):
         want[i, t] = "\n".join(x for x in t.split("\n") if not (x in seen or seen.add(x)))
     got = line_dedup.deduplicated(spark.createDataFrame(rows, SHAPE)).collect()
     assert sorted(r.text for r in got) == sorted(want[x] for x in rows)
+
+
+def test_surrogates_stay_distinct_in_any_script(spark, monkeypatch):
+    words = ["пароль", "ամիրյան", "אבגדה", "مرحبا", "대한민국", "漢字仮名", "ひらがな", "สวสด", "ⲁⲃⲅ", "ßþĸ"]
+    drawn = spark.createDataFrame([("secret", w) for w in words], "kind string, canon string")
+    for r in drawn.withColumn("s", surrogates.surrogate(F.col("canon"), F.col("kind"), F.lit(0), "k")).collect():
+        assert all(a != b or a in "пароль" for a, b in zip(r.canon, r.s, strict=True)) or r.s != r.canon, r
+    monkeypatch.setattr(surrogates, "ATTEMPTS", 1)
+    digits = [("secret", str(k)) for k in range(10)]  # all values of their format are entities
+    ips = [("ip", f"1.2.3.{k}") for k in range(5)]
+    rows = digits + ips + [("email", f"{c}@a.io") for c in "abc"]
+    got = surrogates.surrogates(spark.createDataFrame(rows, "kind string, canon string")).collect()
+    assert sorted((r.kind, r.canon) for r in got) == sorted(rows)
+    assert len({(r.kind, r.surrogate) for r in got}) == len(rows) and not {(r.kind, r.surrogate) for r in got} & set(rows)
+    docs = spark.createDataFrame([(k, f"password={k}") for k in range(10)], SHAPE)
+    texts = {r.text for r in surrogates.replaced(docs).collect()}
+    assert len(texts) == 10 and not texts & {f"password={k}" for k in range(10)}
