@@ -318,8 +318,10 @@ def _match(k: int | None):
                 yy, xx, aa = passing(np.full(len(other), row), other)
                 y, x, apart = np.r_[y, yy], np.r_[x, xx], np.r_[apart, aa]
         # one row for each pair of lines in this bucket
-        _, once = np.unique(rank[y] * max(n, 1) + rank[x], return_index=True)
-        y, x, apart, flag = y[once], x[once], apart[once], more[y[once]]
+        _, once, pair = np.unique(rank[y] * max(n, 1) + rank[x], return_index=True, return_inverse=True)
+        flag = np.zeros(len(once), bool)
+        np.logical_or.at(flag, pair, more[y])  # a pair may be seen for several words; any of them may have had more
+        y, x, apart = y[once], x[once], apart[once]
         none = np.zeros(len(gone), np.int64)
         return pa.table({
             "doc_id": np.r_[c["doc"][y], hits[0]], "row": np.r_[c["row"][y], hits[1]], "line": np.r_[c["line"][y], hits[2]].astype(np.int32),

@@ -83,3 +83,16 @@ def test_surrogates_stay_distinct_in_any_script(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"password={k}") for k in range(10)], SHAPE)
     texts = {r.text for r in surrogates.replaced(docs).collect()}
     assert len(texts) == 10 and not texts & {f"password={k}" for k in range(10)}
+
+
+def test_line_pairs_keep_the_flag_of_any_word():
+    words = [f"t{k}" for k in range(32)]
+    levels = SimpleNamespace(value=np.ones(line_dedup.SLOTS, np.uint8))
+    token = {w: int(line_dedup._Lines([w.encode()], levels.value).token[0]) for w in words}
+    words.sort(key=token.get)
+    y, with_all, without_first = words[1:31], words[1:32], [words[0], *words[2:31]]
+    texts = [" ".join(x).encode() for x in (with_all, without_first, y)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3], pa.int64()), "row": pa.array([0, 0, 0], pa.int64()), "text": pa.array(texts, pa.binary())})
+    sent = pa.Table.from_batches(line_dedup._send(levels, 1)(iter([batch])))
+    pairs = [p for p in line_dedup._match(1)(sent).to_pylist() if p["doc_id"] == 3]
+    assert {p["x_doc"]: p["more"] for p in pairs}[1]
