@@ -16,9 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one will do in
+    local mode only, as tests run; a cluster must name one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -48,13 +52,38 @@ def forget(df: DataFrame) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of what df reads; measured where it has none. Sizes partitions and buckets only, never results."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the sizes of the tables that df reads; measured where it has none. Sizes partitions and
+    buckets only, never results. The plan's own estimate would multiply the sizes of joined tables."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     if size >= 1 << 50:
         size = df.select(F.sum(F.octet_length(F.to_json(F.struct("*"))))).head()[0] or 0
     return size
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own: the given ones, with underscores after those that df has already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: What may be broadcast: rows, and elements of lists in them.
+BROADCAST_ROWS = 500_000
+BROADCAST_ELEMENTS = 2_000_000
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS, lists: str | None = None) -> bool:
+    """Whether df may be broadcast; counted, not estimated. lists: a column of arrays, whose elements count too."""
+    if df.limit(rows + 1).count() > rows:
+        return False
+    return lists is None or (df.agg(F.sum(F.size(lists))).head()[0] or 0) <= BROADCAST_ELEMENTS
+
+
 def dealt(df: DataFrame, n: int, *cols) -> DataFrame:
     """df dealt out over n partitions by cols."""
     return df.repartition(n, *cols)
@@ -62,10 +91,15 @@ def dealt(df: DataFrame, n: int, *cols) -> DataFrame:
 
 #: Rows of texts that Spark hands to Python at once; its default of 10,000 is too many for long texts.
 BATCH_ROWS = 400
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets Parquet's reader and Python get BATCH_ROWS rows at once at most. Has no bearing on results."""
+    """Lets Parquet's reader and Python get BATCH_ROWS rows at once at most, and Python about BATCH_BYTES: settings of the
+    session, as Spark reads them when a query runs, not when it is built. They have no bearing on results."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
     for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
         if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
             spark.conf.set(key, BATCH_ROWS)

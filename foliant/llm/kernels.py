@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _U = np.uint64
 
@@ -24,8 +25,10 @@ ALNUM[0x80:] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-#: Bytes of text that a kernel takes at once; its arrays need some 60 times as much.
-GROUP_BYTES = 1 << 20
+#: Bytes of text that a kernel takes at once; its arrays need some 60 times as much. A longer text is a group of its
+#: own, whose words are hashed in blocks of BLOCK bytes: it needs some 8 bytes a byte.
+GROUP_BYTES = 1 << 18
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,7 +107,6 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
-    _sums: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.start)
@@ -118,16 +120,30 @@ class Words:
 
     def hashes(self, cut: int | None = None) -> np.ndarray:
         """A 64-bit hash of each word's bytes; of its first `cut` bytes at most, if given."""
-        n = len(self.buf)
-        if not len(self.start):
-            return np.zeros(0, _U)
-        p, q = powers(0x9E3779B97F4A7C15 | 5, n + 1)
-        if self._sums is None:
-            self._sums = np.zeros(n + 1, _U)
-            np.cumsum(_byte_values(0)[self.buf] * p[:n], out=self._sums[1:])
-        h, end = self._sums, self.end if cut is None else np.minimum(self.end, self.start + cut)
-        out = (h[end] - h[self.start]) * q[self.start]
-        return mix(out + (end - self.start).astype(_U) * _U(0xD6E8FEB86659FD93))
+        out = np.zeros(len(self.start), _U)
+        end = self.end if cut is None else np.minimum(self.end, self.start + cut)
+        for lo, hi in self._blocks():
+            a, b = self.start[lo:hi], end[lo:hi]
+            long = b - a > BLOCK
+            if long.any():
+                for i in np.flatnonzero(long).tolist():
+                    out[lo + i] = xxhash.xxh3_64_intdigest(self.buf[a[i] : b[i]])
+                b = np.where(long, a, b)
+            base = a[0]
+            n = int(b.max() - base)
+            p, q = powers(0x9E3779B97F4A7C15 | 5, n + 1)
+            h = np.zeros(n + 1, _U)
+            np.cumsum(_byte_values(0)[self.buf[base : base + n]] * p[:n], out=h[1:])
+            own = (h[b - base] - h[a - base]) * q[a - base]
+            own = mix(own + (b - a).astype(_U) * _U(0xD6E8FEB86659FD93))
+            out[lo:hi] = np.where(long, out[lo:hi], own)
+        return out
+
+    def _blocks(self) -> Iterator[tuple[int, int]]:
+        """Runs of words that begin within BLOCK bytes."""
+        if len(self.start):
+            cut = np.flatnonzero(np.diff(self.start // BLOCK)) + 1
+            yield from zip([0, *cut.tolist()], [*cut.tolist(), len(self.start)], strict=True)
 
 
 def split(texts: list[bytes | None], ends_word: np.ndarray, lower: bool = False) -> Words:
@@ -154,19 +170,23 @@ def windows(values: np.ndarray, first: np.ndarray, width: int, base: int = 0xC2B
     n = len(values)
     if n < width:
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    p, q = powers(base, n + 1)
-    h = np.zeros(n + 1, _U)
-    np.cumsum(values * p[:n], out=h[1:])
-    ok = np.zeros(n + 1, bool)
     lengths = np.diff(first)
     whole = lengths >= width
     # starts first[i] .. first[i+1]-width are inside text i
     step = np.zeros(n + 2, np.int32)
     np.add.at(step, first[:-1][whole], 1)
     np.add.at(step, (first[1:] - width + 1)[whole], -1)
-    ok = np.cumsum(step[: n + 1]) > 0
-    at = np.flatnonzero(ok)
-    return mix((h[at + width] - h[at]) * q[at]), at
+    at = np.flatnonzero(np.cumsum(step[: n + 1]) > 0)
+    out = np.zeros(len(at), _U)
+    for lo in range(0, n, BLOCK):
+        a, b = np.searchsorted(at, (lo, lo + BLOCK))
+        own = values[lo : lo + BLOCK + width - 1]
+        p, q = powers(base, len(own) + 1)
+        h = np.zeros(len(own) + 1, _U)
+        np.cumsum(own * p[: len(own)], out=h[1:])
+        i = at[a:b] - lo
+        out[a:b] = (h[i + width] - h[i]) * q[i]
+    return mix(out), at
 
 
 def covered(n: int, at: np.ndarray, width: int | np.ndarray) -> np.ndarray:

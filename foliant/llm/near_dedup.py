@@ -30,14 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import kernels as K
-from foliant.llm.common import as_bytes, dealt, forget, saved, table
+from foliant.llm.common import as_bytes, dealt, few, forget, saved, table
 from foliant.llm.components import components
 
 SHINGLE = 5
 PERCENT = 85
 ROWS, BANDS = 4, 20
 SKETCH_WORDS = 4
-BROADCAST_ROWS = 500_000
 SALT_ROWS = 4096
 ROUNDS = (4, 32, 256, 4096, None)
 
@@ -178,11 +177,6 @@ def _pairs(k: int | None, percent: int):
     return run
 
 
-def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has so few rows that it may be broadcast; counted, not estimated."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     source = docs.select("doc_id", as_bytes())
