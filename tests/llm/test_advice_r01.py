@@ -50,7 +50,7 @@ def test_secrets_without_digits(spark):
     secrets = ["hunter", "AKIA" + "QWERTYUIOPASDFGH", "abcdef" * 6, "ABCDEF" * 6]
     texts = [f"the password={secrets[0]} of ours", *(f"our key {s} here" for s in secrets[1:])]
     rows = list(enumerate(texts)) + [(10 + k, t + " 7") for k, t in enumerate(texts)] + [(20, "nothing to see")]
-    got = {r.doc_id: r for r in surrogates.replaced(spark.createDataFrame(rows, SHAPE)).collect()}
+    got = {r.doc_id: r for r in surrogates.replaced(spark.createDataFrame(rows, SHAPE), "k").collect()}
     for k, s in enumerate(secrets):
         assert got[k].n_entities == 1 and s not in got[k].text and got[10 + k].text == got[k].text + " 7"
     assert (got[20].n_entities, got[20].text) == (0, "nothing to see")
@@ -71,28 +71,28 @@ def test_line_dedup_tells_rows_of_one_doc_id_apart(spark):
 def test_surrogates_stay_distinct_in_any_script(spark, monkeypatch):
     words = ["пароль", "ամիրյան", "אבגדה", "مرحبا", "대한민국", "漢字仮名", "ひらがな", "สวสด", "ⲁⲃⲅ", "ßþĸ"]
     drawn = spark.createDataFrame([("secret", w) for w in words], "kind string, canon string")
-    for r in drawn.withColumn("s", surrogates.surrogate(F.col("canon"), F.col("kind"), F.lit(0), "k")).collect():
+    for r in drawn.withColumn("d", surrogates._draw(F.col("canon"), F.col("kind"), F.lit(0), "k")).withColumn("s", surrogates.surrogate(F.col("canon"), F.col("kind"), F.col("d"))).collect():
         assert all(a != b or a in "пароль" for a, b in zip(r.canon, r.s, strict=True)) or r.s != r.canon, r
     monkeypatch.setattr(surrogates, "ATTEMPTS", 1)
     digits = [("secret", str(k)) for k in range(10)]  # all values of their format are entities
     ips = [("ip", f"1.2.3.{k}") for k in range(5)]
     rows = digits + ips + [("email", f"{c}@a.io") for c in "abc"]
-    got = surrogates.surrogates(spark.createDataFrame(rows, "kind string, canon string")).collect()
+    got = surrogates.surrogates(spark.createDataFrame(rows, "kind string, canon string"), "k").collect()
     assert sorted((r.kind, r.canon) for r in got) == sorted(rows)
     assert len({(r.kind, r.surrogate) for r in got}) == len(rows) and not {(r.kind, r.surrogate) for r in got} & set(rows)
     docs = spark.createDataFrame([(k, f"password={k}") for k in range(10)], SHAPE)
-    texts = {r.text for r in surrogates.replaced(docs).collect()}
+    texts = {r.text for r in surrogates.replaced(docs, "k").collect()}
     assert len(texts) == 10 and not texts & {f"password={k}" for k in range(10)}
 
 
 def test_line_pairs_keep_the_flag_of_any_word():
     words = [f"t{k}" for k in range(32)]
-    levels = SimpleNamespace(value=np.ones(line_dedup.SLOTS, np.uint8))
+    levels, none = SimpleNamespace(value=np.ones(1 << 20, np.uint8)), SimpleNamespace(value=(np.zeros(0, np.int64), np.zeros(0, np.int64)))
     token = {w: int(line_dedup._Lines([w.encode()], levels.value).token[0]) for w in words}
     words.sort(key=token.get)
     y, with_all, without_first = words[1:31], words[1:32], [words[0], *words[2:31]]
     texts = [" ".join(x).encode() for x in (with_all, without_first, y)]
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3], pa.int64()), "row": pa.array([0, 0, 0], pa.int64()), "text": pa.array(texts, pa.binary())})
-    sent = pa.Table.from_batches(line_dedup._send(levels, 1)(iter([batch])))
-    pairs = [p for p in line_dedup._match(1)(sent).to_pylist() if p["doc_id"] == 3]
+    sent = list(line_dedup._send(levels, none, 1)(iter([batch])))
+    pairs = [p for out in line_dedup._match(1)(iter(sent)) for p in out.to_pylist() if p["doc_id"] == 3]
     assert {p["x_doc"]: p["more"] for p in pairs}[1]

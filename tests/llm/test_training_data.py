@@ -142,7 +142,7 @@ def test_url_filter(spark):
 
 def test_surrogates(spark):
     text = "Mail zoé.34@mail7.example.com or ZOÉ.34@mail7.example.com, +1 (017) 555-7713 at 97.51.17.173: 9807915762804490. Frau Anna Müller met Mr. Müller"
-    got = {r.doc_id: r for r in surrogates.replaced(table(spark, [(0, text), (1, None), (2, ""), (3, "clean text 4.0"), (4, text), (4, text)])).collect()}
+    got = {r.doc_id: r for r in surrogates.replaced(table(spark, [(0, text), (1, None), (2, ""), (3, "clean text 4.0"), (4, text), (4, text)]), "k").collect()}
     out = got[0].text
     for part in ("zoé", "ZOÉ", "7713", "51.17.173", "9807915762804490", "Anna", "Müller"):
         assert part not in out, (part, out)
@@ -153,7 +153,7 @@ def test_surrogates(spark):
     assert names[1] in surrogates.GIVEN["f", "latin"] and names[2] == names[3]
     assert got[1].text is None and got[2].text == "" and got[3].text == "clean text 4.0"
     many = spark.createDataFrame([("phone", f"1{k:05d}") for k in range(0, 3000)], "kind string, canon string")
-    drawn = surrogates.surrogates(many)
+    drawn = surrogates.surrogates(many, "k")
     assert drawn.count() == 3000 and drawn.select("surrogate").distinct().count() == 3000
     assert drawn.join(many.select(F.col("canon").alias("surrogate")), "surrogate").isEmpty()
 
@@ -223,7 +223,7 @@ def test_empty_tables(spark):
     none, labels = table(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
     for out in (
-        toxicity.accepted(none, labels), decontaminate.report(none, bench), substring_dedup.remove_repeats(none), line_dedup.deduplicated(none), surrogates.replaced(none),
+        toxicity.accepted(none, labels), decontaminate.report(none, bench), substring_dedup.remove_repeats(none), line_dedup.deduplicated(none), surrogates.replaced(none, "k"),
         hilbert.shard(none), pieces.with_ids(none), near_dedup.labelled(none), url_filter.judge(spark.createDataFrame([], "page_id long, url string")),
         nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0),
     ):
