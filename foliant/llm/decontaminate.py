@@ -1,21 +1,22 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, scanned against training windows.
 
 Benchmark items are lower-cased (A-Z), split into words and cut into n-grams; an item of fewer words is
-one n-gram. Their hashes are broadcast in slices of at most SLICE_BYTES of item text: a larger benchmark
-takes several passes over the documents, each written to the shared folder before the next, so that no
-task ever holds more than a slice. A hash that a document's rolling window meets is verified on the words
-themselves. Nothing is shuffled.
+one n-gram. Their hashes are broadcast in slices of at most SLICE_BYTES of item text, as sorted arrays over one buffer
+of words: some five times as much as the text. A hash that a document's rolling window meets is verified on the words
+themselves. A benchmark of one slice takes one pass, in which nothing is shuffled. A larger one takes a pass for each
+slice, of which only the hits are kept, in the shared folder, and a last one in which documents with hits meet them.
 
 Cases: a null or empty text has no words and no hit. Repeated documents are judged each on their own;
 repeated items count once per item_id; an item without words, or null, is ignored; a null item_id marks
-words as hit without being listed. An empty benchmark leaves all documents clean. Extra columns of
-documents pass through clean() untouched.
+words as hit without being listed. An empty benchmark leaves all documents clean. Very long texts are hashed in
+blocks. Extra columns of documents pass through clean() untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,129 +24,199 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import kernels as K
-from foliant.llm.common import saved, table
+from foliant.llm.common import few, free, saved, table
 
 NGRAM = 10
 SLICE_BYTES = 16 << 20
 
 
-def _index(items: list[tuple], n: int) -> dict[int, tuple[np.ndarray, dict]]:
-    """By width: sorted hashes, and for each hash the n-grams of that hash with their items."""
+@dataclass
+class Grams:
+    """n-grams of one width: sorted hashes, where each begins and ends in the index's buffer, and its item."""
+
+    hashes: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    item: np.ndarray
+
+
+@dataclass
+class Index:
+    """The n-grams of a slice of the benchmark by width, over the words of all items, joined by blanks."""
+
+    buf: np.ndarray
+    names: list
+    grams: dict[int, Grams]
+
+    def owners(self, width: int, h: int, words: bytes) -> list:
+        """The items that have an n-gram of this hash and these words."""
+        g = self.grams[width]
+        lo, hi = np.searchsorted(g.hashes, np.uint64(h), "left"), np.searchsorted(g.hashes, np.uint64(h), "right")
+        return [self.names[g.item[k]] for k in range(lo, hi) if self.buf[g.begin[k] : g.end[k]].tobytes() == words]
+
+
+def build(items: list[tuple], n: int) -> Index:
+    """The index of (item_id, text) pairs."""
     words = K.split([bytes(t or b"") for _, t in items], K.ALNUM, lower=True)
-    one, lengths = words.hashes(), np.diff(words.first)
-    found: dict[int, dict[int, dict[bytes, set]]] = {}
-    for i, (item, _) in enumerate(items):
-        lo, hi = words.first[i : i + 2]
-        width = min(n, lengths[i])
-        if not width:
-            continue
-        hashes, at = K.windows(one[lo:hi], np.array([0, hi - lo]), width)
-        tokens = [words.text(k) for k in range(lo, hi)]
-        for h, k in zip(hashes.tolist(), at.tolist(), strict=True):
-            found.setdefault(int(width), {}).setdefault(h, {}).setdefault(b" ".join(tokens[k : k + width]), set()).add(item)
-    return {w: (np.array(sorted(d), np.uint64), d) for w, d in found.items()}
-
-
-def _hits(texts: list[bytes | None], index: dict) -> tuple[K.Words, np.ndarray, list[set]]:
+    size = words.end - words.start
+    end = np.cumsum(size + 1)
+    begin = end - size - 1
+    buf = np.full(int(end[-1]) if len(end) else 0, 0x20, np.uint8)
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    buf[at + np.repeat(begin, size)] = words.buf[at + np.repeat(words.start, size)]
+    one, lengths, doc = words.hashes(), np.diff(words.first), words.doc_of()
+    grams = {}
+    for width in sorted({min(n, k) for k in lengths.tolist() if k}):
+        own = np.flatnonzero((lengths == width) | ((lengths > width) & (width == n)))
+        pick = np.concatenate([np.arange(words.first[i], words.first[i + 1]) for i in own.tolist()])
+        hashes, first = K.windows(one[pick], np.r_[0, np.cumsum(lengths[own])], width)
+        order = np.argsort(hashes, kind="stable")
+        first = pick[first[order]]
+        grams[width] = Grams(hashes[order], begin[first].astype(np.int32), (end[first + width - 1] - 1).astype(np.int32), doc[first].astype(np.int32))
+    return Index(buf, [i for i, _ in items], grams)
+
+
+def _hits(texts: list[bytes | None], index: Index) -> tuple[K.Words, np.ndarray, list[set]]:
     """Words, a mask of those that are hit, and for each text the items with occurring n-grams."""
     words = K.split(texts, K.ALNUM, lower=True)
     one, hit, items = words.hashes(), np.zeros(len(words), bool), [set() for _ in texts]
-    doc = words.doc_of()
-    for width, (known, grams) in index.items():
+    for width, grams in index.grams.items():
         hashes, at = K.windows(one, words.first, width)
-        where = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        for k in np.flatnonzero(known[where] == hashes).tolist():
+        known = grams.hashes[np.minimum(np.searchsorted(grams.hashes, hashes), len(grams.hashes) - 1)] == hashes
+        for k in np.flatnonzero(known).tolist():
             i = int(at[k])
-            owners = grams[int(hashes[k])].get(b" ".join(words.text(j) for j in range(i, i + width)))
-            if owners:
+            if owners := index.owners(width, int(hashes[k]), b" ".join(words.text(j) for j in range(i, i + width))):
                 hit[i : i + width] = True
-                items[doc[i]] |= owners
+                items[int(np.searchsorted(words.first, i, "right")) - 1].update(owners)
     return words, hit, items
 
 
-def _scan(index, then=None):
-    """One pass: adds the slice's hits to the columns _hit (a bit for each word) and _items. What follows on the
-    batches runs in the same Python worker."""
+def _scan(index, hit: str, listed: str, then):
+    """Adds the hits to the columns hit (a bit for each word) and listed (items); what `then` makes of such batches."""
 
-    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = index.value
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            before, listed = batch.column("_hit").to_pylist(), batch.column("_items").to_pylist()
             masks, items = [], []
             for lo, hi in K.groups(texts):
-                words, hit, found = _hits(texts[lo:hi], known)
-                for i in range(hi - lo):
-                    bits = np.packbits(hit[words.first[i] : words.first[i + 1]])
-                    if before[lo + i]:
-                        bits |= np.frombuffer(before[lo + i], np.uint8)
-                    masks.append(bits.tobytes())
-                    items.append(sorted({*listed[lo + i], *(str(x) for x in found[i] if x is not None)}))
-            batch = batch.set_column(batch.schema.get_field_index("_hit"), "_hit", pa.array(masks, pa.binary()))
-            yield batch.set_column(batch.schema.get_field_index("_items"), "_items", pa.array(items, pa.list_(pa.string())))
+                words, own, found = _hits(texts[lo:hi], index.value)
+                masks += [np.packbits(own[a:b]).tobytes() for a, b in zip(words.first, words.first[1:])]
+                items += [sorted({str(x) for x in f if x is not None}) for f in found]
+            yield batch.append_column(hit, pa.array(masks, pa.binary())).append_column(listed, pa.array(items, pa.list_(pa.string())))
+
+    return K.tidy(lambda batches: then(run(batches)))
 
-    return run if then is None else lambda batches: then(run(batches))
 
+def _merge(hit: str, listed: str, several: str, then):
+    """The same from the hits of all slices: a column of (mask, items) pairs, or null."""
 
-def marked(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, slice_bytes: int = SLICE_BYTES, then=None, schema=None) -> DataFrame:
-    """docs with _hit and _items; or what the function makes of such batches, in the given schema."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks, items = [], []
+            for found in batch.column(several).to_pylist():
+                both = np.zeros(0, np.uint8)
+                for part in found or ():
+                    mask = np.frombuffer(part["mask"], np.uint8)
+                    both = mask if not len(both) else both | mask
+                masks.append(both.tobytes())
+                items.append(sorted({x for part in found or () for x in part["items"]}))
+            rest = batch.select([c for c in batch.schema.names if c != several])
+            yield rest.append_column(hit, pa.array(masks, pa.binary())).append_column(listed, pa.array(items, pa.list_(pa.string())))
+
+    return K.tidy(lambda batches: then(run(batches)))
+
+
+def _only_hits(key: str, hit: str, listed: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks = batch.column(hit).to_pylist()
+            keep = pa.array([any(m) for m in masks], pa.bool_())
+            yield pa.RecordBatch.from_pydict({"key": batch.column(key), "mask": batch.column(hit), "items": batch.column(listed)}).filter(keep)
+
+    return run
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, make, n: int = NGRAM, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """What make(hit, listed) gives, (function over batches, schema): of batches of docs with columns of these names,
+    a bit for each word that is hit, and the items."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", F.col("text").cast("binary").alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).head()[0] or 0
     slices = -(-total // slice_bytes) or 1
-    out = docs.withColumns({"_hit": F.lit(b"").cast("binary"), "_items": F.array().cast("array<string>")})
-    for k in range(slices):
+    hit, listed, several, key = free(docs, "_hit", "_items", "_several", "_key")
+    then, schema = make(hit, listed)
+
+    def index(k: int):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(slices)) == k)
-        index = spark.sparkContext.broadcast(_index([tuple(r) for r in part.collect()], n))
-        if k == slices - 1:
-            return out.mapInArrow(_scan(index, then), out.schema if schema is None else schema)
-        out = saved(out.mapInArrow(_scan(index), out.schema), "decontaminate")
-
-
-@K.tidy
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        masks, items = (batch.column(c).to_pylist() for c in ("_hit", "_items"))
-        counts = np.concatenate([np.diff(K.split(texts[lo:hi], K.ALNUM, lower=True).first) for lo, hi in K.groups(texts)] or [np.zeros(0, np.int64)])
-        hits = [int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) for m in masks]
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": batch.column("doc_id"), "n_words": pa.array(counts.astype(np.int64)), "n_hit": pa.array(hits, pa.int64()),
-            "n_items": pa.array([len(x) for x in items], pa.int64()),
-            "items_sha256": pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]),
-            "contaminated": pa.array([h > 0 for h in hits]),
-        })
+        return spark.sparkContext.broadcast(build([tuple(r) for r in part.collect()], n))  # slice_bytes of text, about
+
+    if slices == 1:
+        return docs.mapInArrow(_scan(index(0), hit, listed, then), schema)
+    keyed, found = docs.withColumn(key, F.xxhash64("text")), None
+    for k in range(slices):
+        own = index(k)
+        hits = saved(keyed.select(key, "text").mapInArrow(_scan(own, hit, listed, _only_hits(key, hit, listed)), "key long, mask binary, items array<string>").dropDuplicates(["key"]), "decontaminate")
+        own.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    met = saved(found.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("mask", "items")).alias(several)), "decontaminate")
+    joined = keyed.join(F.broadcast(met) if few(met, lists=several) else met, key, "left").select(*docs.columns, several)
+    return joined.mapInArrow(_merge(hit, listed, several, then), schema)
+
+
+def _digest(hit: str, listed: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            masks, items = (batch.column(c).to_pylist() for c in (hit, listed))
+            counts = np.concatenate([np.diff(K.split(texts[lo:hi], K.ALNUM, lower=True).first) for lo, hi in K.groups(texts)] or [np.zeros(0, np.int64)])
+            hits = [int(np.bitwise_count(np.frombuffer(m, np.uint8)).sum()) for m in masks]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "n_words": pa.array(counts.astype(np.int64)), "n_hit": pa.array(hits, pa.int64()),
+                "n_items": pa.array([len(x) for x in items], pa.int64()),
+                "items_sha256": pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]),
+                "contaminated": pa.array([h > 0 for h in hits]),
+            })
+
+    return run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """For each document the number of words, of hit words and of items, and a digest of the items."""
-    shape = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return marked(docs.select("doc_id", "text"), benchmark, n, slice_bytes, _digest, shape)
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        for i, mask in enumerate(batch.column("_hit").to_pylist()):
-            if mask and any(mask):
-                words = K.split([texts[i]], K.ALNUM, lower=True)
-                hit = np.unpackbits(np.frombuffer(mask, np.uint8))[: len(words)].astype(bool)
-                turn = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-                kept, last = [], 0
-                for lo, hi in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
-                    kept.append(texts[i][last : int(words.start[lo])])
-                    last = int(words.end[hi - 1])
-                texts[i] = b"".join([*kept, texts[i][last:]])
-        yield batch.set_column(at, "text", pa.array(texts, pa.binary()).view(pa.string())).select([c for c in batch.schema.names if c not in ("_hit", "_items")])
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "spans", n: int = NGRAM) -> DataFrame:
+    return marked(docs.select("doc_id", "text"), benchmark, _digest, n, slice_bytes)
+
+
+def _cut(keep: list[str], whole: bool, schema):
+    """Removes the words that are hit from text, or the documents with any (whole)."""
+
+    def make(hit: str, listed: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                masks = batch.column(hit).to_pylist()
+                if whole:
+                    yield batch.filter(pa.array([not any(m) for m in masks], pa.bool_())).select(keep)
+                    continue
+                texts = batch.column("text").cast(pa.binary()).to_pylist()
+                for i, mask in enumerate(masks):
+                    if any(mask):
+                        words = K.split([texts[i]], K.ALNUM, lower=True)
+                        own = np.unpackbits(np.frombuffer(mask, np.uint8))[: len(words)].astype(bool)
+                        turn = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
+                        kept, last = [], 0
+                        for lo, hi in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
+                            kept.append(texts[i][last : int(words.start[lo])])
+                            last = int(words.end[hi - 1])
+                        texts[i] = b"".join([*kept, texts[i][last:]])
+                at = batch.schema.get_field_index("text")
+                yield batch.set_column(at, "text", pa.array(texts, pa.binary()).view(pa.string())).select(keep)
+
+        return run, schema
+
+    return make
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "spans", n: int = NGRAM, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """docs without the contaminated spans ("spans") or documents ("documents"); all columns stay."""
-    if remove == "documents":
-        return marked(docs, benchmark, n).where("length(replace(hex(_hit), '0', '')) = 0").select(*docs.columns)
-    return marked(docs, benchmark, n, then=_cut, schema=docs.schema)
+    return marked(docs, benchmark, _cut(docs.columns, remove == "documents", docs.schema), n, slice_bytes)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
