@@ -1,24 +1,30 @@
 """Nearest neighbours by inner product: a block matrix join of int8 tiles with error bounds.
 
 Vectors are quantised to int8 with a scale each. A tile is the product of a block of queries with a block
-of candidates; the products of int8 are integers below 2**24, so a float32 matrix product has them exactly.
-With |error of a component| <= scale / 2 the true product lies within
+of candidates; the products of int8 are integers, summed over EXACT_DIMS components at a time, where they stay below
+2**24, so that a float32 matrix product has them exactly. With |error of a component| <= scale / 2 the true product
+lies within
 
     s_c / 2 * |q|_1 + s_q / 2 * |c'|_1      (c' the candidate as quantised)
 
 of the tile's value. Pairs whose upper bound stays below the query's 20th best lower bound are dropped
 without loss; the rest is computed again on the original vectors in double precision, term by term in the
-order of the components, and a heap for each query keeps the best. Each task holds QUERY_BLOCK queries and
-streams its candidates; a further aggregation takes the best of all tasks. A larger query set takes several
-passes: a pass broadcasts at most PASS_QUERIES of them. The search is exact.
+order of the components, and a heap for each query keeps the best. The search is exact.
+
+Queries are taken in passes of PASS_QUERIES at most: a pass broadcasts its queries, and each task multiplies blocks of
+QUERY_BLOCK of them with the blocks of its candidates. Where there are several passes they run one after another, each
+written to the shared folder, so that no more than a pass's queries are held anywhere. The heaps of all tasks are merged
+by rank.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, nor do those whose
 length differs from most. Ties go to the smaller vec_id. A repeated vec_id is a row of its own as a candidate,
-and never its own neighbour; as a query it counts once (the vector that sorts first). An empty table gives no rows.
+and never its own neighbour; as a query it counts once (the vector that sorts first). Extra columns are ignored,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import table
+from foliant.llm.common import saved, table
 
 TOP = 20
 PASS_QUERIES = 32_768
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 2048
+#: 127 * 127 * 1024 < 2**24
+EXACT_DIMS = 1024
 
 
 def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,28 +57,28 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Best:
-    """The best TOP candidates of each query of a block: rows of a matrix, sorted by score down and id up."""
+def tile(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact products of rows of int8 values held as float32."""
+    if a.shape[1] <= EXACT_DIMS:
+        return a @ b.T
+    return sum((a[:, d : d + EXACT_DIMS] @ b[:, d : d + EXACT_DIMS].T).astype(float) for d in range(0, a.shape[1], EXACT_DIMS))
+
+
+class _Heaps:
+    """For each query of a block a heap of its best candidates so far: (score, -id), the worst on top."""
 
     def __init__(self, n: int, top: int):
-        self.score = np.full((n, top), -np.inf)
-        self.ids = np.full((n, top), np.iinfo(np.int64).max)
+        self.top, self.heaps, self.floor = top, [[] for _ in range(n)], np.full(n, -np.inf)
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """rows ascending."""
-        own, first, n = np.unique(rows, return_index=True, return_counts=True)
-        if not len(own):
-            return
-        top = self.score.shape[1]
-        width = int(n.max())
-        s = np.full((len(own), width + top), -np.inf)
-        k = np.full((len(own), width + top), np.iinfo(np.int64).max)
-        s[:, :top], k[:, :top] = self.score[own], self.ids[own]
-        at = np.arange(len(rows)) - np.repeat(first, n) + top
-        line = np.repeat(np.arange(len(own)), n)
-        s[line, at], k[line, at] = scores, ids
-        order = np.lexsort((k, -s), axis=1)[:, :top]
-        self.score[own], self.ids[own] = np.take_along_axis(s, order, 1), np.take_along_axis(k, order, 1)
+        for row, score, i in zip(rows.tolist(), scores.tolist(), ids.tolist(), strict=True):
+            heap = self.heaps[row]
+            if len(heap) < self.top:
+                heapq.heappush(heap, (score, -i))
+            elif (score, -i) > heap[0]:
+                heapq.heapreplace(heap, (score, -i))
+            if len(heap) == self.top:
+                self.floor[row] = heap[0][0]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
@@ -82,7 +90,7 @@ def _search(queries, dims: int, top: int):
         qid, q = queries.value
         q8, qs = quantise(q)
         q8, q1 = q8.astype(np.float32), np.abs(q).sum(1)
-        best = [_Best(len(qid[i : i + QUERY_BLOCK]), top) for i in range(0, len(qid), QUERY_BLOCK)]
+        best = [_Heaps(len(qid[i : i + QUERY_BLOCK]), top) for i in range(0, len(qid), QUERY_BLOCK)]
         for batch in batches:
             ids, all_c = batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), dims)
             for lo in range(0, len(ids), CANDIDATE_BLOCK):
@@ -92,19 +100,19 @@ def _search(queries, dims: int, top: int):
                 c8 = c8.astype(np.float32)
                 for b, held in enumerate(best):
                     at = slice(b * QUERY_BLOCK, (b + 1) * QUERY_BLOCK)
-                    near = (q8[at] @ c8.T) * (qs[at, None] * cs[None, :])
+                    near = tile(q8[at], c8) * (qs[at, None] * cs[None, :])
                     slack = (0.5 * q1[at, None] * cs[None, :] + 0.5 * qs[at, None] * c1[None, :]) * (1 + 1e-9) + 1e-12
                     low = near - slack
                     own = qid[at, None] == cid[None, :]
                     low[own] = -np.inf
-                    floor = held.score[:, -1]
+                    floor = held.floor
                     if len(cid) >= top:
                         floor = np.maximum(floor, np.partition(low, -top, axis=1)[:, -top])
                     rows, cols = np.nonzero((near + slack >= floor[:, None]) & ~own)
                     held.add(rows, exact(q[at][rows], c[cols]), cid[cols])
         for b, held in enumerate(best):
-            rows, cols = np.nonzero(held.score > -np.inf)
-            yield pa.RecordBatch.from_pydict({"query_id": qid[b * QUERY_BLOCK + rows], "vec_id": held.ids[rows, cols], "score": held.score[rows, cols]})
+            own = [(int(qid[b * QUERY_BLOCK + row]), -i, score) for row, heap in enumerate(held.heaps) for score, i in heap]
+            yield pa.RecordBatch.from_pydict({c: pa.array([o[k] for o in own], t) for k, (c, t) in enumerate({"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}.items())})
 
     return run
 
@@ -114,24 +122,30 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, pass_queries: int = PA
     spark = vectors.sparkSession
     v = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.coalesce(fine, F.lit(False))).select("vec_id", v.alias("v"))
+    rows = vectors.where(F.coalesce(fine, F.lit(False))).select("vec_id", v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").head()
-    found = []
+    out = spark.createDataFrame([], "query_id long, vec_id long, score double")
     if sizes:
         dims = sizes.d
         rows = rows.where(F.size("v") == dims)
-        asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+        asked = rows.where("asked").groupBy("vec_id").agg(F.min("v").alias("v"))
         passes = -(-asked.count() // pass_queries)
         for k in range(passes):
             part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == k)
             got = part.toArrow().sort_by("vec_id")
             queries = spark.sparkContext.broadcast((got.column("vec_id").to_numpy(), _matrix(got.column("v").combine_chunks(), dims)))
-            found.append(rows.mapInArrow(_search(queries, dims, top), "query_id long, vec_id long, score double"))
-    out = found[0] if found else spark.createDataFrame([], "query_id long, vec_id long, score double")
-    for more in found[1:]:
-        out = out.unionByName(more)
+            found = rows.select("vec_id", "v").mapInArrow(_search(queries, dims, top), "query_id long, vec_id long, score double")
+            if passes == 1:
+                out = found
+            else:
+                out = out.unionByName(saved(_ranked(found, top).drop("rank"), "nearest"))
+                queries.unpersist()
+    return _ranked(out, top).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(found: DataFrame, top: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
