@@ -10,14 +10,17 @@
    component takes its K nearest classes in other components, confirmed ones merge. Here the odd sketches are
    of the whole sets, two bits a shingle or more: at least as many shingles are in just one of two sets as bits
    differ, so nothing is lost by them, and few pairs pass that are not linked. K grows until no class has
-   candidates left untested, so no link that shares a bucket is lost. Large buckets are salted on both sides.
+   candidates left untested, so no link that shares a bucket is lost. Large buckets are salted on both sides. What is
+   known of buckets is broadcast where it is few rows, so that no bucket's members are gathered to meet it; in a join
+   that is too large for that Spark splits large buckets.
 
 Bands: two documents at a similarity of 0.85 share no bucket with a probability of (1 - 0.85**4)**20 = 4e-7.
 The sketch's limit lets them pass unless 33 of their 80 minima or more differ (12 are expected).
 
 Cases: a document without words, or without text, has an empty set and stands alone; fewer than five words
 are one shingle. A null doc_id stands alone. Rows that share a doc_id are one document: their sets are all
-linked to it. Extra columns are ignored; an empty table gives no rows.
+linked to it. Very long texts are hashed in blocks; a document's set is held whole (8 bytes a word). Extra columns are
+ignored by labelled() and pass through deduplicated(), whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -149,8 +152,9 @@ def _pairs(k: int | None, percent: int):
         least, most = np.minimum(y["n"], x["n"]), np.maximum(y["n"], x["n"])
         return ((100 + percent) * apart.astype(np.int64) <= (100 - percent) * (y["n"] + x["n"])) & (y["component"] != x["component"]) & (100 * least >= percent * most)
 
-    def run(rows: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.trim()
+        rows = pa.Table.from_batches(list(batches))  # 2 * SALT_ROWS at most, about
         cols = {c: rows.column(c).to_numpy() for c in ("node", "n", "component")}
         sketches = rows.column("parity").to_pylist()
         words = np.array([len(s) // 8 for s in sketches])
@@ -160,19 +164,14 @@ def _pairs(k: int | None, percent: int):
             for w in np.unique(words[role == asks]).tolist():
                 own = np.flatnonzero((role == asks) & (words == w))
                 sides[asks, w] = {c: v[own] for c, v in cols.items()} | {"sketch": np.frombuffer(b"".join(sketches[i] for i in own), "<u8").reshape(-1, w)}
-        a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for (asks, wy), y in sides.items():
             for wx in (wy // 2, wy, 2 * wy) if asks else ():
                 if (x := sides.get((False, wx))) is None:
                     continue
                 w = min(wx, wy)
                 y2, x2 = y | {"sketch": _fold(y["sketch"], w)}, x | {"sketch": _fold(x["sketch"], w)}
-                for i, j, m in K.candidates(y2, x2, k, fits):
-                    a.append(y["node"][i])
-                    b.append(x["node"][j])
-                    more.append(m)
-        a, b, more = np.concatenate(a), np.concatenate(b), np.concatenate(more)
-        return pa.table({"y": a, "x": b, "more": more})
+                for i, j, m in K.candidates(y2, x2, k, fits):  # of a block of askers at a time
+                    yield pa.RecordBatch.from_pydict({"y": y["node"][i], "x": x["node"][j], "more": m})
 
     return run
 
@@ -184,13 +183,23 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     limit = _limit(percent)
     classes = marked.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r"))
     nodes = saved(classes.select("k1", "k2", "n", F.col("r.doc_id").alias("node"), "r.bands", "r.sketch"), "classes")
+    made = [marked, nodes]
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        made.append(saved(df, what))
+        return made[-1]
+
+    def met(df: DataFrame, known: DataFrame, on: str, how: str = "inner") -> DataFrame:
+        """df joined with a written table of one row for each value of `on`."""
+        return df.join(F.broadcast(known) if few(known) else known, on, how)
+
     rows = nodes.select("node", "n", "sketch", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("members")).where("least <> most").drop("most")
-    members = saved(rows.join(shared, "band"), "members")
+    shared = keep(rows.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").drop("most"), "shared")
+    members = keep(met(rows, shared, "band"), "members")
 
-    wanted = saved(members.select("node").distinct(), "candidates")
+    wanted = keep(members.select("node").distinct(), "candidates")
     found = source.withColumnRenamed("doc_id", "node").join(F.broadcast(wanted) if few(wanted) else wanted, "node", "left_semi")
-    sets = saved(found.select(F.col("node").alias("doc_id"), "text").mapInArrow(_emit_sets, "node long, shingles binary, parity binary"), "sets")
+    sets = keep(found.select(F.col("node").alias("doc_id"), "text").mapInArrow(_emit_sets, "node long, shingles binary, parity binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -209,31 +218,33 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     for k in ROUNDS:
         held = members.select("band", "node")
         if asking is not None:  # only those with candidates left untested ask again, in their buckets
-            held = held.join(held.join(F.broadcast(asking) if few(asking) else asking, "node", "left_semi").select("band").distinct(), "band", "left_semi")
+            buckets = keep(met(held, asking, "node", "left_semi").select("band").distinct(), "buckets")
+            held = met(held, buckets, "band", "left_semi")
         known = shapes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        now = saved(held.join(known, "node"), "open")
-        mixed = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "size")
-        main = now.groupBy("band", "component").count().groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-        spread = now.join(mixed.join(main, "band"), "band").withColumn("salts", F.ceil(F.col("size") / SALT_ROWS).cast("int"))
-        ask = spread.where("component <> main") if asking is None else spread.join(asking, "node", "left_semi")
-        askers = ask.groupBy("band").count().select("band", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("parts"))
+        now = keep(held.join(known, "node"), "open")
+        sums = now.groupBy("band", "component").count().groupBy("band").agg(F.count("*").alias("components"), F.sum("count").alias("size"), F.max_by("component", F.struct("count", "component")).alias("main"))
+        mixed = keep(sums.where("components > 1").select("band", "main", F.ceil(F.col("size") / SALT_ROWS).cast("int").alias("salts")), "mixed")
+        spread = met(now, mixed, "band")
+        ask = spread.where("component <> main") if asking is None else met(spread, asking, "node", "left_semi")
+        askers = keep(ask.groupBy("band").count().select("band", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("parts")), "askers")
         # a grid of cells: those asked are in one row of a bucket's cells, those that ask in one column
-        rows = spread.join(askers, "band").withColumns({"salt": F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "asks": F.lit(False)})
-        ask = ask.join(askers, "band").withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "asks": F.lit(True)})
+        rows = met(spread, askers, "band").withColumns({"salt": F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "asks": F.lit(False)})
+        ask = met(ask, askers, "band").withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "part": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "asks": F.lit(True)})
         cols = ["band", "salt", "part", "asks", "node", "n", "component", "parity"]
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, but much to compare
         tried = dealt(rows.select(cols).unionByName(ask.select(cols)), parts, "band", "salt", "part").groupBy("band", "salt", "part").applyInArrow(_pairs(k, percent), "y long, x long, more boolean")
-        pairs = saved(tried.groupBy("y", "x").agg(F.max("more").alias("more")), "pairs")
-        forget(now)
+        pairs = keep(tried.groupBy("y", "x").agg(F.max("more").alias("more")), "pairs")
         new = confirmed(pairs.select(F.least("y", "x").alias("a"), F.greatest("y", "x").alias("b")).distinct())
         own = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         other = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        joined = saved(new.join(own, "a", "left").join(other, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "merges")
+        joined = keep(new.join(own, "a", "left").join(other, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "merges")
         if not joined.isEmpty():
             label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(joined))
-        asking = saved(pairs.where("more").select(F.col("y").alias("node")).distinct(), "asking")
+        asking = keep(pairs.where("more").select(F.col("y").alias("node")).distinct(), "asking")
         if asking.isEmpty():
             break
+    for table_ in made[2:]:
+        forget(table_)
     classed = nodes.select("k1", "k2", "n", "node").join(label, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("c"))
     # copies of one class may hold a third of all rows: those that are no smallest doc_id are a plain join, which Spark splits
     out = marked.select("doc_id", "n", "k1", "k2").join(classed, ["k1", "k2", "n"], "left").withColumn("component_id", F.coalesce("c", "doc_id"))
