@@ -1,30 +1,37 @@
 """Sharding by Hilbert-curve order: several metadata dimensions quantised, sorted by curve index, cut into runs.
 
 The law is `rows`: runs of the sorted order whose counts differ by at most one. Each dimension is quantised
-at its own approximate quantiles over all rows, so that crowded values are spread; rows in one cell of the
-curve are ordered by the checksum of the text and doc_id, which keeps equal texts side by side. Files cut
-from such runs have narrow ranges in every dimension, which min/max statistics prune on.
+at its own quantiles over all rows, so that crowded values are spread: numbers at approximate ones, strings at those of
+their distinct values' counts, whatever beginnings they share. Rows in one cell of the curve are ordered by the
+checksum of the text and doc_id, which keeps equal texts side by side. Files cut from such runs have narrow ranges in
+every dimension, which min/max statistics prune on.
 
 The order is global without a single task: rows are range-partitioned and sorted by all keys (so a crowded
 cell is split as well), written once, and counted by partition; only those counts reach the driver.
 
 Cases: a null text has size 16 and checksum 0, as an empty one; nulls in a dimension come first; repeated
-rows are separate rows with slots of their own; an empty table gives no rows; extra columns are ignored.
+rows are separate rows with slots of their own; an empty table gives no rows; extra columns are ignored, whatever
+their names. Texts are not read beyond their sizes and checksums, so very long ones do no harm.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from foliant.llm.common import input_bytes, saved, table
+from foliant.llm.common import forget, saved, table
 
 SHARDS = 40
 BITS = 8
+#: Rows of a partition of the global order, and distinct strings whose counts may go to the driver.
+PART_ROWS = 1_000_000
+DISTINCT_ROWS = 100_000
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -56,24 +63,50 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _index(cuts: list[list[float]], bits: int, names: list[str]):
-    bounds = [np.array(sorted(c), float) for c in cuts]
+def _cells(column: pa.Array, cuts: list) -> np.ndarray:
+    """The cell of each value: how many cuts it reaches. Nulls are in the first."""
+    if pa.types.is_string(column.type):
+        coded = column.dictionary_encode()
+        own = np.array([bisect.bisect_right(cuts, v.encode()) for v in coded.dictionary.to_pylist()] + [0], np.int64)
+        return own[coded.indices.fill_null(len(own) - 1).to_numpy(zero_copy_only=False)]
+    return np.searchsorted(np.array(cuts, float), column.to_numpy(zero_copy_only=False), "right")
 
+
+def _index(cuts: list[list], bits: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [np.searchsorted(b, batch.column(n).to_numpy(zero_copy_only=False), "right") for b, n in zip(bounds, names, strict=True)]
+            cells = [_cells(batch.column(n), b) for b, n in zip(cuts, names, strict=True)]
             index = hilbert_index(np.stack(cells, 1), bits) if len(batch) else np.zeros(0, np.int64)
             yield batch.select(["doc_id", "size", "text_crc32"]).append_column("curve", pa.array(index, pa.int64()))
 
     return run
 
 
-def _number(dtype: str, name: str):
-    """A number that sorts like the column; nulls first. Strings: by their first six bytes."""
-    if dtype == "string":
-        six = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0")
-        return F.coalesce(F.conv(six, 16, 10).cast("double"), F.lit(-1.0))
-    return F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
+def _string_cuts(points: DataFrame, name: str, rows: int, bits: int) -> list[bytes]:
+    """The values (as bytes) at which rows, sorted by them, go over a multiple of rows / 2**bits: 2**bits at most."""
+    counts = saved(points.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("binary").alias("v")).count(), "hilbert-values")
+    step = max(1, -(-rows // (1 << bits)))
+    if counts.limit(DISTINCT_ROWS + 1).count() <= DISTINCT_ROWS and (counts.agg(F.sum(F.length("v"))).head()[0] or 0) <= 16 << 20:
+        cuts, total = [], 0
+        for v, n in sorted((bytes(r.v), r["count"]) for r in counts.collect()):
+            if total // step != (total + n) // step:
+                cuts.append(v)
+            total += n
+    else:  # the same over sorted partitions
+        parts = max(4, counts.count() // PART_ROWS)
+        ranged = saved(counts.repartitionByRange(parts, "v").sortWithinPartitions("v").withColumn("at", F.monotonically_increasing_id()), "hilbert-sorted")
+        part = F.shiftright("at", 33)
+        before, sums = 0, {}
+        for p, n in sorted(tuple(r) for r in ranged.groupBy(part.alias("p")).agg(F.sum("count")).collect()):  # one row for each partition
+            sums[p], before = before, before + n
+        starts = points.sparkSession.createDataFrame(list(sums.items()), "p long, before long")
+        upto = F.col("before") + F.sum("count").over(Window.partitionBy("p").orderBy("at"))
+        crossed = F.floor((F.col("upto") - F.col("count")) / step) != F.floor(F.col("upto") / step)
+        own = ranged.withColumn("p", part).join(F.broadcast(starts), "p").withColumn("upto", upto).where(crossed)
+        cuts = sorted(bytes(r.v) for r in own.select("v").collect())
+        forget(ranged)
+    forget(counts)
+    return cuts
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, ...] = ("source", "lang", "size", "doc_id"), bits: int = BITS) -> DataFrame:
@@ -81,14 +114,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, ...] = ("sourc
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     base = docs.withColumns({"size": (F.octet_length(text) + 16).cast("long"), "text_crc32": F.crc32(text)})
-    kinds = dict(base.dtypes)
     names = [f"_d{i}" for i in range(len(dims))]
-    points = base.select("doc_id", "size", "text_crc32", *[_number(kinds[d], d).alias(n) for d, n in zip(dims, names, strict=True)])
+    strings = [n for n, d in zip(names, dims, strict=True) if dict(base.dtypes)[d] == "string"]
+    number = lambda d: F.coalesce(F.col(d).cast("double"), F.lit(float("-inf")))
+    points = base.select("doc_id", "size", "text_crc32", *[(F.col(d) if n in strings else number(d)).alias(n) for d, n in zip(dims, names, strict=True)])
     points = saved(points, "hilbert-points")  # narrow: the texts are read once
     steps = F.array(*[F.lit(i / (1 << bits)) for i in range(1, 1 << bits)])
-    cuts = points.agg(*[F.percentile_approx(n, steps, 10_000).alias(n) for n in names]).head()
-    curved = points.mapInArrow(_index([list(c or []) for c in cuts], bits, names), "doc_id long, size long, text_crc32 long, curve long")
-    parts = max(4, min(10_000, input_bytes(docs) // (32 << 20)))
+    numbers = points.agg(F.count("*").alias("n"), *[F.percentile_approx(n, steps, 10_000).alias(n) for n in names if n not in strings]).head()
+    cuts = [_string_cuts(points, n, numbers["n"], bits) if n in strings else sorted(numbers[n] or []) for n in names]
+    cuts = [c[: (1 << bits) - 1] for c in cuts]
+    curved = points.mapInArrow(_index(cuts, bits, names), "doc_id long, size long, text_crc32 long, curve long")
+    parts = max(4, numbers["n"] // PART_ROWS)
     keys = ["curve", "text_crc32", "doc_id", "size"]
     ranged = curved.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id())
     ranged = saved(ranged, "hilbert-order")
