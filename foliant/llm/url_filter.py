@@ -10,7 +10,9 @@ and as they include the page, a very frequent key is split over several.
 The longest rule wins (characters of host and path, then of host); with none the verdict is `default`.
 
 Cases: a null url, or one without ://, has an empty host and path and meets no rule. Repeated rows come
-out as often as they came in. A null page_id is kept. Extra columns are ignored. No rules: all get the default.
+out as often as they came in; they are counted, swept once for COPIES of them, and written out in as many tasks. Ties of
+rules go to the longer host, then to the later rule text. A null page_id is kept. Very long urls are keys like others; range
+bounds look at CUT_CHARS of them. Extra columns are ignored, whatever their names. No rules: all get the default.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from foliant.llm.common import dealt, input_bytes, table
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DEFAULT = "allow"
 SAMPLE = 20_000
+CUT_CHARS = 256
+COPIES = 65_536
 _ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -68,18 +72,21 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 stack.append((key, rule))
             best.append(stack[-1][1] if stack else None)
         out = batch.append_column("best", pa.array(best, pa.string()))
-        yield out.filter(pa.array([r is None for r in rules])).select(["page_id", "url", "n", "best"])
+        yield out.filter(pa.array([r is None for r in rules])).select(["page_id", "url", "k", "n", "best"])
 
 
 def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT, ranges: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages."""
     spark = pages.sparkSession
-    ranges = ranges or max(8, min(20_000, input_bytes(pages) // (2 << 20)))
-    counted = pages.groupBy("page_id", "url").agg(F.count("*").alias("n"))
+    size = input_bytes(pages)
+    ranges = ranges or max(8, min(2000, size // (2 << 20)), size // (128 << 20))
+    copies = pages.groupBy("page_id", "url").agg(F.count("*").alias("n"))
+    counted = copies.select("page_id", "url", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES).cast("int"))).alias("k"))
+    counted = counted.withColumn("n", F.least(F.lit(COPIES), F.col("n") - F.col("k") * COPIES).cast("long"))
     each = counted.withColumns(parts(F.col("url"))).withColumn("labels", F.reverse(F.split("host", r"\.")))
     suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda k: F.concat(F.array_join(F.slice("labels", F.lit(1), k), "."), F.col("path")))
-    probes = each.select("page_id", "url", "n", F.explode(suffixes).alias("key"), F.xxhash64("page_id").alias("tie"), F.lit(None).cast("string").alias("rule"))
-    seen = probes.select("key", "tie", F.xxhash64("key", "tie").alias("h")).orderBy("h").limit(SAMPLE).collect()  # by hash: any even sample will do
+    probes = each.select("page_id", "url", "k", "n", F.explode(suffixes).alias("key"), F.xxhash64("page_id", "k").alias("tie"), F.lit(None).cast("string").alias("rule"))
+    seen = probes.select(F.substring("key", 1, CUT_CHARS).alias("key"), "tie", F.xxhash64("key", "tie").alias("h")).orderBy("h").limit(max(SAMPLE, 4 * ranges)).collect()  # by hash: any even sample will do
     keys = sorted((r.key, r.tie) for r in seen)
     cuts = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
 
@@ -89,13 +96,13 @@ def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT, ranges: int | N
         return range(low, high + 1)
 
     order = {f"{h}{p}": (len(h) + len(p), len(h), v) for v, h, p in rules}
-    rows = [(None, None, 0, _reversed(h) + p, -(2**63), f"{h}{p}", k) for _, h, p in rules for k in spans(_reversed(h) + p)]
-    ruled = spark.createDataFrame(rows, "page_id long, url string, n long, key string, tie long, rule string, range int")
+    rows = [(None, None, 0, 0, _reversed(h) + p, -(2**63), f"{h}{p}", r) for _, h, p in rules for r in spans(_reversed(h) + p)]
+    ruled = spark.createDataFrame(rows, "page_id long, url string, k int, n long, key string, tie long, rule string, range int")
     ranged = probes.mapInArrow(_deal(cuts), ruled.schema)
     swept = dealt(ranged.unionByName(ruled), ranges, "range").sortWithinPartitions("range", "key", F.col("rule").isNull(), "rule")
-    met = swept.mapInArrow(_sweep, "page_id long, url string, n long, best string")
+    met = swept.mapInArrow(_sweep, "page_id long, url string, k int, n long, best string")
     weight = spark.createDataFrame([(r, *o) for r, o in order.items()], "best string, length int, host_length int, verdict string") if rules else spark.createDataFrame([], "best string, length int, host_length int, verdict string")
-    won = met.join(F.broadcast(weight), "best", "left").groupBy("page_id", "url", "n").agg(F.max(F.struct("length", "host_length", "best", "verdict")).alias("w"))
+    won = met.join(F.broadcast(weight), "best", "left").groupBy("page_id", "url", "k", "n").agg(F.max(F.struct("length", "host_length", "best", "verdict")).alias("w"))
     out = won.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).withColumns(parts(F.col("url")))
     return out.select("page_id", "host", "path", F.col("w.best").alias("rule"), F.coalesce("w.verdict", F.lit(default)).alias("verdict"))
 
