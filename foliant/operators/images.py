@@ -1,13 +1,30 @@
-"""Pixels, boxes and pages: channels, box growth, crop sizes, file names, reading order."""
+"""Pixels, boxes and pages: channels, resizing, crops, box growth, file names, reading order.
+
+Images are (height, width, 3) arrays of bytes, blue first, as Spark's image source has them; tables of them have columns
+height, width, data (rows one after another, no gaps).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Fixed value: tops closer than this belong to one row of text.
 ROW_TOLERANCE = 10
+#: Fixed value: the share of the wider of box and column by which they must overlap.
+COLUMN_OVERLAP = 0.45
+#: Per channel mean and deviation of a detector's input, sizes of the other two inputs, and their padding.
+DET_MEAN, DET_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+CLS_SIZE, CLS_PADDING = (80, 160), -1.0
+REC_HEIGHT, REC_PADDING = 48, 128 * 2 / 255 - 1
+#: Fixed value: a crop so many times as high as wide is turned.
+TALL = 1.5
 
 
 def channels(argb: Column) -> tuple[Column, Column, Column]:
@@ -30,6 +47,139 @@ def with_extension(name: Column, extension: str) -> Column:
     return F.concat(F.regexp_replace(name, r"(?s)^(.+)\.[^.]*$", "$1"), F.lit(extension))
 
 
+# --- resizing and crops -------------------------------------------------------------------------------------
+
+
+def _between(out: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place of the output the two source places around its middle, within the image, and the second one's weight."""
+    at = (np.arange(out) + 0.5) * size / out - 0.5
+    low = np.floor(at).astype(int)
+    return np.clip(low, 0, size - 1), np.clip(low + 1, 0, size - 1), at - low
+
+
+def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear, pixel middles on pixel middles; (height, width, 3) doubles."""
+    x = image.astype(float)
+    y0, y1, wy = _between(height, image.shape[0])
+    x0, x1, wx = _between(width, image.shape[1])
+    wx, wy = wx[None, :, None], wy[:, None, None]
+    top = x[y0][:, x0] + (x[y0][:, x1] - x[y0][:, x0]) * wx
+    bottom = x[y1][:, x0] + (x[y1][:, x1] - x[y1][:, x0]) * wx
+    return top + (bottom - top) * wy
+
+
+def detector_size(width: int, height: int, limit: int) -> tuple[int, int]:
+    """Width and height of a detector's input: the longer side within the limit, both multiples of 32, 32 at least."""
+    ratio = min(1.0, limit / max(width, height))
+    return tuple(max(32, int(np.floor(n * ratio / 32 + 0.5)) * 32) for n in (width, height))
+
+
+def detector_input(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """(3, height, width), normalised."""
+    x = (resized(image, height, width) / 255 - DET_MEAN) / DET_STD
+    return x.transpose(2, 0, 1)
+
+
+def _fitted(image: np.ndarray, height: int, target: int, padding: float) -> np.ndarray:
+    width = min(target, -(-height * image.shape[1] // image.shape[0]))
+    out = np.full((3, height, target), padding)
+    out[:, :, :width] = (resized(image, height, width) * 2 / 255 - 1).transpose(2, 0, 1)
+    return out
+
+
+def classifier_input(image: np.ndarray) -> np.ndarray:
+    """(3, 80, 160): scaled to the height, padded on the right."""
+    return _fitted(image, *CLS_SIZE, CLS_PADDING)
+
+
+def recogniser_input(image: np.ndarray, target: int) -> np.ndarray:
+    """(3, 48, target): scaled to the height, padded on the right."""
+    return _fitted(image, REC_HEIGHT, target, REC_PADDING)
+
+
+def crop_size(quad) -> tuple[int, int]:
+    """Width and height of a crop: its upper and its left side, to the nearest whole number. Sides below one are an error."""
+    p = np.asarray(quad, float).reshape(4, 2)
+    sides = np.hypot(*(p[1] - p[0])), np.hypot(*(p[3] - p[0]))
+    if not np.isfinite(p).all() or not np.isfinite(sides).all() or min(sides) < 1:
+        raise ValueError("a box with a side below one, or that is not finite")
+    return tuple(max(1, int(np.floor(s + 0.5))) for s in sides)
+
+
+def projection(quad) -> np.ndarray:
+    """The 3 x 3 matrix that takes the unit square to the corners, in order around it."""
+    p = np.asarray(quad, float).reshape(4, 2)
+    bend = p[0] - p[1] + p[2] - p[3]
+    g = h = 0.0
+    if (np.abs(bend) > 1e-12).any():
+        sides = np.array([p[1] - p[2], p[3] - p[2]])
+        det = sides[0, 0] * sides[1, 1] - sides[1, 0] * sides[0, 1]
+        if not np.isfinite(det) or abs(det) <= 1e-12:
+            raise ValueError("a degenerate box")
+        g = (bend[0] * sides[1, 1] - sides[1, 0] * bend[1]) / det
+        h = (sides[0, 0] * bend[1] - bend[0] * sides[0, 1]) / det
+    rows = np.array([p[1] - p[0] + g * p[1], p[3] - p[0] + h * p[3], p[0]]).T
+    return np.vstack([rows, [g, h, 1.0]])
+
+
+def crop(image: np.ndarray, quad) -> np.ndarray:
+    """The image within four corners, upright; turned if it is tall. Bilinear, to the nearest byte, halves up."""
+    width, height = crop_size(quad)
+    v, u = np.meshgrid(np.arange(height) / height, np.arange(width) / width, indexing="ij")
+    x, y, scale = np.tensordot(projection(quad), np.stack([u, v, np.ones_like(u)]), 1)
+    if not (np.isfinite(scale) & (np.abs(scale) > 1e-12)).all():
+        raise ValueError("a box that has no projection")
+    x, y = x / scale, y / scale
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    wx, wy = (x - x0)[..., None], (y - y0)[..., None]
+    at = lambda yy, xx: image[np.clip(yy, 0, image.shape[0] - 1), np.clip(xx, 0, image.shape[1] - 1)].astype(float)
+    top = at(y0, x0) + (at(y0, x0 + 1) - at(y0, x0)) * wx
+    bottom = at(y0 + 1, x0) + (at(y0 + 1, x0 + 1) - at(y0 + 1, x0)) * wx
+    out = np.floor(np.clip(top + (bottom - top) * wy, 0, 255) + 0.5).astype(np.uint8)
+    out = np.minimum(out, 255)
+    return np.rot90(out, -1) if height >= width * TALL else out
+
+
+def pixels(r: dict) -> np.ndarray:
+    """The image of a row."""
+    return np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3)
+
+
+def tensors(images: DataFrame, f: Callable, key: str = "image") -> DataFrame:
+    """(key, shape, data): f of each image, a tensor. Images without data give none. Nothing is shuffled."""
+    kind = images.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["data"] is not None:
+                    x = f(pixels(r))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[key]], batch.schema.field(key).type), pa.array([list(x.shape)], pa.list_(pa.int32())), pa.array([x.astype(np.float32).ravel()], pa.list_(pa.float32()))], [key, "shape", "data"])
+
+    return images.select(key, "height", "width", "data").mapInArrow(run, f"{key} {kind}, shape array<int>, data array<float>")
+
+
+def crops(images: DataFrame, boxes: DataFrame, key: str = "image") -> DataFrame:
+    """(key, box_id, height, width, data) of boxes (key, box_id, quad: eight numbers). An image is read once: its boxes come
+    to it as one list, and its crops are cut in one batch."""
+    lists = boxes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("box_id", "quad"))).alias("boxes"))
+    both, kind = images.select(key, "height", "width", "data").join(lists, key), images.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                cut = [crop(pixels(r), b["quad"]) for b in r["boxes"]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([r[key]] * len(cut), batch.schema.field(key).type), pa.array([b["box_id"] for b in r["boxes"]], pa.int32()),
+                    pa.array([c.shape[0] for c in cut], pa.int32()), pa.array([c.shape[1] for c in cut], pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary()),
+                ], [key, "box_id", "height", "width", "data"])
+
+    return both.mapInArrow(run, f"{key} {kind}, box_id int, height int, width int, data binary")
+
+
+# --- reading order ------------------------------------------------------------------------------------------
+
+
 def in_rows(tops: list[float], lefts: list[float]) -> list[int]:
     """Stable insertion by row, then left edge. Rows are judged pairwise, which is no order that sorting could use:
     a box goes behind the last one, from the end, that does not come after it."""
@@ -56,3 +206,47 @@ def lines_in_order(boxes: DataFrame) -> DataFrame:
         return pd.DataFrame({"page": g.page.to_numpy()[order], "idx": g.idx.to_numpy()[order], "k": range(len(g))})
 
     return boxes.groupBy("page").applyInPandas(run, f"page {boxes.schema['page'].dataType.simpleString()}, idx int, k int")
+
+
+def in_columns(boxes: list[tuple[float, float, float, float]], right_to_left: bool = False) -> list[int]:
+    """The order of boxes (x0, y0, x1, y1) by column, then from the top. Boxes are taken by their middles from the left;
+    each joins the column that it overlaps most, by COLUMN_OVERLAP or more of the wider of the two, the first of
+    several, or begins one. A column spans all its boxes, and is as wide as its widest."""
+    columns: list[list[float]] = []  # left, right, width
+    column = [0] * len(boxes)
+    for i in sorted(range(len(boxes)), key=lambda k: ((boxes[k][0] + boxes[k][2]) * 0.5, k)):
+        x0, _, x1, _ = boxes[i]
+        shares = [max(0.0, min(x1, c[1]) - max(x0, c[0])) / m if (m := max(x1 - x0, c[2])) > 0 else 0.0 for c in columns]
+        best = max(range(len(columns)), key=lambda k: (shares[k], -k), default=None)
+        if best is None or shares[best] < COLUMN_OVERLAP:
+            best = len(columns)
+            columns.append([x0, x1, x1 - x0])
+        c = columns[best]
+        columns[best] = [min(c[0], x0), max(c[1], x1), max(c[2], x1 - x0)]
+        column[i] = best
+    return sorted(range(len(boxes)), key=lambda k: (-column[k] if right_to_left else column[k], boxes[k][1], (boxes[k][1] + boxes[k][3]) * 0.5, k))
+
+
+def columns_in_order(boxes: DataFrame, right_to_left: bool = False) -> DataFrame:
+    """(page, idx, k): the place k of each box (page, idx, x0, y0, x1, y1) in its page, column by column."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("idx", kind="stable")
+        order = in_columns(list(zip(g.x0, g.y0, g.x1, g.y1, strict=True)), right_to_left)
+        return pd.DataFrame({"page": g.page.to_numpy()[order], "idx": g.idx.to_numpy()[order], "k": range(len(g))})
+
+    return boxes.groupBy("page").applyInPandas(run, f"page {boxes.schema['page'].dataType.simpleString()}, idx int, k int")
+
+
+def page_texts(lines: DataFrame, page: str = "page", place: str = "k", text: str = "text") -> DataFrame:
+    """(page, text): the lines of each page in order, joined by line ends; null lines are empty."""
+    own = F.array_sort(F.collect_list(F.struct(F.col(place).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))))
+    return lines.groupBy(page).agg(F.array_join(F.transform(own, lambda s: s.t), "\n").alias("text"))
+
+
+def largest_first(lines: DataFrame, width: str = "width", place: str = "idx") -> DataFrame:
+    """(width, lines, work, k): groups of lines of one width, those with the most work (width times lines) first, ties as
+    they first appear. Groups are as few as there are widths."""
+    groups = lines.groupBy(width).agg(F.count("*").alias("lines"), F.min(place).alias("_first")).withColumn("work", F.col(width) * F.col("lines"))
+    k = F.row_number().over(Window.orderBy(F.desc("work"), "_first")) - 1
+    return groups.withColumn("k", k).drop("_first")

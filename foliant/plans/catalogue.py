@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+import numpy as np
+
 from foliant.functions import elementwise as E
 from foliant.functions import text as texts
-from foliant.operators import decoding, detection, evaluation, images, tensor
+from foliant.operators import blocks, decoding, detection, evaluation, images, tensor
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +51,19 @@ def _cube(spark: SparkSession, sf: str) -> DataFrame:
     return tensor.coordinates(_t(spark, sf, "embeddings"), (4, 4, 4), "chw")
 
 
+_MAP_SHAPE, _CUBE_SHAPE = (1, 8, 8), (4, 4, 4)
+
+
+def pattern(*shape: int) -> np.ndarray:
+    """Weights for queries. The fill that the SQL has, too."""
+    return (np.arange(int(np.prod(shape))) * 17 % 257 - 128).reshape(shape) / 127
+
+
+def _blocks(spark: SparkSession, sf: str, shape: tuple[int, ...], names: str | list[str], f) -> DataFrame:
+    """The elements of f of each vector as a tensor of that shape; rounded."""
+    return _rounded(blocks.over(_t(spark, sf, "embeddings"), shape, names, f))
+
+
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names or ("v",)})
 
@@ -135,7 +150,7 @@ for _name, (_value, _sql) in _ELEMENTWISE.items():
 
 @query("broadcast_channel", _CUBE + f" SELECT vec_id, c, h, w, round(v * ({_pattern('c')}), 6) AS v FROM x")
 def broadcast_channel(spark, sf):
-    factor = spark.createDataFrame([(c, tensor.pattern(c)) for c in range(4)], "c int, f double")
+    factor = spark.createDataFrame([(c, float(f)) for c, f in enumerate(pattern(4))], "c int, f double")
     return _rounded(_cube(spark, sf).join(F.broadcast(factor), "c").select("vec_id", "c", "h", "w", (F.col("v") * F.col("f")).alias("v")))
 
 
@@ -154,30 +169,28 @@ def batch_norm(spark, sf):
 
 @query("reduce_mean_axes", _CUBE + " SELECT vec_id, h, round(avg(v), 6) AS v FROM x GROUP BY ALL")
 def reduce_mean_axes(spark, sf):
-    return _rounded(tensor.reduce_mean(_cube(spark, sf), ["vec_id", "h"]))
+    return _blocks(spark, sf, _CUBE_SHAPE, "h", lambda x: blocks.reduce_mean(x, (1, -1), keepdims=False))
 
 
 @query("global_avg_pool", _CUBE + " SELECT vec_id, c, round(avg(v), 6) AS v FROM x GROUP BY ALL")
 def global_avg_pool(spark, sf):
-    return _rounded(tensor.reduce_mean(_cube(spark, sf), ["vec_id", "c"]))
+    return _blocks(spark, sf, _CUBE_SHAPE, "c", lambda x: blocks.reduce_mean(x, (2, 3), keepdims=False))
 
 
 @query("softmax", _CUBE + ", m AS (SELECT *, exp(v - max(v) OVER (PARTITION BY vec_id, h, w)) AS q FROM x) SELECT vec_id, c, h, w, round(q / sum(q) OVER (PARTITION BY vec_id, h, w), 6) AS v FROM m")
 def softmax(spark, sf):
-    return _rounded(tensor.softmax(_cube(spark, sf), ["vec_id", "h", "w"]))
+    return _blocks(spark, sf, _CUBE_SHAPE, "chw", lambda x: blocks.softmax(x, 1))
 
 
 @query("matmul", _MAP + f" SELECT vec_id, h AS i, j, round(sum(v * ({_pattern('w * 8 + j')})), 6) AS v FROM x, (SELECT unnest(range(8))::INT AS j) GROUP BY ALL")
 def matmul(spark, sf):
-    b = spark.createDataFrame([(k, j, tensor.pattern(k * 8 + j)) for k in range(8) for j in range(8)], "k int, j int, w double")
-    a = _map(spark, sf).select("vec_id", F.col("h").alias("i"), F.col("w").alias("k"), "v")
-    return _rounded(tensor.matmul(a, b, ["vec_id"]))
+    b = pattern(8, 8)
+    return _blocks(spark, sf, (8, 8), "ij", lambda x: blocks.matmul(x, b))
 
 
 @query("batched_matmul", _MAP + " SELECT a.vec_id, a.h AS i, b.w AS j, round(sum(a.v * b.v), 6) AS v FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.w = b.h GROUP BY ALL")
 def batched_matmul(spark, sf):
-    x = _map(spark, sf)
-    return _rounded(tensor.matmul(x.select("vec_id", F.col("h").alias("i"), F.col("w").alias("k"), "v"), x.select("vec_id", F.col("h").alias("k"), F.col("w").alias("j"), F.col("v").alias("w")), ["vec_id"]))
+    return _blocks(spark, sf, (8, 8), "ij", lambda x: blocks.matmul(x, x))
 
 
 # --- layout -------------------------------------------------------------------------------------------------
@@ -185,38 +198,37 @@ def batched_matmul(spark, sf):
 
 @query("transpose", _CUBE + " SELECT vec_id, w AS c, h, c AS w, round(v, 6) AS v FROM x")
 def transpose(spark, sf):
-    return _rounded(_cube(spark, sf).select("vec_id", F.col("w").alias("c"), "h", F.col("c").alias("w"), "v"))
+    return _blocks(spark, sf, _CUBE_SHAPE, "chw", lambda x: blocks.transpose(x, (0, 3, 2, 1)))
 
 
 @query("reshape", _FLAT + " SELECT vec_id, i // 32 AS a, i % 32 AS b, round(v, 6) AS v FROM e")
 def reshape(spark, sf):
-    return _rounded(tensor.coordinates(_t(spark, sf, "embeddings"), (2, 32), "ab"))
+    return _blocks(spark, sf, (64,), "ab", lambda x: blocks.reshape(x, (0, 2, -1)))
 
 
 @query("squeeze_unsqueeze", _MAP + " SELECT vec_id, h, 0 AS n, w, round(v, 6) AS v FROM x")
 def squeeze_unsqueeze(spark, sf):
-    return _rounded(_map(spark, sf).drop("c").select("vec_id", "h", F.lit(0).alias("n"), "w", "v"))
+    return _blocks(spark, sf, (1, 8, 8), ["h", "n", "w"], lambda x: blocks.unsqueeze(blocks.squeeze(x, (1,)), (2,)))
 
 
 @query("concat", _CUBE + " SELECT vec_id, c, h, w, round(v, 6) AS v FROM x UNION ALL SELECT vec_id, c + 4, h, w, round(-v, 6) FROM x")
 def concat(spark, sf):
-    x = _cube(spark, sf)
-    return _rounded(tensor.concat([x, x.withColumn("v", -F.col("v"))], "c", [4, 4]))
+    return _blocks(spark, sf, _CUBE_SHAPE, "chw", lambda x: blocks.concat(x, -x, axis=1))
 
 
 @query("slice", _MAP + " SELECT vec_id, h, (w - 3) // 2 AS w, round(v, 6) AS v FROM x WHERE w >= 3 AND w < 7 AND (w - 3) % 2 = 0")
 def slice_(spark, sf):
-    return _rounded(tensor.slice_axis(_map(spark, sf).drop("c"), "w", -5, -1, 2, size=8))
+    return _blocks(spark, sf, (8, 8), "hw", lambda x: blocks.slice_(x, [-5], [-1], axes=[-1], steps=[2]))
 
 
 @query("resize_nearest", _CUBE + " SELECT vec_id, c, oh AS h, ow AS w, round(v, 6) AS v FROM x, (SELECT unnest(range(8))::INT AS oh) a, (SELECT unnest(range(8))::INT AS ow) b WHERE h = oh // 2 AND w = ow // 2")
 def resize_nearest(spark, sf):
-    return _rounded(tensor.resize_nearest(_cube(spark, sf), 2))
+    return _blocks(spark, sf, _CUBE_SHAPE, "chw", lambda x: blocks.resize_nearest(x, (2, 2)))
 
 
 @query("rotate180", _MAP + " SELECT vec_id, 7 - h AS h, 7 - w AS w, round(v, 6) AS v FROM x")
 def rotate180(spark, sf):
-    return _rounded(_map(spark, sf).select("vec_id", (7 - F.col("h")).alias("h"), (7 - F.col("w")).alias("w"), "v"))
+    return _blocks(spark, sf, (8, 8), "hw", blocks.rotate180)
 
 
 # --- windows ------------------------------------------------------------------------------------------------
@@ -231,20 +243,21 @@ def _conv_sql(view: str, oc: int, ic: int, kh: int, kw: int, out: tuple[int, int
 
 
 _CONVS = {
-    "conv3x3": (_map, _MAP, (2, 1, 3, 3), (8, 8), {"pad": 1}),
-    "conv_stride2": (_map, _MAP, (2, 1, 3, 3), (4, 4), {"stride": 2, "pad": 1}),
-    "conv_dilated": (_map, _MAP, (1, 1, 3, 3), (8, 8), {"pad": 2, "dilation": 2}),
-    "conv_depthwise": (_cube, _CUBE, (4, 1, 3, 3), (4, 4), {"pad": 1, "depthwise": True}),
-    "conv_pointwise": (_cube, _CUBE, (3, 4, 1, 1), (4, 4), {}),
-    "conv_wide": (_map, _MAP, (1, 1, 1, 7), (8, 8), {"pad": 0, "pad_w": 3}),
+    "conv3x3": (_MAP_SHAPE, _MAP, (2, 1, 3, 3), (8, 8), {"pad": 1}),
+    "conv_stride2": (_MAP_SHAPE, _MAP, (2, 1, 3, 3), (4, 4), {"stride": 2, "pad": 1}),
+    "conv_dilated": (_MAP_SHAPE, _MAP, (1, 1, 3, 3), (8, 8), {"pad": 2, "dilation": 2}),
+    "conv_depthwise": (_CUBE_SHAPE, _CUBE, (4, 1, 3, 3), (4, 4), {"pad": 1, "depthwise": True}),
+    "conv_pointwise": (_CUBE_SHAPE, _CUBE, (3, 4, 1, 1), (4, 4), {}),
+    "conv_wide": (_MAP_SHAPE, _MAP, (1, 1, 1, 7), (8, 8), {"pad": 0, "pad_w": 3}),
 }
 
 
-def _conv(view, w, kw):
+def _conv(shape, w, kw):
     def run(spark, sf):
-        x = view(spark, sf)
-        size = (8, 8) if view is _map else (4, 4)
-        return _rounded(tensor.conv(x, tensor.weights(spark, *w), size, kernel=w[2:], **kw))
+        weights, pad = pattern(*w), kw.get("pad", 0)
+        pads, group = (pad, kw.get("pad_w", pad)) * 2, shape[0] if kw.get("depthwise") else 1
+        strides, dilations = (kw.get("stride", 1),) * 2, (kw.get("dilation", 1),) * 2
+        return _blocks(spark, sf, shape, "chw", lambda x: blocks.conv(x, weights, None, strides, pads, dilations, group))
 
     return run
 
@@ -256,13 +269,19 @@ for _name, (_view, _sql, _w, _out, _kw) in _CONVS.items():
 
 @query("conv_epilogue", _conv_sql(_MAP, 2, 1, 3, 3, (8, 8), 1, (1, 1)).replace("round(sum", "greatest(0, round(sum").replace(", 6) AS v FROM x", " + 0.125 * any_value(o), 6))::DOUBLE AS v FROM x"))
 def conv_epilogue(spark, sf):
-    x = tensor.conv(_map(spark, sf), tensor.weights(spark, 2, 1, 3, 3), (8, 8), pad=1)
-    return x.withColumn("v", E.relu(F.round(F.col("v") + 0.125 * F.col("c"), 6)))
+    weights, bias = pattern(2, 1, 3, 3), np.array([0.0, 0.125])
+
+    def rounded_bias(y):  # the SQL rounds before the activation
+        return blocks.epilogue(activation="relu")(np.round(blocks.epilogue(bias=bias)(y), 6))
+
+    return _blocks(spark, sf, _MAP_SHAPE, "chw", lambda x: blocks.conv(x, weights, pads=(1, 1, 1, 1), epilogue=rounded_bias))
 
 
 @query("conv_transpose", _CUBE + f" SELECT vec_id, o AS c, h * 2 + a AS h, w * 2 + b AS w, round(sum(v * ({_pattern('((o * 4 + c) * 2 + a) * 2 + b')})), 6) AS v FROM x, (SELECT unnest(range(2))::INT AS o), (SELECT unnest(range(2))::INT AS a), (SELECT unnest(range(2))::INT AS b) GROUP BY ALL")
 def conv_transpose(spark, sf):
-    return _rounded(tensor.conv_transpose(_cube(spark, sf), tensor.weights(spark, 2, 4, 2, 2), 2))
+    # the SQL numbers the weights by output channel first
+    weights = pattern(2, 4, 2, 2).transpose(1, 0, 2, 3)
+    return _blocks(spark, sf, _CUBE_SHAPE, "chw", lambda x: blocks.conv_transpose(x, weights, strides=(2, 2)))
 
 
 _POOL = _CUBE + " SELECT vec_id, c, y AS h, z AS w, round({f}, 6) AS v FROM x, (SELECT unnest(range({n}))::INT AS y), (SELECT unnest(range({n}))::INT AS z) WHERE h BETWEEN y * {s} - {p} AND y * {s} - {p} + {k} - 1 AND w BETWEEN z * {s} - {p} AND z * {s} - {p} + {k} - 1 GROUP BY ALL"
@@ -270,17 +289,17 @@ _POOL = _CUBE + " SELECT vec_id, c, y AS h, z AS w, round({f}, 6) AS v FROM x, (
 
 @query("max_pool", _POOL.format(f="max(v)", n=2, s=2, p=0, k=2))
 def max_pool(spark, sf):
-    return _rounded(tensor.pool(_cube(spark, sf), "max", 4, 2, 2))
+    return _blocks(spark, sf, _CUBE_SHAPE, "chw", lambda x: blocks.max_pool(x, (2, 2), (2, 2)))
 
 
 @query("avg_pool", _POOL.format(f="sum(v) / count(*)", n=2, s=2, p=1, k=3))
 def avg_pool(spark, sf):
-    return _rounded(tensor.pool(_cube(spark, sf), "avg", 4, 3, 2, pad=1))
+    return _blocks(spark, sf, _CUBE_SHAPE, "chw", lambda x: blocks.average_pool(x, (3, 3), (2, 2), (1, 1, 1, 1)))
 
 
 @query("avg_pool_count_pad", _POOL.format(f="sum(v) / 9", n=2, s=2, p=1, k=3))
 def avg_pool_count_pad(spark, sf):
-    return _rounded(tensor.pool(_cube(spark, sf), "avg", 4, 3, 2, pad=1, count_pad=True))
+    return _blocks(spark, sf, _CUBE_SHAPE, "chw", lambda x: blocks.average_pool(x, (3, 3), (2, 2), (1, 1, 1, 1), count_include_pad=True))
 
 
 # --- detection ----------------------------------------------------------------------------------------------
@@ -288,8 +307,9 @@ def avg_pool_count_pad(spark, sf):
 _PIXELS = _MAP + ", px AS (SELECT vec_id, h, w FROM x WHERE v > 0.05)"
 
 
-def _pixels(spark, sf):
-    return detection.threshold(_map(spark, sf), 0.05)
+def _pixels(spark, sf, f=lambda mask: mask):
+    """The pixels (vec_id, h, w) of what f makes of the maps above the threshold."""
+    return blocks.over(_t(spark, sf, "embeddings"), (8, 8), "hw", lambda x: f(detection.bitmap(x, 0.05)), only=lambda y: y).drop("v")
 
 
 QUERIES["det_threshold"], ORACLES["det_threshold"] = _pixels, _PIXELS + " SELECT * FROM px"
@@ -297,17 +317,18 @@ QUERIES["det_threshold"], ORACLES["det_threshold"] = _pixels, _PIXELS + " SELECT
 
 @query("det_dilate", _PIXELS + " SELECT DISTINCT vec_id, h + a AS h, w + b AS w FROM px, (SELECT unnest(range(2))::INT AS a), (SELECT unnest(range(2))::INT AS b) WHERE h + a < 8 AND w + b < 8")
 def det_dilate(spark, sf):
-    return detection.dilate(_pixels(spark, sf), 8, 8)
+    return _pixels(spark, sf, detection.dilated)
 
 
 @query("det_components", _PIXELS.replace("WITH e", "WITH RECURSIVE e") + ", r(vec_id, h, w, src) AS (SELECT vec_id, h, w, h * 8 + w FROM px UNION SELECT p.vec_id, p.h, p.w, r.src FROM r JOIN px p ON p.vec_id = r.vec_id AND abs(p.h - r.h) <= 1 AND abs(p.w - r.w) <= 1) SELECT vec_id, h, w, min(src)::BIGINT AS label FROM r GROUP BY ALL")
 def det_components(spark, sf):
-    return detection.components(_pixels(spark, sf), 8)
+    labels = blocks.over(_t(spark, sf, "embeddings"), (8, 8), "hw", lambda x: detection.labels(detection.bitmap(x, 0.05)), value="label", only=lambda y: y >= 0)
+    return labels.withColumn("label", F.col("label").cast("long"))
 
 
 @query("det_boundary", _PIXELS + " SELECT p.vec_id, p.h, p.w FROM px p LEFT JOIN px q ON p.vec_id = q.vec_id AND abs(p.h - q.h) + abs(p.w - q.w) = 1 GROUP BY ALL HAVING count(q.h) < 4")
 def det_boundary(spark, sf):
-    return detection.boundary(_pixels(spark, sf), 8, 8)
+    return _pixels(spark, sf, detection.edge)
 
 
 @query("det_rect_score", _MAP + " SELECT vec_id, b AS box_id, round(avg(v), 6) AS score FROM x, (SELECT unnest(range(3))::INT AS b) WHERE w BETWEEN b AND b + 3 AND h BETWEEN vec_id % 4 AND vec_id % 4 + 2 GROUP BY ALL")
@@ -417,8 +438,8 @@ def profile_hot_nodes(spark, sf):
 
 @query("latency_percentiles", "SELECT event_type AS op, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def latency_percentiles(spark, sf):
-    _t(spark, sf, "events").createOrReplaceTempView("_events")
-    return spark.sql("SELECT event_type AS op, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, round(avg(value), 6) AS mean FROM _events GROUP BY 1")
+    p = lambda f: F.expr(f"percentile_disc({f}) WITHIN GROUP (ORDER BY value)")
+    return _t(spark, sf, "events").groupBy(F.col("event_type").alias("op")).agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 @query("upper_median", "SELECT op, value AS median FROM (SELECT event_type AS op, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE k = n // 2 + 1")
@@ -450,8 +471,8 @@ def width_histogram(spark, sf):
 
 @query("block_winner", "WITH s AS (SELECT l_suppkey AS shape, l_linenumber % 3 AS block, quantile_disc(l_extendedprice, 0.5) AS median FROM lineitem GROUP BY 1, 2), b AS (SELECT shape, count(*) AS n, arg_min(block, median) AS best, min(median) AS least, max(median) FILTER (WHERE block = 0) AS base FROM s GROUP BY 1) SELECT shape, best, round(least, 2) AS least, least <= 0.97 * base AS wins FROM b WHERE n = 3")
 def block_winner(spark, sf):
-    _t(spark, sf, "lineitem").createOrReplaceTempView("_lineitem")
-    s = spark.sql("SELECT l_suppkey AS shape, l_linenumber % 3 AS block, percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice) AS median FROM _lineitem GROUP BY 1, 2")
+    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice)").alias("median")
+    s = _t(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("shape"), (F.col("l_linenumber") % 3).alias("block")).agg(median)
     b = s.groupBy("shape").agg(F.count("*").alias("n"), F.min_by("block", "median").alias("best"), F.min("median").alias("least"), F.max(F.when(F.col("block") == 0, F.col("median"))).alias("base"))
     return b.where("n = 3").select("shape", "best", F.round("least", 2).alias("least"), (F.col("least") <= 0.97 * F.col("base")).alias("wins"))
 

@@ -3,7 +3,7 @@
 import math
 
 from foliant.functions import elementwise as E
-from foliant.operators import decoding, detection, evaluation, images, tensor
+from foliant.operators import decoding, detection, evaluation, images, rectangles, tensor
 
 
 def values(df, *order):
@@ -63,7 +63,7 @@ def test_components_touch_diagonally():
 
 
 def test_hull_drops_collinear_points():
-    assert set(detection.hull([(0, 0), (1, 0), (2, 0), (2, 2), (0, 2), (1, 1)])) == {(0, 0), (2, 0), (2, 2), (0, 2)}
+    assert set(rectangles.hull([(0, 0), (1, 0), (2, 0), (2, 2), (0, 2), (1, 1)])) == {(0, 0), (2, 0), (2, 2), (0, 2)}
 
 
 def test_greedy_matches_are_one_to_one(spark):
