@@ -358,12 +358,13 @@ def rotate180(x):
 # --- from a table of arrays to a table of elements ----------------------------------------------------------
 
 
-def over(vectors: DataFrame, shape: tuple[int, ...], names: str | list[str], f: Callable, value: str = "v", key: str = "vec_id", data: str = "embedding", only: Callable | None = None) -> DataFrame:
+def over(vectors: DataFrame, shape: tuple[int, ...], names: str | list[str], f: Callable, value: str | list[str] = "v", key: str = "vec_id", data: str = "embedding", only: Callable | None = None) -> DataFrame:
     """(key, an int for each of names, value): the elements of f of each row's tensor of that shape. f takes and gives a
-    batch of tensors along axis 0. only: a mask of the elements to keep. Rows without a tensor give nothing; one of
+    batch of tensors along axis 0; a tuple of them where value is a list of names. only: a mask of the elements to keep. Rows without a tensor give nothing; one of
     another size is an error. Nothing is shuffled."""
     kind = vectors.schema[key].dataType.simpleString()
-    count, names = int(np.prod(shape)), list(names)
+    count, names, several = int(np.prod(shape)), list(names), not isinstance(value, str)
+    values = list(value) if several else [value]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,9 +375,10 @@ def over(vectors: DataFrame, shape: tuple[int, ...], names: str | list[str], f:
             x = batch.column(data).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, *shape)
             step = max(1, OUT_ELEMENTS // max(count, 1))
             for lo in range(0, len(x), step):
-                y = np.asarray(f(x[lo : lo + step]))
-                at = np.nonzero(np.ones(y.shape, bool) if only is None else only(y))
+                y = f(x[lo : lo + step])
+                y = [np.asarray(own) for own in (y if several else [y])]
+                at = np.nonzero(np.ones(y[0].shape, bool) if only is None else only(y[0]))
                 own = batch.column(key).slice(lo, step).take(pa.array(at[0]))
-                yield pa.RecordBatch.from_arrays([own, *(pa.array(a.astype(np.int32)) for a in at[1:]), pa.array(y[at].astype(float))], [key, *names, value])
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(a.astype(np.int32)) for a in at[1:]), *(pa.array(v[at].astype(float)) for v in y)], [key, *names, *values])
 
-    return vectors.select(key, data).mapInArrow(run, f"{key} {kind}, " + "".join(f"{n} int, " for n in names) + f"{value} double")
+    return vectors.select(key, data).mapInArrow(run, f"{key} {kind}, " + "".join(f"{n} int, " for n in names) + ", ".join(f"{v} double" for v in values))

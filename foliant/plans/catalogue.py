@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-import numpy as np
-
 from foliant.functions import elementwise as E
 from foliant.functions import text as texts
-from foliant.operators import blocks, decoding, detection, evaluation, images, tensor
+from foliant.operators import blocks, decoding, detection, evaluation, images, rectangles, tensor
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -601,3 +600,241 @@ def text_nfc(spark, sf):
 @query("asset_hashes", "SELECT item_id, sha256(text) AS sha256 FROM benchmark")
 def asset_hashes(spark, sf):
     return _t(spark, sf, "benchmark").select("item_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
+# --- broadcasts, groups, padding on four sides --------------------------------------------------------------
+
+
+@query("broadcast_nd", _CUBE + f" SELECT vec_id, c, h, w, round(v + ({_pattern('c * 4 + w')}), 6) AS v FROM x")
+def broadcast_nd(spark, sf):
+    """(4, 4, 4) plus (4, 1, 4): sizes of one are spread, axes are counted from the right."""
+    other = pattern(4, 1, 4)
+    return _blocks(spark, sf, _CUBE_SHAPE, "chw", lambda x: blocks.add(x, other))
+
+
+@query("broadcast_outer", _FLAT + ", a AS (SELECT vec_id, i, v FROM e WHERE i < 4), b AS (SELECT vec_id, i - 4 AS j, v FROM e WHERE i BETWEEN 4 AND 7) SELECT a.vec_id, a.i, b.j, round(a.v * b.v, 6) AS v FROM a JOIN b USING (vec_id)")
+def broadcast_outer(spark, sf):
+    return _blocks(spark, sf, (64,), "ij", lambda x: blocks.mul(x[:, :4, None], x[:, None, 4:8]))
+
+
+@query("projection_bias_argmax", _FLAT + f""", z AS (SELECT vec_id, t, j, sum(v * ({_pattern('k * 5 + j')})) + ({_pattern('j')}) AS z FROM (SELECT vec_id, i // 8 AS t, i % 8 AS k, v FROM e), (SELECT unnest(range(5))::INT AS j) GROUP BY vec_id, t, j),
+m AS (SELECT vec_id, t, arg_max(j, (z, -j)) AS class, max(z) AS top FROM z GROUP BY ALL)
+SELECT vec_id, t, class, round(1 / sum(exp(z - top)), 6) AS prob FROM m JOIN z USING (vec_id, t) GROUP BY vec_id, t, class""")
+def projection_bias_argmax(spark, sf):
+    """Product, bias, first maximum and its softmax probability, without the softmax of the others."""
+    w, b = pattern(8, 5), pattern(5)
+
+    def run(x):
+        top, _, prob = blocks.projection_argmax(x, w, b)
+        return top, prob
+
+    both = blocks.over(_t(spark, sf, "embeddings"), (8, 8), "t", run, value=["class", "prob"])
+    return _rounded(both.withColumn("class", F.col("class").cast("int")), "prob")
+
+
+_GROUPED = _pattern("((o * 2 + c % 2) * 3 + a) * 3 + b")
+
+
+@query("conv_grouped", _CUBE + f" SELECT vec_id, o AS c, y AS h, z AS w, round(sum(v * ({_GROUPED})), 6) AS v FROM x, (SELECT unnest(range(6))::INT AS o), (SELECT unnest(range(4))::INT AS y), (SELECT unnest(range(4))::INT AS z), (SELECT unnest(range(3))::INT AS a), (SELECT unnest(range(3))::INT AS b) WHERE c // 2 = o // 3 AND h = y - 1 + a AND w = z - 1 + b GROUP BY ALL")
+def conv_grouped(spark, sf):
+    weights = pattern(6, 2, 3, 3)
+    return _blocks(spark, sf, _CUBE_SHAPE, "chw", lambda x: blocks.conv(x, weights, pads=(1, 1, 1, 1), group=2))
+
+
+@query("conv2x2_padded", _CUBE + f" SELECT vec_id, o AS c, y AS h, z AS w, round(sum(v * ({_pattern('((o * 4 + c) * 2 + a) * 2 + b')})) + 0.5 * o, 6) AS v FROM x, (SELECT unnest(range(2))::INT AS o), (SELECT unnest(range(4))::INT AS y), (SELECT unnest(range(4))::INT AS z), (SELECT unnest(range(2))::INT AS a), (SELECT unnest(range(2))::INT AS b) WHERE h = y + a AND w = z + b GROUP BY vec_id, o, y, z")
+def conv2x2_padded(spark, sf):
+    """Padding below and on the right only, and a bias."""
+    weights, bias = pattern(2, 4, 2, 2), np.array([0.0, 0.5])
+    return _blocks(spark, sf, _CUBE_SHAPE, "chw", lambda x: blocks.conv(x, weights, bias, pads=(0, 0, 1, 1)))
+
+
+@query("conv7x7_wide", _conv_sql(_MAP, 1, 1, 7, 7, (8, 8), 1, (3, 3)))
+def conv7x7_wide(spark, sf):
+    weights = pattern(1, 1, 7, 7)
+    return _blocks(spark, sf, _MAP_SHAPE, "chw", lambda x: blocks.conv(x, weights, pads=(3, 3, 3, 3)))
+
+
+@query("conv7x1_wide", _conv_sql(_MAP, 1, 1, 7, 1, (8, 8), 1, (3, 0)))
+def conv7x1_wide(spark, sf):
+    weights = pattern(1, 1, 7, 1)
+    return _blocks(spark, sf, _MAP_SHAPE, "chw", lambda x: blocks.conv(x, weights, pads=(3, 0, 3, 0)))
+
+
+_FUSED = f"(sum(v * ({_pattern('(o * 3 + a) * 3 + b')})) - 0.01 * any_value(o)) * ((1 + 0.5 * any_value(o)) / sqrt(0.5 + 0.1 * any_value(o) + 1e-5)) + 0.25 * any_value(o)"
+
+
+@query("conv_fused", _MAP + f", y AS (SELECT vec_id, o AS c, y AS h, z AS w, {_FUSED} AS s FROM x, (SELECT unnest(range(2))::INT AS o), (SELECT unnest(range(8))::INT AS y), (SELECT unnest(range(8))::INT AS z), (SELECT unnest(range(3))::INT AS a), (SELECT unnest(range(3))::INT AS b) WHERE h = y - 1 + a AND w = z - 1 + b GROUP BY vec_id, o, y, z), r AS (SELECT y.vec_id, y.c, y.h, y.w, y.s + x.v AS s FROM y JOIN x ON x.vec_id = y.vec_id AND x.h = y.h AND x.w = y.w) SELECT vec_id, c, h, w, round(greatest(0, least(1, s / 6 + 0.5)) * s, 6)::DOUBLE AS v FROM r")
+def conv_fused(spark, sf):
+    """A convolution with batch normalisation, the input as residual, and an activation, in one pass."""
+    weights, c = pattern(2, 1, 3, 3), np.arange(2)
+    norm = (1 + 0.5 * c, 0.25 * c, 0.01 * c, 0.5 + 0.1 * c)
+    return _blocks(spark, sf, _MAP_SHAPE, "chw", lambda x: blocks.conv(x, weights, pads=(1, 1, 1, 1), epilogue=blocks.epilogue(norm, residual=x, activation="hard_swish")))
+
+
+@query("max_pool_padded", _MAP + " SELECT vec_id, c, y AS h, z AS w, round(max(v), 6) AS v FROM x, (SELECT unnest(range(4))::INT AS y), (SELECT unnest(range(4))::INT AS z) WHERE h BETWEEN y * 2 - 1 AND y * 2 + 1 AND w BETWEEN z * 2 - 1 AND z * 2 + 1 GROUP BY ALL")
+def max_pool_padded(spark, sf):
+    return _blocks(spark, sf, _MAP_SHAPE, "chw", lambda x: blocks.max_pool(x, (3, 3), (2, 2), (1, 1, 1, 1)))
+
+
+@query("max_pool_ceil", _MAP + " SELECT vec_id, c, y AS h, z AS w, round(max(v), 6) AS v FROM x, (SELECT unnest(range(3))::INT AS y), (SELECT unnest(range(3))::INT AS z) WHERE h BETWEEN y * 3 AND y * 3 + 1 AND w BETWEEN z * 3 AND z * 3 + 1 GROUP BY ALL")
+def max_pool_ceil(spark, sf):
+    """Places of a kernel of 2 at stride 3 in 8 cells: the last one is there only when counts are rounded up."""
+    return _blocks(spark, sf, _MAP_SHAPE, "chw", lambda x: blocks.max_pool(x, (2, 2), (3, 3), ceil_mode=True))
+
+
+@query("resize_nearest_fraction", _MAP + " SELECT vec_id, c, y AS h, z AS w, round(v, 6) AS v FROM x, (SELECT unnest(range(12))::INT AS y), (SELECT unnest(range(6))::INT AS z) WHERE h = floor(y / 1.5) AND w = floor(z / 0.75)")
+def resize_nearest_fraction(spark, sf):
+    return _blocks(spark, sf, _MAP_SHAPE, "chw", lambda x: blocks.resize_nearest(x, (1.5, 0.75)))
+
+
+# --- boxes --------------------------------------------------------------------------------------------------
+
+_LABELS = _PIXELS.replace("WITH e", "WITH RECURSIVE e") + ", r(vec_id, h, w, src) AS (SELECT vec_id, h, w, h * 8 + w FROM px UNION SELECT p.vec_id, p.h, p.w, r.src FROM r JOIN px p ON p.vec_id = r.vec_id AND abs(p.h - r.h) <= 1 AND abs(p.w - r.w) <= 1), l AS (SELECT vec_id, h, w, min(src)::BIGINT AS label FROM r GROUP BY ALL)"
+
+
+@query("det_min_rect", _LABELS + """, e2 AS (SELECT p.vec_id, p.label, q.w - p.w AS dx, q.h - p.h AS dy, min((q.w - p.w) * (s.h - p.h) - (q.h - p.h) * (s.w - p.w)) AS least, max((q.w - p.w) * (s.h - p.h) - (q.h - p.h) * (s.w - p.w)) AS most
+  FROM l p JOIN l q USING (vec_id, label) JOIN l s USING (vec_id, label) WHERE p.w <> q.w OR p.h <> q.h GROUP BY p.vec_id, p.label, p.w, p.h, q.w, q.h),
+d AS (SELECT DISTINCT vec_id, label, dx / sqrt(dx * dx + dy * dy) AS ux, dy / sqrt(dx * dx + dy * dy) AS uy FROM e2 WHERE least >= 0 AND most > 0),
+b AS (SELECT vec_id, label, ux, uy, (max(w * ux + h * uy) - min(w * ux + h * uy)) * (max(h * ux - w * uy) - min(h * ux - w * uy)) AS area FROM d JOIN l USING (vec_id, label) GROUP BY ALL)
+SELECT vec_id, label, round(min(area), 4) AS area FROM b GROUP BY ALL""")
+def det_min_rect(spark, sf):
+    areas = rectangles.component_rectangles(_t(spark, sf, "embeddings"), (8, 8), 0.05)
+    return areas.withColumn("area", F.round("area", 4))
+
+
+_ROTATED = [(0.6, 0.8), (0.8, -0.6), (1.0, 0.0)]
+
+
+@query("det_rotated_score", _MAP + ", b AS (SELECT * FROM (VALUES (0, 0.6::DOUBLE, 0.8::DOUBLE), (1, 0.8, -0.6), (2, 1.0, 0.0)) t(box_id, ux, uy)), m AS (SELECT vec_id, box_id, 3.25 * ux + (vec_id % 5 + 1.25) * uy AS u, (vec_id % 5 + 1.25) * ux - 3.25 * uy AS t, ux, uy FROM (SELECT DISTINCT vec_id FROM x), b) SELECT vec_id, box_id, round(avg(v), 6) AS score FROM x JOIN m USING (vec_id) WHERE w * ux + h * uy BETWEEN u - 2.6 AND u + 2.6 AND h * ux - w * uy BETWEEN t - 1.3 AND t + 1.3 GROUP BY ALL")
+def det_rotated_score(spark, sf):
+    t = _t(spark, sf, "embeddings")
+    directions = F.array(*[F.struct(F.lit(k).alias("box_id"), F.lit(ux).alias("ux"), F.lit(uy).alias("uy")) for k, (ux, uy) in enumerate(_ROTATED)])
+    y = (F.col("vec_id") % 5).cast("double") + 1.25
+    along, across = 3.25 * F.col("ux") + y * F.col("uy"), y * F.col("ux") - 3.25 * F.col("uy")
+    rects = t.select("vec_id", F.explode(directions).alias("d")).select("vec_id", "d.*").select(
+        "vec_id", "box_id", "ux", "uy", (along - 2.6).alias("low_u"), (along + 2.6).alias("high_u"), (across - 1.3).alias("low_v"), (across + 1.3).alias("high_v"))
+    return _rounded(rectangles.rotated_scores(t, (8, 8), rects), "score")
+
+
+@query("det_filters", """WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity / 5 AS w, (l_partkey % 12)::DOUBLE AS h, l_discount * 10 AS s FROM lineitem),
+g AS (SELECT *, least(w, h) AS short, CASE WHEN w + h > 0 THEN w * h * 1.6 / (2 * (w + h)) ELSE 0 END AS grown FROM b)
+SELECT l_orderkey, l_linenumber, round(grown, 6)::DOUBLE AS grown FROM g WHERE short >= 3 AND s >= 0.6 AND short + 2 * grown >= 5""")
+def det_filters(spark, sf):
+    w, h = F.col("l_quantity") / 5, (F.col("l_partkey") % 12).cast("double")
+    t = _t(spark, sf, "lineitem").where(rectangles.keeps(w, h, F.col("l_discount") * 10))
+    return _rounded(t.select("l_orderkey", "l_linenumber", rectangles.expansion(w, h, 1.6).alias("grown")), "grown")
+
+
+@query("det_clockwise", """WITH p AS (SELECT l_orderkey, l_linenumber, list_sort([{'x': (l_partkey % 50)::DOUBLE, 'y': (l_suppkey % 40)::DOUBLE}, {'x': (l_partkey % 37)::DOUBLE, 'y': l_quantity::DOUBLE}, {'x': l_quantity + 20.0::DOUBLE, 'y': (l_partkey % 23)::DOUBLE}, {'x': (l_suppkey % 71)::DOUBLE, 'y': (l_orderkey % 61)::DOUBLE}]) AS s FROM lineitem),
+q AS (SELECT l_orderkey, l_linenumber, CASE WHEN s[1].y < s[2].y THEN [s[1], s[2]] ELSE [s[2], s[1]] END AS l, CASE WHEN s[3].y < s[4].y THEN [s[3], s[4]] ELSE [s[4], s[3]] END AS r FROM p)
+SELECT l_orderkey, l_linenumber, l[1].x AS x0, l[1].y AS y0, r[1].x AS x1, r[1].y AS y1, r[2].x AS x2, r[2].y AS y2, l[2].x AS x3, l[2].y AS y3 FROM q""")
+def det_clockwise(spark, sf):
+    part, supp, n, order = (F.col(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_orderkey"))
+    points = rectangles.ordered([(part % 50, supp % 40), (part % 37, n), (n + 20, part % 23), (supp % 71, order % 61)])
+    t = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", points.alias("p"))
+    return t.select("l_orderkey", "l_linenumber", *[F.col("p")[k][c].alias(f"{c}{k}") for k in range(4) for c in "xy"])
+
+
+@query("det_restore", "SELECT l_orderkey, l_linenumber, greatest(0, least((l_quantity - 5) / 0.4, l_partkey % 100))::DOUBLE AS x, greatest(0, least((l_suppkey % 30) / 0.25, l_partkey % 60))::DOUBLE AS y FROM lineitem")
+def det_restore(spark, sf):
+    t = _t(spark, sf, "lineitem")
+    x = rectangles.restored((F.col("l_quantity") - 5).cast("double"), F.lit(0.4), F.col("l_partkey") % 100 + 1.0)
+    y = rectangles.restored((F.col("l_suppkey") % 30).cast("double"), F.lit(0.25), F.col("l_partkey") % 60 + 1.0)
+    return t.select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"))
+
+
+@query("det_boxes", None)
+def det_boxes(spark, sf):
+    """Boxes of the maps, from threshold to clamped corners; tests hold it against hand-made maps."""
+    maps = _t(spark, sf, "embeddings").select("vec_id", "embedding", F.lit(8).alias("height"), F.lit(8).alias("width"))
+    return rectangles.find_boxes(maps, rectangles.BoxOptions(bitmap=0.0, score=0.01, unclip=1.5))
+
+
+# --- inputs and crops ---------------------------------------------------------------------------------------
+
+_IMAGE = "WITH im AS (SELECT vec_id, list_transform(embedding[1:60], lambda v: (floor(abs(v::DOUBLE) * 4000)::BIGINT % 256)::DOUBLE) AS p FROM embeddings)"
+
+
+def _images(spark, sf):
+    """Pictures of 4 by 5 pixels."""
+    byte = lambda v: (F.floor(F.abs(v.cast("double")) * 4000) % 256).cast("int")
+    values = F.transform(F.slice("embedding", 1, 60), byte)
+    data = F.unhex(F.array_join(F.transform(values, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
+    return _t(spark, sf, "embeddings").select("vec_id", F.lit(4).alias("height"), F.lit(5).alias("width"), data.alias("data"))
+
+
+def _bilinear(height: int, width: int, last: int) -> str:
+    """value(vec_id, c, y, x) of pictures resized to height by width, x up to last."""
+    at = lambda y, x: f"p[((greatest(0, least(3, {y}))) * 5 + greatest(0, least(4, {x}))) * 3 + c + 1]"
+    lerp = lambda a, b, w: f"({a} + ({b} - {a}) * {w})"
+    top, bottom = (lerp(at(y, "x0"), at(y, "x0 + 1"), "wx") for y in ("y0", "y0 + 1"))
+    return (
+        f"{_IMAGE}, g AS (SELECT vec_id, p, c, y, x, (y + 0.5::DOUBLE) * 4 / {height} - 0.5 AS sy, (x + 0.5::DOUBLE) * 5 / {width} - 0.5 AS sx FROM im, (SELECT unnest(range(3))::INT AS c), (SELECT unnest(range({height}))::INT AS y), (SELECT unnest(range({last}))::INT AS x)), "
+        f"k AS (SELECT *, floor(sy)::INT AS y0, floor(sx)::INT AS x0, sy - floor(sy) AS wy, sx - floor(sx) AS wx FROM g), bl AS (SELECT vec_id, c, y, x, {lerp(top, bottom, 'wy')} AS v FROM k)"
+    )
+
+
+def _elements(tensors: DataFrame, height: int, width: int, digits: int = 3) -> DataFrame:
+    flat = tensors.select("vec_id", F.posexplode("data").alias("i", "v"))
+    i = F.col("i")
+    return flat.select("vec_id", F.floor(i / (height * width)).cast("int").alias("c"), (F.floor(i / width) % height).cast("int").alias("y"), (i % width).cast("int").alias("x"), F.round(F.col("v").cast("double"), digits).alias("v"))
+
+
+@query("det_preprocess", _bilinear(6, 7, 7) + " SELECT vec_id, c, y, x, round(((v / 255 - [0.485, 0.456, 0.406][c + 1]) / [0.229, 0.224, 0.225][c + 1])::FLOAT::DOUBLE, 3) AS v FROM bl")
+def det_preprocess(spark, sf):
+    return _elements(images.tensors(_images(spark, sf), lambda x: images.detector_input(x, 6, 7), "vec_id"), 6, 7)
+
+
+@query("cls_preprocess", _bilinear(80, 100, 100) + " SELECT vec_id, c, round(avg(CASE WHEN x < 100 THEN v * 2 / 255 - 1 END), 3) AS picture, 60 * 80::BIGINT AS padded FROM bl GROUP BY ALL")
+def cls_preprocess(spark, sf):
+    """Of each channel the mean of the scaled picture (80 by 100), and how many cells are padding."""
+    x = _elements(images.tensors(_images(spark, sf), images.classifier_input, "vec_id"), 80, 160, digits=12)
+    return x.groupBy("vec_id", "c").agg(F.round(F.avg(F.when(F.col("x") < 100, F.col("v"))), 3).alias("picture"), F.count_if((F.col("x") >= 100) & (F.col("v") == -1.0)).alias("padded"))
+
+
+@query("rec_preprocess", _bilinear(48, 60, 60) + " SELECT vec_id, c, y, x, round((v * 2 / 255 - 1)::FLOAT::DOUBLE, 3) AS v FROM bl WHERE y % 12 = 5 UNION ALL SELECT vec_id, c, y, x, round((128 * 2::DOUBLE / 255 - 1)::FLOAT::DOUBLE, 3) FROM im, (SELECT unnest(range(3))::INT AS c), (SELECT unnest([5, 17, 29, 41]) AS y), (SELECT unnest(range(60, 192))::INT AS x)")
+def rec_preprocess(spark, sf):
+    """Four rows of each input of 48 by 192, padding and all."""
+    x = _elements(images.tensors(_images(spark, sf), lambda x: images.recogniser_input(x, 192), "vec_id"), 48, 192)
+    return x.where(F.col("y") % 12 == 5)
+
+
+_CORNERS = [(0.513, 0.271), (3.737, 0.491), (4.019, 2.773), (0.239, 3.007)]  # no pixel falls on a half
+
+
+def _crop_sql() -> str:
+    (ax, ay), (bx, by), (cx, cy), (dx, dy) = _CORNERS
+    m = images.projection(_CORNERS)
+    width, height = images.crop_size(_CORNERS)
+    e = [repr(float(v)) + "::DOUBLE" for v in m.ravel()]
+    at = lambda y, x: f"p[((greatest(0, least(3, {y}))) * 5 + greatest(0, least(4, {x}))) * 3 + c + 1]"
+    lerp = lambda a, b, w: f"({a} + ({b} - {a}) * {w})"
+    top, bottom = (lerp(at(y, "x0"), at(y, "x0 + 1"), "(sx - x0)") for y in ("y0", "y0 + 1"))
+    return (
+        f"{_IMAGE}, g AS (SELECT vec_id, p, c, y, x, x::DOUBLE / {width} AS u, y::DOUBLE / {height} AS v FROM im, (SELECT unnest(range(3))::INT AS c), (SELECT unnest(range({height}))::INT AS y), (SELECT unnest(range({width}))::INT AS x)), "
+        f"s AS (SELECT *, ({e[0]} * u + {e[1]} * v + {e[2]}) / ({e[6]} * u + {e[7]} * v + 1) AS sx, ({e[3]} * u + {e[4]} * v + {e[5]}) / ({e[6]} * u + {e[7]} * v + 1) AS sy FROM g), "
+        f"k AS (SELECT *, floor(sx)::INT AS x0, floor(sy)::INT AS y0 FROM s) SELECT vec_id, c, y, x, floor(greatest(0, least(255, {lerp(top, bottom, '(sy - y0)')})) + 0.5)::INT AS v FROM k"
+    )
+
+
+@query("perspective_crop", _crop_sql())
+def perspective_crop(spark, sf):
+    """The same four corners in every picture."""
+    pictures = _images(spark, sf)
+    quad = F.array(*[F.lit(float(v)) for p in _CORNERS for v in p])
+    cut = images.crops(pictures, pictures.select("vec_id", F.lit(0).alias("box_id"), quad.alias("quad")), "vec_id")
+    values = cut.select("vec_id", "width", "height", F.posexplode(F.expr("transform(sequence(1, length(data)), k -> conv(hex(substring(data, k, 1)), 16, 10))")).alias("i", "v"))
+    i, w = F.col("i"), F.col("width")
+    return values.select("vec_id", (i % 3).cast("int").alias("c"), F.floor(i / 3 / w).cast("int").alias("y"), (F.floor(i / 3) % w).cast("int").alias("x"), F.col("v").cast("int").alias("v"))
+
+
+@query("reading_columns", None)
+def reading_columns(spark, sf):
+    """Boxes of a page column by column, from the right; tests hold it against hand-made pages."""
+    boxes = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("int").alias("idx"), (F.col("l_partkey") % 100).cast("double").alias("x0"), (F.col("l_suppkey") % 100).cast("double").alias("y0"))
+    return images.columns_in_order(boxes.withColumns({"x1": F.col("x0") + 30, "y1": F.col("y0") + 12}), right_to_left=True)
+
+
+@query("largest_groups_first", "SELECT width, n AS lines, width * n AS work, (row_number() OVER (ORDER BY width * n DESC, first) - 1)::INT AS k FROM (SELECT p_size AS width, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1)")
+def largest_groups_first(spark, sf):
+    return images.largest_first(_t(spark, sf, "part").select(F.col("p_size").alias("width"), F.col("p_partkey").alias("idx")))
