@@ -11,7 +11,7 @@ ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
 
 def relu(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), x)
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), x))  # greatest skips nulls
 
 
 def sigmoid(x: Column) -> Column:
@@ -28,7 +28,7 @@ def erf(x: Column) -> Column:
 
 
 def hard_sigmoid(x: Column, alpha: float = 0.2, beta: float = 0.5) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), alpha * x + beta))
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), alpha * x + beta)))
 
 
 def hard_swish(x: Column, alpha: float = 1 / 6, beta: float = 0.5) -> Column:

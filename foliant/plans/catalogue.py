@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from foliant.functions import elementwise as E
 from foliant.functions import text as texts
 from foliant.operators import blocks, decoding, detection, evaluation, images, rectangles, tensor
+from foliant.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -355,7 +356,7 @@ def rec_width_bucket(spark, sf):
 
 # --- evaluation ---------------------------------------------------------------------------------------------
 
-_BOXES = """WITH b AS (SELECT l_orderkey AS file, l_linenumber AS n, l_partkey % 40 AS x, l_suppkey % 20 AS y, 10 + l_quantity AS s FROM lineitem WHERE l_orderkey % 2 = 0),
+_BOXES = """WITH b AS (SELECT l_orderkey AS file, l_linenumber AS n, l_partkey % 40 AS x, l_suppkey % 20 AS y, 10 + l_quantity AS s FROM lineitem),
 g AS (SELECT file, n AS gt, x::DOUBLE AS x0, y::DOUBLE AS y0, x + s AS x1, y + 20.0::DOUBLE AS y1 FROM b WHERE n <= 4),
 p AS (SELECT file, n AS pred, x::DOUBLE AS x0, y::DOUBLE AS y0, x + s AS x1, y + 20.0::DOUBLE AS y1 FROM b WHERE n > 3),
 i AS (SELECT g.file, gt, pred, greatest(0, least(g.x1, p.x1) - greatest(g.x0, p.x0)) * greatest(0, least(g.y1, p.y1) - greatest(g.y0, p.y0)) AS common,
@@ -365,7 +366,7 @@ pairs AS (SELECT file, gt, pred, common / (areas - common) AS iou FROM i WHERE a
 
 def _overlaps(spark, sf):
     x, y = (F.col("l_partkey") % 40).cast("double"), (F.col("l_suppkey") % 20).cast("double")
-    b = _t(spark, sf, "lineitem").where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("n"), x.alias("x0"), y.alias("y0"), (x + 10 + F.col("l_quantity")).alias("x1"), (y + 20).alias("y1"))
+    b = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("n"), x.alias("x0"), y.alias("y0"), (x + 10 + F.col("l_quantity")).alias("x1"), (y + 20).alias("y1"))
 
     def side(p: str, key: str, cond: str) -> DataFrame:
         return b.where(cond).select("file", F.col("n").alias(key), *[F.col(c).alias(p + c) for c in ("x0", "y0", "x1", "y1")])
@@ -416,9 +417,7 @@ def prediction_diff(spark, sf):
 
 @query("missing_extra_files", _DIFF + " SELECT coalesce(a.file, b.file) AS file, CASE WHEN b.file IS NULL THEN 'missing' ELSE 'extra' END AS what FROM (SELECT DISTINCT file FROM a) a FULL JOIN (SELECT DISTINCT file FROM b) b ON a.file = b.file WHERE a.file IS NULL OR b.file IS NULL")
 def missing_extra_files(spark, sf):
-    a, b = (x.select("file").distinct() for x in _sides(spark, sf))
-    both = a.select("file", F.lit(1).alias("a")).join(b.select("file", F.lit(1).alias("b")), "file", "full")
-    return both.where("a IS NULL OR b IS NULL").select("file", F.when(F.col("b").isNull(), "missing").otherwise("extra").alias("what"))
+    return evaluation.missing_and_extra(*_sides(spark, sf))
 
 
 # --- profiles and plans -------------------------------------------------------------------------------------
@@ -443,24 +442,21 @@ def latency_percentiles(spark, sf):
 
 @query("upper_median", "SELECT op, value AS median FROM (SELECT event_type AS op, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE k = n // 2 + 1")
 def upper_median(spark, sf):
-    w = Window.partitionBy("event_type")
-    e = _t(spark, sf, "events").withColumns({"k": F.row_number().over(w.orderBy("value", "event_id")), "n": F.count("*").over(w)})
-    return e.where(F.col("k") == F.floor(F.col("n") / 2) + 1).select(F.col("event_type").alias("op"), F.col("value").alias("median"))
+    return evaluation.upper_median(_t(spark, sf, "events").withColumnRenamed("event_type", "op"), "op", "value")
 
 
 @query("regression_gates", "WITH m AS (SELECT event_type AS metric, avg(value) AS v FROM events GROUP BY 1), g(metric, rule, lim) AS (VALUES ('click', '<', 20.0), ('view', '<=', 5.0), ('error', '>=', 0.95)) SELECT metric, rule, lim::DOUBLE AS lim, round(v, 6) AS v FROM m JOIN g USING (metric) WHERE NOT CASE rule WHEN '<' THEN v < lim WHEN '<=' THEN v <= lim ELSE v >= lim END")
 def regression_gates(spark, sf):
     m = _t(spark, sf, "events").groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("v"))
     g = spark.createDataFrame([("click", "<", 20.0), ("view", "<=", 5.0), ("error", ">=", 0.95)], "metric string, rule string, lim double")
-    holds = F.when(F.col("rule") == "<", F.col("v") < F.col("lim")).when(F.col("rule") == "<=", F.col("v") <= F.col("lim")).otherwise(F.col("v") >= F.col("lim"))
-    return _rounded(m.join(F.broadcast(g), "metric").where(~holds).select("metric", "rule", "lim", "v"))
+    return _rounded(evaluation.violations(m, F.broadcast(g)), "v")
 
 
-@query("run_contract_diff", "SELECT a.o_orderkey AS run, a.o_orderstatus IS DISTINCT FROM b.o_orderstatus AS status_differs, a.o_orderpriority IS DISTINCT FROM b.o_orderpriority AS priority_differs FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey % 5 = 0")
+@query("run_contract_diff", "SELECT a.o_orderkey AS run, a.o_orderstatus IS DISTINCT FROM b.o_orderstatus AS status_differs, a.o_orderpriority IS DISTINCT FROM b.o_orderpriority AS priority_differs FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1")
 def run_contract_diff(spark, sf):
-    o = _t(spark, sf, "orders")
-    b = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
-    return o.where("o_custkey % 5 = 0").join(b, "o_orderkey").select(F.col("o_orderkey").alias("run"), (~F.col("o_orderstatus").eqNullSafe(F.col("s"))).alias("status_differs"), (~F.col("o_orderpriority").eqNullSafe(F.col("p"))).alias("priority_differs"))
+    """Each run against the next one."""
+    o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    return evaluation.contract_differences(o, o.withColumn("run", F.col("run") - 1), "run", ["status", "priority"])
 
 
 @query("width_histogram", ORACLES["rec_width_bucket"].replace("SELECT doc_id, CASE", "SELECT bucket, count(*) AS n FROM (SELECT CASE") + ") GROUP BY 1")
@@ -499,8 +495,7 @@ def lifetime_overlap(spark, sf):
 
 @query("page_text", "SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
 def page_text(spark, sf):
-    lines = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
-    return _t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda s: s.text), "\n").alias("text"))
+    return images.page_texts(_t(spark, sf, "conversations"), "conv_id", "turn")
 
 
 # --- reports over runs --------------------------------------------------------------------------------------
@@ -529,8 +524,8 @@ def rounded_per_call(spark, sf):
 def throughput_change(spark, sf):
     m = _t(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("run")).agg(F.avg("l_quantity").alias("mean"))
     base = m.where("run = 1").select(F.col("mean").alias("base"))  # one row
-    rate = F.when(F.col("mean") > 0, 1000 / F.col("mean")).otherwise(0.0)
-    return _rounded(m.join(F.broadcast(base)).select("run", rate.alias("per_second"), ((F.col("mean") / F.col("base") - 1) * 100).alias("change")), "per_second", "change")
+    out = m.join(F.broadcast(base)).select("run", evaluation.per_second(F.col("mean")).alias("per_second"), evaluation.change_percent(F.col("mean"), F.col("base")).alias("change"))
+    return _rounded(out, "per_second", "change")
 
 
 @query("workspace_totals", "SELECT count(*) AS plans, sum(p_size)::BIGINT AS before, sum(p_size // 2 + 1)::BIGINT AS after, round(CASE WHEN sum(p_size // 2 + 1) > 0 THEN sum(p_size // 3) / sum(p_size // 2 + 1) ELSE 1 END, 6)::DOUBLE AS efficiency FROM part")
@@ -571,7 +566,7 @@ def argb_to_bgr(spark, sf):
 
 @query("box_unclip", "SELECT l_orderkey, l_linenumber, round(l_quantity * (l_linenumber + 2) * 1.5::DOUBLE / (2 * (l_quantity + l_linenumber + 2)), 6)::DOUBLE AS distance FROM lineitem")
 def box_unclip(spark, sf):
-    return _rounded(_t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", images.unclip(F.col("l_quantity"), F.col("l_linenumber") + 2, 1.5).alias("distance")), "distance")
+    return _rounded(_t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", rectangles.expansion(F.col("l_quantity"), F.col("l_linenumber") + 2, 1.5).alias("distance")), "distance")
 
 
 @query("crop_size", "SELECT p_partkey, w, h, h >= 1.5 * w AS rotated FROM (SELECT p_partkey, greatest(1, floor(sqrt(p_size * p_size + 9.0) + 0.5))::INT AS w, greatest(1, floor(sqrt((p_partkey % 50) * (p_partkey % 50) + 4.0) + 0.5))::INT AS h FROM part)")
@@ -838,3 +833,139 @@ def reading_columns(spark, sf):
 @query("largest_groups_first", "SELECT width, n AS lines, width * n AS work, (row_number() OVER (ORDER BY width * n DESC, first) - 1)::INT AS k FROM (SELECT p_size AS width, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1)")
 def largest_groups_first(spark, sf):
     return images.largest_first(_t(spark, sf, "part").select(F.col("p_size").alias("width"), F.col("p_partkey").alias("idx")))
+
+
+# --- evaluation of whole runs -------------------------------------------------------------------------------
+
+
+def _box_sides(spark, sf):
+    """Lines of truth and of predictions, and their files."""
+    x, y = (F.col("l_partkey") % 40).cast("double"), (F.col("l_suppkey") % 20).cast("double")
+    t = _t(spark, sf, "lineitem")
+    b = t.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("n"), x.alias("x0"), y.alias("y0"), (x + 10 + F.col("l_quantity")).alias("x1"), (y + 20).alias("y1"), "l_partkey")
+
+    def side(p: str, key: str, text: str, word: str, n: int, cond: str) -> DataFrame:
+        return b.where(cond).select("file", F.col("n").alias(key), *[F.col(c).alias(p + c) for c in ("x0", "y0", "x1", "y1")], F.concat(F.lit(word), F.col("l_partkey") % n).alias(text))
+
+    files = t.select(F.col("l_orderkey").alias("file")).distinct().withColumn("elapsed_ms", F.col("file") % 50 + 0.5)
+    return side("g_", "gt", "expected", "abc", 7, "n <= 4"), side("p_", "pred", "actual", "abd", 5, "n > 3"), files
+
+
+_MATCHES = ORACLES["iou_greedy_match"].rsplit("SELECT o.file, o.gt", 1)[0].rstrip() + """,
+hits AS (SELECT o.file, o.gt, o.pred, o.iou, 'abc' || (a.l_partkey % 7) AS expected, 'abd' || (b.l_partkey % 5) AS actual FROM m JOIN o ON o.file = m.file AND o.k = m.k
+  JOIN lineitem a ON a.l_orderkey = o.file AND a.l_linenumber = o.gt JOIN lineitem b ON b.l_orderkey = o.file AND b.l_linenumber = o.pred WHERE m.hit)"""
+
+
+@query("matched_lines", _MATCHES + " SELECT file, gt, pred, round(iou, 6) AS iou, expected, actual, levenshtein(expected, actual)::INT AS distance, length(expected)::INT AS characters FROM hits")
+def matched_lines(spark, sf):
+    truth, found, _ = _box_sides(spark, sf)
+    return _rounded(evaluation.matched_lines(truth, found, 0.2), "iou")
+
+
+@query("evaluation_report", _MATCHES + """, f AS (SELECT l_orderkey AS file, l_orderkey % 50 + 0.5::DOUBLE AS ms, count(*) FILTER (WHERE l_linenumber <= 4) AS ng, count(*) FILTER (WHERE l_linenumber > 3) AS np FROM lineitem GROUP BY 1),
+h AS (SELECT file, count(*) AS n, sum(iou) AS iou, count(*) FILTER (WHERE expected = actual) AS exact, sum(levenshtein(expected, actual)) AS d, sum(length(expected)) AS c FROM hits GROUP BY 1),
+e AS (SELECT f.file, any_value(ms) AS one, avg(ms) AS ms, sum(ng) AS ng, sum(np) AS np, max(np) AS most, coalesce(sum(n), 0) AS n, coalesce(sum(iou), 0) AS iou, coalesce(sum(exact), 0) AS exact, coalesce(sum(d), 0) AS d, coalesce(sum(c), 0) AS c FROM f LEFT JOIN h USING (file) GROUP BY ROLLUP (f.file))
+SELECT file, ng::BIGINT AS ground_truth_lines, np::BIGINT AS predicted_lines, n::BIGINT AS matched_lines, (ng - n)::BIGINT AS missing_lines, (np - n)::BIGINT AS extra_lines, exact::BIGINT AS exact_lines,
+  round(CASE WHEN n > 0 THEN iou / n ELSE 0 END, 6)::DOUBLE AS mean_matched_iou, round(CASE WHEN np > 0 THEN n / np ELSE 0 END, 6)::DOUBLE AS "precision", round(CASE WHEN ng > 0 THEN n / ng ELSE 0 END, 6)::DOUBLE AS recall,
+  d::BIGINT AS edit_distance, c::BIGINT AS reference_characters, round(CASE WHEN c > 0 THEN d / c ELSE 0 END, 6)::DOUBLE AS cer, round(ms, 6) AS elapsed_ms, most::BIGINT AS max_predicted_lines FROM e""")
+def evaluation_report(spark, sf):
+    out = evaluation.report(*_box_sides(spark, sf), 0.2)
+    return _rounded(out, "mean_matched_iou", "precision", "recall", "cer", "elapsed_ms")
+
+
+@query("required_match", "SELECT l_orderkey AS file, l_linenumber, o_orderstatus AS status FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def required_match(spark, sf):
+    found = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("file"), F.col("o_orderstatus").alias("status"))
+    return evaluation.required(_t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), "l_linenumber"), found)
+
+
+def _prediction(t: DataFrame, text: str, label: str, turned: str, shift: str) -> DataFrame:
+    """(file, lines) of rows of lineitem."""
+    box = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.col("l_quantity") + F.expr(shift) + k)
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.struct(F.col(text).alias("text"), F.expr(label).cast("int").alias("cls"), F.expr(turned).alias("rotate"), box.alias("box"), F.expr("192 + l_partkey % 3 * 128").cast("int").alias("width")).alias("line"))
+    lists = F.transform(F.array_sort(F.collect_list(line)), lambda s: s["line"])
+    return t.groupBy(F.col("l_orderkey").alias("file")).agg(lists.alias("lines"), F.avg("l_quantity").alias("mean_ms"))
+
+
+_A = "a AS (SELECT l_orderkey AS file, row_number() OVER w AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, l_returnflag AS t, l_linenumber % 2 AS c, l_quantity > 25 AS r, l_quantity AS q, l_partkey % 3 AS s FROM lineitem WHERE l_partkey % 10 <> 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice))"
+_B = "b AS (SELECT l_orderkey AS file, row_number() OVER w AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, l_linestatus AS t, l_suppkey % 2 AS c, l_quantity > 24 AS r, l_quantity + l_tax AS q, l_partkey % 3 AS s FROM lineitem WHERE l_partkey % 10 <> 1 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice))"
+
+
+def _runs(spark, sf):
+    """Predictions of two runs; each lacks some lines of the other."""
+    t = _t(spark, sf, "lineitem")
+    return _prediction(t.where("l_partkey % 10 <> 0"), "l_returnflag", "l_linenumber % 2", "l_quantity > 25", "0"), _prediction(t.where("l_partkey % 10 <> 1"), "l_linestatus", "l_suppkey % 2", "l_quantity > 24", "l_tax")
+
+
+@query("prediction_difference", f"WITH {_A}, {_B}, z AS (SELECT a.t <> b.t AS t, a.c <> b.c AS c, a.r <> b.r AS r, abs(a.q - b.q) AS d FROM a JOIN b USING (file, k)), fa AS (SELECT DISTINCT file, n FROM a), fb AS (SELECT DISTINCT file, n FROM b), x AS (SELECT count(*) FILTER (WHERE fb.file IS NULL) AS missing, count(*) FILTER (WHERE fa.file IS NULL) AS extra, count(*) FILTER (WHERE fa.n <> fb.n) AS counts FROM fa FULL JOIN fb ON fa.file = fb.file) SELECT count(*) FILTER (WHERE t) AS text_mismatches, count(*) FILTER (WHERE c) AS cls_mismatches, count(*) FILTER (WHERE r) AS rotate_mismatches, count(*) FILTER (WHERE d > 0.055) AS box_mismatches, any_value(counts) AS line_count_mismatches, round(max(d), 6) AS max_box_delta, any_value(missing) AS missing_files, any_value(extra) AS extra_files, false AS agrees FROM z, x")
+def prediction_difference(spark, sf):
+    return _rounded(evaluation.difference(*_runs(spark, sf), 0.055), "max_box_delta")
+
+
+@query("prediction_lines_diff", f"WITH {_A}, {_B} SELECT file, (k - 1)::INT AS line, a.t = b.t AS text_equal, a.c = b.c AS cls_equal, a.r = b.r AS rotate_equal, abs(a.q - b.q) <= 0.055 AS box_equal, round(abs(a.q - b.q), 6) AS box_delta, a.n = b.n AS line_counts_equal FROM a JOIN b USING (file, k)")
+def prediction_lines_diff(spark, sf):
+    return _rounded(evaluation.line_differences(*_runs(spark, sf), 0.055), "box_delta")
+
+
+@query("paired_runs", f"WITH {_A}, {_B}, fa AS (SELECT file, avg(q) AS ms, count(*) AS n, list(s ORDER BY k) AS w FROM a GROUP BY 1), fb AS (SELECT l_orderkey AS file, avg(l_quantity) AS ms FROM lineitem WHERE l_partkey % 10 <> 1 GROUP BY 1), gb AS (SELECT file, count(*) AS n, list(s ORDER BY k) AS w FROM b GROUP BY 1), z AS (SELECT file, count(*) FILTER (WHERE a.t = b.t) AS t, bool_and(a.r = b.r) AS r, max(abs(a.q - b.q)) AS d FROM a JOIN b USING (file, k) GROUP BY 1) SELECT file, round(fa.ms / fb.ms, 6) AS ratio, fa.n::INT AS left_lines, gb.n::INT AS right_lines, CASE WHEN fa.n = gb.n THEN t END::INT AS exact_text_lines, fa.n = gb.n AND r AS rotation_parity, fa.w = gb.w AS ordered_width_parity, CASE WHEN fa.n = gb.n THEN round(d, 6) END AS max_box_delta FROM fa JOIN fb USING (file) JOIN gb USING (file) JOIN z USING (file)")
+def paired_runs(spark, sf):
+    return _rounded(evaluation.paired_runs(*_runs(spark, sf), ["file"]), "ratio", "max_box_delta")
+
+
+@query("width_counts", f"WITH {_A} SELECT file, (192 + s * 128)::INT AS width, count(*) AS lines FROM a GROUP BY 1, 2")
+def width_counts(spark, sf):
+    return evaluation.width_counts(_runs(spark, sf)[0], ["file"])
+
+
+_MEASURED = "s AS (SELECT l_suppkey AS shape, (l_linenumber % 3)::INT AS block, quantile_disc(l_extendedprice, 0.5) AS median, l_suppkey % 11 AS checksum, max(l_quantity) AS bytes FROM lineitem GROUP BY 1, 2)"
+
+
+@query("block_winners", f"WITH {_MEASURED}, b AS (SELECT shape, count(*) AS n, max(median) FILTER (WHERE block = 0) AS base, arg_min(block, (median, block)) FILTER (WHERE bytes <= 48) AS best, min(median) FILTER (WHERE bytes <= 48) AS least FROM s GROUP BY 1) SELECT shape, coalesce(best, 0)::INT AS best, round(coalesce(least, base), 2) AS least, (base > 0 AND coalesce(least, base) <= 0.97 * base AND coalesce(best, 0) <> 0) AS wins FROM b WHERE n = 3")
+def block_winners(spark, sf):
+    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice)").alias("median")
+    keys = [F.col("l_suppkey").alias("shape"), (F.col("l_linenumber") % 3).cast("int").alias("block")]
+    rows = _t(spark, sf, "lineitem").groupBy(*keys).agg(median, (F.first("l_suppkey") % 11).alias("checksum"), F.max("l_quantity").alias("bytes"))
+    return evaluation.block_winners(rows, ["shape"], 0, most_bytes=48).withColumn("least", F.round("least", 2))
+
+
+@query("memory_status", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN -1 ELSE p_size * 1024 END::BIGINT AS resident, p_partkey * 1024 AS peak FROM part")
+def memory_status(spark, sf):
+    entry = F.when(F.col("p_size") % 3 == 0, F.lit("VmSwap: 7 kB\n")).otherwise(F.concat(F.lit("VmRSS:\t "), F.col("p_size"), F.lit(" kB\n")))
+    status = F.concat(F.lit("Name:\tx VmRSS: 1 kB\n"), entry, F.lit("VmHWM:"), F.col("p_partkey"), F.lit(" kB"))
+    return _t(spark, sf, "part").select("p_partkey", evaluation.kilobytes(status, "VmRSS").alias("resident"), evaluation.kilobytes(status, "VmHWM").alias("peak"))
+
+
+@query("memory_mebibytes", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size * 1000.0::DOUBLE / 1048576 END AS used, CASE WHEN p_size % 7 = 0 THEN NULL ELSE -p_size * 1000.0::DOUBLE / 1048576 END AS change FROM part")
+def memory_mebibytes(spark, sf):
+    size = F.col("p_size").cast("long")
+    used, change = F.when(size % 5 == 0, -1).otherwise(size * 1000), F.when(size % 7 == 0, -1).otherwise(-size * 1000)
+    return _t(spark, sf, "part").select("p_partkey", evaluation.mebibytes(used).alias("used"), evaluation.mebibytes(change, signed=True).alias("change"))
+
+
+@query("graph_parity", _FLAT + ", d AS (SELECT vec_id, i // 8 AS r, i % 8 AS k, v, round(v, 2) AS w FROM e), t AS (SELECT vec_id, r, arg_max(k, (v, -k)) = arg_max(k, (w, -k)) AS same FROM d GROUP BY 1, 2), a AS (SELECT vec_id, bool_and(same) AS same FROM t GROUP BY 1), m AS (SELECT vec_id, max(abs(v - w)) AS most, avg(abs(v - w)) AS mean FROM d GROUP BY 1) SELECT vec_id AS name, round(most, 6) AS max_delta, round(mean, 6) AS mean_delta, same AS argmax_equal, most <= 0.0049 AND mean <= 0.0026 AND same AS passes FROM m JOIN a USING (vec_id)")
+def graph_parity(spark, sf):
+    values = F.col("embedding").cast("array<double>")
+    rows = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("name"), values.alias("actual"), F.transform(values, lambda v: F.round(v, 2)).alias("expected"))
+    return _rounded(evaluation.graph_parity(rows, 0.0049, 0.0026, classes=8), "max_delta", "mean_delta")
+
+
+@query("crop_parity", "SELECT p_partkey AS stem, p_name = p_type AS text_equal, abs(p_size / 50.0::DOUBLE - (p_size + p_partkey % 2) / 50.0::DOUBLE) <= 0.001 AS score_equal, p_size % 2 = p_partkey % 2 AND true AS cls_equal, (p_partkey % 2 <> 0 AND p_size / 50.0::DOUBLE > 0.9) = (p_size > 45) AS rotation_equal FROM part")
+def crop_parity(spark, sf):
+    share = F.col("p_size") / 50
+    t = _t(spark, sf, "part").withColumn("stem", F.col("p_partkey"))
+    found = t.select("stem", F.col("p_type").alias("text"), ((F.col("p_size") + F.col("p_partkey") % 2) / 50).alias("score"), (F.col("p_partkey") % 2).alias("label"), share.alias("label_score"))
+    expected = t.select("stem", F.col("p_name").alias("text"), share.alias("score"), (F.col("p_size") % 2).alias("cls"), share.alias("cls_score"), (F.col("p_size") > 45).alias("rotated"))
+    return evaluation.crop_parity(found, expected)
+
+
+@query("manifest_faults", "WITH m AS (SELECT p_brand AS path, count(*) AS n, bool_and(p_size % 50 <> 1) AS sound FROM part GROUP BY 1), w AS (SELECT unnest(['Brand#11', 'Brand#12', 'Brand#99']) AS path), j AS (SELECT coalesce(m.path, w.path) AS path, n, sound, w.path AS want FROM m FULL JOIN w ON m.path = w.path) SELECT path, 'missing' AS what FROM j WHERE n IS NULL UNION ALL SELECT path, 'unexpected' FROM j WHERE want IS NULL UNION ALL SELECT path, 'twice' FROM j WHERE n > 1 UNION ALL SELECT path, 'no hash' FROM j WHERE NOT sound")
+def manifest_faults(spark, sf):
+    digest = F.when(F.col("p_size") % 50 == 1, "no hash at all").otherwise(F.sha2(F.col("p_name"), 256))
+    rows = _t(spark, sf, "part").select(F.col("p_brand").alias("path"), digest.alias("sha256"))
+    return evaluation.manifest_faults(rows, ["Brand#11", "Brand#12", "Brand#99"])
+
+
+@query("model_format", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'lwm' ELSE 'onnx' END AS format FROM documents")
+def model_format(spark, sf):
+    content = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("LWM0")).otherwise(F.lit("LWM")), F.coalesce("lang", F.lit("")))
+    return _t(spark, sf, "documents").select("doc_id", files.model_format(content.cast("binary")).alias("format"))
