@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliant.operators import detection
 
@@ -200,9 +201,17 @@ def restored(x: Column, ratio: Column, side: Column) -> Column:
 
 def within(candidates: DataFrame, key: str, most: int) -> DataFrame:
     """The candidates; more than `most` of one key are an error, not cut."""
-    over = candidates.groupBy(key).count().where(F.col("count") > most)
-    failed = over.select(F.raise_error(F.concat(F.lit(f"more than {most} boxes for "), F.col(key).cast("string"))).cast("boolean").alias("failed"))
-    return candidates.join(F.broadcast(failed.agg(F.count("failed").alias("_over"))), how="cross").drop("_over")
+    failed = F.raise_error(F.concat(F.lit(f"more than {most} boxes for "), F.col(key).cast("string"))).cast("boolean")
+    n = free_name(candidates, "_n")
+    counted = candidates.withColumn(n, F.count("*").over(Window.partitionBy(key)))
+    return counted.where(F.when(F.col(n) <= most, True).otherwise(failed)).drop(n)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it as long as df has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def rotated_scores(maps: DataFrame, shape: tuple[int, int], rectangles: DataFrame, key: str = "vec_id", data: str = "embedding") -> DataFrame:
