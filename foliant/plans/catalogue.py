@@ -11,6 +11,7 @@ from foliant.functions import elementwise as E
 from foliant.functions import text as texts
 from foliant.operators import blocks, decoding, detection, evaluation, images, rectangles, tensor
 from foliant.sources import files
+from foliant.streaming import pages as streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -969,3 +970,18 @@ def manifest_faults(spark, sf):
 def model_format(spark, sf):
     content = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("LWM0")).otherwise(F.lit("LWM")), F.coalesce("lang", F.lit("")))
     return _t(spark, sf, "documents").select("doc_id", files.model_format(content.cast("binary")).alias("format"))
+
+
+# --- windows of time (on whole tables; the same functions run on streams) ------------------------------------
+
+
+@query("event_profile", "SELECT epoch(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01'))::BIGINT AS start, event_type AS op, count(*) AS calls, round(sum(value), 4) AS total, max(value) AS peak FROM events GROUP BY 1, 2")
+def event_profile(spark, sf):
+    out = streams.profile(streams.event_time(_t(spark, sf, "events")), "6 hours")
+    return out.select(F.unix_timestamp("start").alias("start"), "op", "calls", F.round("total", 4).alias("total"), "peak")
+
+
+@query("event_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '2 hours' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, count(*) AS calls, epoch_us(min(ts))::BIGINT AS start, epoch_us(max(ts))::BIGINT + 7200000000 AS \"end\" FROM s GROUP BY user_id, k")
+def event_sessions(spark, sf):
+    out = streams.sessions(streams.event_time(_t(spark, sf, "events")), "2 hours")
+    return out.select("user_id", "calls", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"))

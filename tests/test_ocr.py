@@ -229,3 +229,23 @@ def test_files_around_the_engine(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"file": "a", "lines": 3}\n')
     with pytest.raises(Exception, match="no list"):
         files.predictions(spark, str(tmp_path / "p.jsonl"), "file string").collect()
+
+
+def test_command_lines(spark, tmp_path, capsys):
+    from foliant.__main__ import main
+
+    (tmp_path / "t.json").write_text('{"images": [{"file": "a", "lines": [{"bbox": [0, 0, 10, 10], "text": "abc"}, {"bbox": [50, 50, 60, 60], "text": "x"}]}]}')
+    line = '{"text": "%s", "rec": 0.5, "det": 0.9, "cls": -1, "cls_score": 0.0, "rotate": false, "box": [0, 0, 10, 0, 10, 10, 0, 10]}'
+    for name, text in (("p", "abd"), ("q", "abc")):
+        (tmp_path / f"{name}.jsonl").write_text('{"file": "a", "elapsed_ms": 4.0, "lines": [' + line % text + "]}\n")
+    assert main(["evaluate", str(tmp_path / "t.json"), str(tmp_path / "p.jsonl"), "--output", str(tmp_path / "o")]) == 0
+    out = capsys.readouterr().out
+    assert '"matched_lines": 1' in out and '"missing_lines": 1' in out and '"recall": 0.5' in out and '"edit_distance": 1' in out and '"elapsed_ms": 4.0' in out
+    assert main(["diff", str(tmp_path / "p.jsonl"), str(tmp_path / "q.jsonl")]) == 1 and '"text_mismatches": 1' in capsys.readouterr().out
+    assert main(["diff", str(tmp_path / "p.jsonl"), str(tmp_path / "p.jsonl")]) == 0
+    (tmp_path / "m").write_bytes(made_up()[0])
+    assert main(["container", str(tmp_path / "m"), str(tmp_path / "m2")]) == 0
+    capsys.readouterr()
+    for name in ("m", "m2"):
+        assert main(["model", str(tmp_path / name), "--shape", "1", "3", "32", "64"]) == 0
+        assert "Conv" in (shown := capsys.readouterr().out) and '"nodes": 2' in shown and '"live_bytes": 16384' in shown
