@@ -7,6 +7,11 @@
    (1 - 0.8**4)**20 = 2.7e-5.
 4. decontamination: passages of the benchmark are cut out of the texts.
 5. pieces: texts become ids; decoding them is checked to give the text again.
+
+Each stage works on all rows of the one before it; all but the last return the columns of documents, whatever there are.
+Cases: null and empty texts pass every stage (a document that a stage empties stays, with an empty text). Rows without a
+doc_id stay. Rows that share one are told apart by their texts in stage 2, and are one document in stage 3. Repeated rows
+are judged alike, and stay or go together. Very long texts are taken in blocks. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -22,22 +27,27 @@ NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null or empty text is scored like any other; without labels nothing goes."""
     return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay; a null text stays null, one of which all lines go becomes empty."""
     return line_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without words, or without a doc_id, stay. Of equal doc_ids all rows stay or go."""
     return near_dedup.deduplicated(docs, NEAR_PERCENT)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay; a null text stays null. An empty benchmark cuts nothing."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null ids for a null text, none for an empty one."""
     return pieces.with_ids(docs)
 
 
