@@ -118,25 +118,29 @@ class Words:
     def text(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
 
-    def hashes(self, cut: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word's bytes; of its first `cut` bytes at most, if given."""
-        out = np.zeros(len(self.start), _U)
-        end = self.end if cut is None else np.minimum(self.end, self.start + cut)
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word's bytes."""
+        return self.prefix_hashes([None])[0]
+
+    def prefix_hashes(self, cuts: list[int | None]) -> list[np.ndarray]:
+        """For each of cuts a 64-bit hash of the first bytes of each word, so many at most; of all for None."""
+        out = [np.zeros(len(self.start), _U) for _ in cuts]
         for lo, hi in self._blocks():
-            a, b = self.start[lo:hi], end[lo:hi]
-            long = b - a > BLOCK
-            if long.any():
-                for i in np.flatnonzero(long).tolist():
-                    out[lo + i] = xxhash.xxh3_64_intdigest(self.buf[a[i] : b[i]])
-                b = np.where(long, a, b)
+            a, whole = self.start[lo:hi], self.end[lo:hi]
+            long = whole - a > BLOCK
             base = a[0]
-            n = int(b.max() - base)
+            n = int(np.where(long, a + max((c for c in cuts if c), default=0), whole).max() - base)
+            n = min(n, len(self.buf) - int(base))
             p, q = powers(0x9E3779B97F4A7C15 | 5, n + 1)
             h = np.zeros(n + 1, _U)
             np.cumsum(_byte_values(0)[self.buf[base : base + n]] * p[:n], out=h[1:])
-            own = (h[b - base] - h[a - base]) * q[a - base]
-            own = mix(own + (b - a).astype(_U) * _U(0xD6E8FEB86659FD93))
-            out[lo:hi] = np.where(long, out[lo:hi], own)
+            for values, cut in zip(out, cuts, strict=True):
+                b = np.where(long, a, whole) if cut is None else np.minimum(whole, a + cut)
+                own = (h[b - base] - h[a - base]) * q[a - base]
+                values[lo:hi] = mix(own + (b - a).astype(_U) * _U(0xD6E8FEB86659FD93))
+                if cut is None:
+                    for i in np.flatnonzero(long).tolist():
+                        values[lo + i] = xxhash.xxh3_64_intdigest(self.buf[a[i] : whole[i]])
         return out
 
     def _blocks(self) -> Iterator[tuple[int, int]]:

@@ -92,11 +92,12 @@ class Chain:
 
 def _features(words: K.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(index of word, hash) of all words and of the beginnings of longer ones."""
-    yield np.arange(len(words)), words.hashes()
     length = words.end - words.start
-    for n in STEMS:
+    whole, *stems = words.prefix_hashes([None, *STEMS])
+    yield np.arange(len(words)), whole
+    for n, h in zip(STEMS, stems, strict=True):
         own = np.flatnonzero(length > n)
-        yield own, words.hashes(n)[own] ^ np.uint64(n)
+        yield own, h[own] ^ np.uint64(n)
 
 
 def presence(texts: list[bytes | None], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
