@@ -201,6 +201,32 @@ def _taps(kernel, n_out, size, strides, pads, dilations) -> Iterator[tuple]:
                 yield i, j, oy, ox, iy, ix
 
 
+def prepared(w: np.ndarray, bias=None, strides=(1, 1), pads=(0, 0, 0, 0), dilations=(1, 1), epilogue: Callable | None = None, rows: int = 1 << 16) -> Callable:
+    """A convolution in one group whose weights are packed once, as a matrix of taps by outputs. Each call gathers the taps of
+    `rows` output cells at a time into one panel and takes one matrix product. Padding is zeros, so weights must be finite."""
+    out, c, kh, kw = w.shape
+    if not np.isfinite(w).all():
+        raise ValueError("weights that are not finite")
+    packed = np.ascontiguousarray(w.reshape(out, -1).T)
+
+    def run(x):
+        size = [window_count(s, k, st, a, b, d) for s, k, st, a, b, d in zip(x.shape[2:], (kh, kw), strides, pads[:2], pads[2:], dilations, strict=True)]
+        wide = np.pad(x, ((0, 0), (0, 0), (pads[0], pads[2]), (pads[1], pads[3])))
+        spans = [d * (k - 1) + 1 for d, k in zip(dilations, (kh, kw), strict=True)]
+        view = np.lib.stride_tricks.sliding_window_view(wide, spans, (2, 3))[:, :, :: strides[0], :: strides[1], :: dilations[0], :: dilations[1]]
+        view = view.transpose(0, 2, 3, 1, 4, 5)  # (n, h, w, c, kh, kw)
+        y = np.empty((len(x), size[0], size[1], out), np.result_type(x, w))
+        step = max(1, rows // max(1, size[0] * size[1]))
+        for lo in range(0, len(x), step):
+            panel = view[lo : lo + step].reshape(-1, c * kh * kw)
+            y[lo : lo + step] = (panel @ packed).reshape(-1, size[0], size[1], out)
+        y = y.transpose(0, 3, 1, 2)
+        y = y if bias is None else y + np.reshape(bias, (-1, 1, 1))
+        return y if epilogue is None else epilogue(y)
+
+    return run
+
+
 @register("Conv")
 def conv(x, w, bias=None, strides=(1, 1), pads=(0, 0, 0, 0), dilations=(1, 1), group: int = 1, epilogue: Callable | None = None):
     """x (n, c, h, w), w (out, c / group, kh, kw), pads top, left, bottom, right. epilogue: what follows on the sums."""

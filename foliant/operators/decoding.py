@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.operators.bounds import small
+
 
 def collapse(steps: DataFrame, line: str = "line", t: str = "t") -> DataFrame:
     """The steps that a greedy decoder emits: class neither blank (0) nor that of the step before (0 at first)."""
@@ -14,8 +16,8 @@ def collapse(steps: DataFrame, line: str = "line", t: str = "t") -> DataFrame:
 
 
 def texts(steps: DataFrame, dictionary: DataFrame, line: str = "line") -> DataFrame:
-    """(line, text, score, emitted) of all lines, also those that emit nothing. The dictionary is (class, label), bounded by its reader."""
-    out = collapse(steps, line).join(F.broadcast(dictionary), "class", "left").groupBy(line).agg(
+    """(line, text, score, emitted) of all lines, also those that emit nothing. The dictionary is (class, label)."""
+    out = collapse(steps, line).join(small(dictionary), "class", "left").groupBy(line).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "label"))), lambda s: s.label), "").alias("text"),
         F.avg("prob").alias("score"), F.count("*").alias("emitted"),
     )

@@ -226,12 +226,34 @@ def kilobytes(status: Column, name: str) -> Column:
     return F.when(found != "", F.expr("bigint(1024)") * found.try_cast("long")).otherwise(F.lit(-1).cast("long"))
 
 
+#: Of an approximate percentile: ranks are off by this share of all at most.
+_SLACK = 10_000
+
+
+def ranked_values(rows: DataFrame, by: str, value: str, ranks: dict[str, tuple[float, Column]]) -> DataFrame:
+    """(by, a column for each name): the exact value of a rank in each group, counted from 1. ranks: the share of values
+    below it, about, and the rank, in terms of the column n, the group's number of values. Approximate percentiles give
+    bounds that the rank lies between; only values between them are sorted, so no task holds a group."""
+    known = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).alias("x"))
+    between = F.array(*[F.lit(min(1.0, max(0.0, share + side * 2 / _SLACK))) for share, _ in ranks.values() for side in (-1, 1)])
+    bounds = known.groupBy("g").agg(F.percentile_approx("x", between, _SLACK).alias("q"), F.count("*").alias("n"))
+    each = F.array(*[F.struct(F.lit(name).alias("name"), F.col("q")[2 * k].alias("lo"), F.col("q")[2 * k + 1].alias("hi"), rank.cast("long").alias("rank")) for k, (name, (_, rank)) in enumerate(ranks.items())])
+    wanted = bounds.select("g", F.explode(each).alias("w")).select("g", "w.*")
+    # all values below the bounds are one row, without a value
+    counts = known.join(wanted, "g").where("x <= hi").groupBy("g", "name", "rank", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("x")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("g", "name").orderBy(F.col("x").asc_nulls_first()))
+    found = counts.withColumn("upto", upto).where("upto >= rank AND upto - c < rank")
+    return found.groupBy(F.col("g").alias(by)).agg(*[F.max(F.when(F.col("name") == name, F.col("x"))).alias(name) for name in ranks])
+
+
 def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, median): of the sorted values the one in the middle, of two the upper. A nearest-rank percentile on counts of
-    distinct values, so that no group is sorted in one task."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
-    below = Window.partitionBy(by).orderBy(value)
-    return counts.withColumns({"upto": F.sum("n").over(below), "all": F.sum("n").over(Window.partitionBy(by))}).where("upto > all div 2 AND upto - n <= all div 2").select(by, F.col(value).alias("median"))
+    """(by, median): of the sorted values the one in the middle, of two the upper."""
+    return ranked_values(rows, by, value, {"median": (0.5, F.floor(F.col("n") / 2) + 1)})
+
+
+def nearest_rank(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, a column for each name): the smallest value that at least that share of all values does not exceed."""
+    return ranked_values(rows, by, value, {name: (f, F.greatest(F.lit(1), F.ceil(F.col("n") * f))) for name, f in shares.items()})
 
 
 # --- parity of graphs and crops -----------------------------------------------------------------------------

@@ -1,19 +1,17 @@
 """Tensor operators on coordinate tables: one row for each element, (tensor_id, coordinates, v).
 
-Reductions are groupings, matrix products and convolutions equi-joins with small weight tables (model constants,
-bounded by the model) followed by a sum, so that padding taps are skipped, never multiplied.
+Reductions are groupings, matrix products and convolutions equi-joins with weight tables (broadcast if they are small)
+followed by a sum, so that padding taps are skipped, never multiplied. Operators on whole tensors, without a shuffle, are
+in blocks.py; this form is for elements that already are rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def pattern(i: int) -> float:
-    """The deterministic fill of test weights."""
-    return ((i * 17) % 257 - 128) / 127
+from foliant.operators.bounds import small
 
 
 def coordinates(vectors: DataFrame, shape: tuple[int, ...], names: str = "chw") -> DataFrame:
@@ -26,12 +24,6 @@ def coordinates(vectors: DataFrame, shape: tuple[int, ...], names: str = "chw")
     return flat.select("vec_id", *names, "v")
 
 
-def weights(spark: SparkSession, oc: int, ic: int, kh: int, kw: int) -> DataFrame:
-    """A weight table filled by the pattern."""
-    rows = [(o, c, y, x, pattern(((o * ic + c) * kh + y) * kw + x)) for o in range(oc) for c in range(ic) for y in range(kh) for x in range(kw)]
-    return spark.createDataFrame(rows, "oc int, ic int, kh int, kw int, wv double")
-
-
 def reduce_mean(x: DataFrame, keep: list[str]) -> DataFrame:
     return x.groupBy(*keep).agg(F.avg("v").alias("v"))
 
@@ -45,7 +37,7 @@ def softmax(x: DataFrame, over: list[str]) -> DataFrame:
 def matmul(a: DataFrame, b: DataFrame, batch: list[str]) -> DataFrame:
     """a (batch, i, k, v) times b (k, j, w) or (batch, k, j, w)."""
     keys = ["k", *[c for c in batch if c in b.columns]]
-    return a.join(b if len(keys) > 1 else F.broadcast(b), keys).groupBy(*batch, "i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    return a.join(b if len(keys) > 1 else small(b), keys).groupBy(*batch, "i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
 def conv(x: DataFrame, w: DataFrame, size: tuple[int, int], stride: int = 1, pad: int = 0, dilation: int = 1, depthwise: bool = False, kernel: tuple[int, int] = (3, 3), pad_w: int | None = None) -> DataFrame:
@@ -54,12 +46,12 @@ def conv(x: DataFrame, w: DataFrame, size: tuple[int, int], stride: int = 1, pad
     out = [(n + 2 * p - dilation * (k - 1) - 1) // stride + 1 for n, p, k in zip(size, (pad, pad_w), kernel, strict=True)]
     on = F.col("c") == (F.col("oc") if depthwise else F.col("ic"))
     y, z = F.col("h") + pad - F.col("kh") * dilation, F.col("w") + pad_w - F.col("kw") * dilation
-    hit = x.join(F.broadcast(w), on).withColumns({"y": y, "z": z}).where((F.col("y") % stride == 0) & (F.col("z") % stride == 0) & F.col("y").between(0, (out[0] - 1) * stride) & F.col("z").between(0, (out[1] - 1) * stride))
+    hit = x.join(small(w), on).withColumns({"y": y, "z": z}).where((F.col("y") % stride == 0) & (F.col("z") % stride == 0) & F.col("y").between(0, (out[0] - 1) * stride) & F.col("z").between(0, (out[1] - 1) * stride))
     return hit.groupBy("vec_id", F.col("oc").alias("c"), (F.col("y") / stride).cast("int").alias("h"), (F.col("z") / stride).cast("int").alias("w")).agg(F.sum(F.col("v") * F.col("wv")).alias("v"))
 
 
 def conv_transpose(x: DataFrame, w: DataFrame, stride: int) -> DataFrame:
-    hit = x.join(F.broadcast(w), F.col("c") == F.col("ic"))
+    hit = x.join(small(w), F.col("c") == F.col("ic"))
     return hit.groupBy("vec_id", F.col("oc").alias("c"), (F.col("h") * stride + F.col("kh")).alias("h"), (F.col("w") * stride + F.col("kw")).alias("w")).agg(F.sum(F.col("v") * F.col("wv")).alias("v"))
 
 

@@ -6,6 +6,7 @@ read() tells them apart by their first four bytes. tables() gives tensors and no
 
 from __future__ import annotations
 
+import mmap
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -72,6 +73,21 @@ def read(data: bytes, limits: Limits = Limits()) -> Graph:
     return read_container(data, limits) if data[:4] == MAGIC else read_onnx(data, limits)
 
 
+def read_file(path: str, limits: Limits = Limits()) -> Graph:
+    """From a file on this machine, mapped into memory while it is read."""
+    with open(path, "rb") as f:
+        size = f.seek(0, 2)
+        _within(size <= limits.file_bytes, "file size")
+        _need(size > 0, "an empty file")
+        return read(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)[:], limits)
+
+
+def read_stream(stream, limits: Limits = Limits()) -> Graph:
+    """From an open binary stream, which stays open; no more than the limit is read."""
+    data = stream.read(limits.file_bytes + 1)
+    return read(data, limits)
+
+
 # --- the container ------------------------------------------------------------------------------------------
 
 
