@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import free, saved, table
+from foliant.llm.common import forget, free, saved, table
 
 #: The key of the registered query, whose rows must not depend on who runs it. Callers of replaced() give their own;
 #: surrogates can be linked to what they stand for by whoever knows it.
@@ -42,9 +42,10 @@ BROADCAST_ROWS = 200_000
 MALE = "Mr|Herr|Hr|Sr|Señor|Monsieur|M|Signor|г-н|господин|κ|κύριος|Κύριος|السيد|מר"
 FEMALE = "Mrs|Ms|Miss|Frau|Fr|Sra|Srta|Señora|Señorita|Mme|Mlle|Madame|Signora|г-жа|госпожа|κα|κυρία|Κυρία|السيدة|גברת"
 NEUTRAL = "Dr|Prof|Mx"
-#: Titles that follow the name, and common Chinese surnames, which tell where a name begins.
+#: Titles that follow the name, and common Chinese and Korean surnames, which tell where a name begins.
 AFTER_MALE, AFTER_FEMALE = "先生", "女士|小姐"
 SURNAMES = "王李张刘陈杨黄赵周吴徐孙朱马胡郭林何高梁郑罗宋谢唐韩曹许邓萧冯曾程蔡彭潘袁于董余苏叶吕魏蒋田杜丁沈姜范江傅钟卢汪戴崔任陆廖姚方金邱夏谭韦贾邹石熊孟秦阎薛侯雷白龙段郝孔邵史毛常万顾赖武康贺严尹钱施牛洪龚"
+KOREAN_SURNAMES = "김이박최정강조윤장임한오서신권황안송전홍유고문양손배백허남심노하곽성차주우구민진나지엄채원천방공현함변염추도소석선설마길연위표명기반왕금옥육인맹제모"
 UNCASED = r"\p{IsArabic}\p{IsHebrew}"
 _WORD = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
 
@@ -67,7 +68,7 @@ PATTERNS = {
     "key": r"(?<![A-Za-z])(?:AKIA[A-Z0-9]{16}|[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
     "password": r"(?<==)(?<=(?:password|PASSWORD|Password)=)[\p{L}\p{N}]+",
     "name": rf"(?=[\p{{Lu}}{UNCASED}])(?<= ){_after_title()}(?:{_WORD}(?: {_WORD})?|[{UNCASED}]+(?: [{UNCASED}]+)?)",
-    "name before": rf"[{SURNAMES}]\p{{IsHan}}{{1,2}}(?={AFTER_MALE}|{AFTER_FEMALE})|(?<!\p{{IsHan}})\p{{IsHan}}{{2,4}}(?=さん|様|氏)|(?<!\p{{IsKatakana}})\p{{IsKatakana}}{{2,10}}(?=さん|様|氏)|(?<!\p{{IsHangul}})\p{{IsHangul}}{{2,4}}(?= ?씨(?!\p{{IsHangul}}))",
+    "name before": rf"[{SURNAMES}]\p{{IsHan}}{{1,2}}(?={AFTER_MALE}|{AFTER_FEMALE})|(?<!\p{{IsHan}})\p{{IsHan}}{{2,4}}(?=さん|様|氏)|(?<!\p{{IsKatakana}})\p{{IsKatakana}}{{2,10}}(?=さん|様|氏)|(?<!\p{{IsHangul}})[{KOREAN_SURNAMES}]\p{{IsHangul}}{{1,2}}(?= ?씨(?:[가는의를도에와께]|(?!\p{{IsHangul}})))",
 }
 
 
@@ -266,11 +267,15 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         free_ones = drawn.join(taken, ["kind", "surrogate"], "left_anti")
         if done is not None:
             free_ones = free_ones.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = saved(free_ones.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).select("kind", "canon", "surrogate"), "surrogates")
+        drawn_from, won = todo, saved(free_ones.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).select("kind", "canon", "surrogate"), "surrogates")
         done = won if done is None else done.unionByName(won)
         todo = saved(todo.select("kind", "canon").join(won, ["kind", "canon"], "left_anti"), "surrogates-todo")
         attempt += 1
+        if attempt > 1:
+            forget(drawn_from)  # the entities themselves are still looked at
         if todo.isEmpty():
+            forget(todo)
+            forget(entities)
             return done
 
 
