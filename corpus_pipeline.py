@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import decontaminate, line_dedup, near_dedup, pieces, toxicity
-from foliant.llm.common import saved, table
+from foliant.llm.common import forget, saved, table
 
 
 #: Similarity of near copies in percent. The query of op10 has its own, which its SQL shares.
@@ -67,7 +67,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = saved(docs, f"stage-{name}")
+            forget(before)  # all that came of it is written
     return docs
