@@ -40,7 +40,7 @@ SHINGLE = 5
 PERCENT = 85
 ROWS, BANDS = 4, 20
 SKETCH_WORDS = 4
-SALT_ROWS = 1024
+SALT_ROWS = 512
 ROUNDS = (4, 32, 256, 4096, None)
 
 _RNG = np.random.default_rng(20)
