@@ -41,6 +41,27 @@ def live_bound(spans: DataFrame) -> DataFrame:
     return steps.withColumn("live", live).groupBy("grp").agg(F.max("live").alias("bound"))
 
 
+def profile(rows: DataFrame, keys: list, value: str) -> DataFrame:
+    """(keys, calls, total) of timed calls."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("calls"), F.sum(value).alias("total"))
+
+
+def hottest(profiles: DataFrame, by: str, node: str, k: int, total: str = "total") -> DataFrame:
+    """The k nodes of each stage with the largest totals, and their places from 1; ties go to the smaller node."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(total), node))
+    return profiles.withColumn("k", place).where(F.col("k") <= k)
+
+
+def running_peak(by: str, at: str, value: str) -> Column:
+    """The largest value of a series up to each sample."""
+    return F.max(value).over(Window.partitionBy(by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def workspace_totals(plans: DataFrame, before: Column, after: Column, bound: Column) -> DataFrame:
+    """One row: plans, bytes before and after, and how close the bytes after are to their lower bound; 1 where there are none."""
+    return plans.agg(F.count("*").alias("plans"), F.sum(before).alias("before"), F.sum(after).alias("after"), F.coalesce(F.try_divide(F.sum(bound), F.sum(after)), F.lit(1.0)).alias("efficiency"))
+
+
 def merged_profiles(stages: list[DataFrame]) -> DataFrame:
     """Profiles (op, calls, total) of several models as one: sums for each operator that was called."""
     out = stages[0]

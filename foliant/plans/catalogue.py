@@ -421,18 +421,22 @@ def missing_extra_files(spark, sf):
     return evaluation.missing_and_extra(*_sides(spark, sf))
 
 
+def _rounded4(profiles: DataFrame) -> DataFrame:
+    return profiles.withColumn("total", F.round("total", 4))
+
+
 # --- profiles and plans -------------------------------------------------------------------------------------
 
 
 @query("profile_by_operator", "SELECT event_type AS op, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def profile_by_operator(spark, sf):
-    return _t(spark, sf, "events").groupBy(F.col("event_type").alias("op")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("total"))
+    return _rounded4(evaluation.profile(_t(spark, sf, "events"), [F.col("event_type").alias("op")], "value"))
 
 
 @query("profile_hot_nodes", "SELECT op, node, round(total, 4) AS total, k::INT AS k FROM (SELECT *, row_number() OVER (PARTITION BY op ORDER BY round(total, 4) DESC, node) AS k FROM (SELECT event_type AS op, user_id AS node, sum(value) AS total FROM events GROUP BY 1, 2)) WHERE k <= 8")
 def profile_hot_nodes(spark, sf):
-    total = _t(spark, sf, "events").groupBy(F.col("event_type").alias("op"), F.col("user_id").alias("node")).agg(F.round(F.sum("value"), 4).alias("total"))
-    return total.withColumn("k", F.row_number().over(Window.partitionBy("op").orderBy(F.desc("total"), "node"))).where("k <= 8")
+    keys = [F.col("event_type").alias("op"), F.col("user_id").alias("node")]
+    return evaluation.hottest(_rounded4(evaluation.profile(_t(spark, sf, "events"), keys, "value")), "op", "node", 8).select("op", "node", "total", "k")
 
 
 @query("latency_percentiles", "SELECT event_type AS op, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY 1")
@@ -507,7 +511,7 @@ def page_text(spark, sf):
 @query("profile_nodes", "SELECT user_id % 3 AS model, user_id AS node, event_type AS op, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def profile_nodes(spark, sf):
     keys = [(F.col("user_id") % 3).alias("model"), F.col("user_id").alias("node"), F.col("event_type").alias("op")]
-    return _t(spark, sf, "events").groupBy(*keys).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("total"))
+    return _rounded4(evaluation.profile(_t(spark, sf, "events"), keys, "value"))
 
 
 @query("profile_merge", "SELECT event_type AS op, count(*) FILTER (WHERE value > 1) AS calls, round(sum(value) FILTER (WHERE value > 1), 4) AS total FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE value > 1) > 0")
@@ -534,8 +538,7 @@ def throughput_change(spark, sf):
 @query("workspace_totals", "SELECT count(*) AS plans, sum(p_size)::BIGINT AS before, sum(p_size // 2 + 1)::BIGINT AS after, round(CASE WHEN sum(p_size // 2 + 1) > 0 THEN sum(p_size // 3) / sum(p_size // 2 + 1) ELSE 1 END, 6)::DOUBLE AS efficiency FROM part")
 def workspace_totals(spark, sf):
     size = F.col("p_size").cast("long")
-    after, bound = F.sum(F.floor(size / 2) + 1), F.sum(F.floor(size / 3))
-    return _t(spark, sf, "part").agg(F.count("*").alias("plans"), F.sum(size).alias("before"), after.alias("after"), F.round(F.coalesce(F.try_divide(bound, after), F.lit(1.0)), 6).alias("efficiency"))
+    return _rounded(evaluation.workspace_totals(_t(spark, sf, "part"), size, F.floor(size / 2) + 1, F.floor(size / 3)), "efficiency")
 
 
 @query("tensor_close", _FLAT + ", d AS (SELECT vec_id, abs(v - round(v, 3)) AS d, 0.0001 + 0.001 * abs(v) AS most FROM e) SELECT vec_id, round(max(d), 6) AS max_delta, round(avg(d), 6) AS mean_delta, count(*) FILTER (WHERE d > most) AS off FROM d GROUP BY 1")
@@ -554,8 +557,7 @@ def file_sets(spark, sf):
 
 @query("running_peak", "SELECT event_id, user_id, round(max(value) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS peak FROM events")
 def running_peak(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _t(spark, sf, "events").select("event_id", "user_id", F.round(F.max("value").over(w), 6).alias("peak"))
+    return _t(spark, sf, "events").select("event_id", "user_id", F.round(evaluation.running_peak("user_id", "event_id", "value"), 6).alias("peak"))
 
 
 # --- pixels, boxes and texts --------------------------------------------------------------------------------
