@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if {"text", "html"} & set(out.columns):
+        small_batches(spark)
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:
