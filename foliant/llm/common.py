@@ -34,11 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
 ROW_GROUP_BYTES = 16 << 20
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet below the shared folder and reads it again: cuts the lineage, survives lost executors."""
+#: Input bytes that a file of a small intermediate table stands for.
+FILE_BYTES = 64 << 20
+
+
+def file_count(size: int) -> int:
+    """Files of a small intermediate table of a job on that many bytes: few, as each costs its task a process or two on
+    local file systems, but more with more data."""
+    return max(4, size // FILE_BYTES)
+
+
+def saved(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
+    """Writes df as Parquet below the shared folder and reads it again: cuts the lineage, survives lost executors. files: as
+    many tasks at most in the last stage, and so files; for tables that are cheap to finish."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant-{what}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    (df if files is None else df.coalesce(files)).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._foliant_path = path
     return out

@@ -22,12 +22,12 @@ def _small_star(e: DataFrame) -> DataFrame:
     return tied.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """(node, component): for every node of a link (a, b) the smallest node that it reaches. Written to the shared folder."""
-    now = saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    now = saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links", files)
     mark = None
     while True:
-        after = saved(_small_star(_large_star(now).where("a <> b").distinct()), "links")
+        after = saved(_small_star(_large_star(now).where("a <> b").distinct()), "links", files)
         forget(now)
         now = after
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import forget, saved, table
+from foliant.llm.common import file_count, forget, input_bytes, saved, table
 
 SHARDS = 40
 BITS = 8
@@ -84,7 +84,7 @@ def _index(cuts: list[list], bits: int, names: list[str]):
 
 def _string_cuts(points: DataFrame, name: str, rows: int, bits: int) -> list[bytes]:
     """The values (as bytes) at which rows, sorted by them, go over a multiple of rows / 2**bits: 2**bits at most."""
-    counts = saved(points.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("binary").alias("v")).count(), "hilbert-values")
+    counts = saved(points.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("binary").alias("v")).count(), "hilbert-values", file_count(input_bytes(points)))
     step = max(1, -(-rows // (1 << bits)))
     if counts.limit(DISTINCT_ROWS + 1).count() <= DISTINCT_ROWS and (counts.agg(F.sum(F.length("v"))).head()[0] or 0) <= 16 << 20:
         cuts, total = [], 0

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import kernels as K
-from foliant.llm.common import extended, few, forget, free, input_bytes, saved, table
+from foliant.llm.common import few, file_count, forget, free, input_bytes, saved, table
 
 #: Similarity as a fraction: 4 / 5.
 NUM, DEN = 4, 5
@@ -539,7 +539,7 @@ def keyed(docs: DataFrame, names: tuple[str, str] = (ID, ROW)) -> DataFrame:
     """docs with an id, and a row: a hash of the text where doc_id is null or other texts have it too, else 0."""
     text_hash, own = F.xxhash64("text"), docs.withColumn(names[0], F.coalesce("doc_id", F.lit(-(2**63))))
     hashes = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text_hash).alias("lo"), F.max(text_hash).alias("hi"))
-    shared = saved(hashes.where("lo <> hi").select(F.col("doc_id").alias(names[0])), "line-ids")
+    shared = saved(hashes.where("lo <> hi").select(F.col("doc_id").alias(names[0])), "line-ids", file_count(input_bytes(docs)))
     if not few(shared):  # the hash does no harm to rows that need none
         return own.withColumn(names[1], text_hash)
     mark = free(own, "_shared")[0]
@@ -561,14 +561,16 @@ def _removals(named: DataFrame, size: int, nearest: int = NEAREST) -> DataFrame:
     buckets = 1 << max(5, (4 * size // BUCKET_BYTES).bit_length())
     doc, line, other = ["doc_id", "row"], ["doc_id", "row", "line"], ["x_doc", "x_row", "x_line"]
 
+    files = file_count(size)
+
     def keep(df: DataFrame, what: str) -> DataFrame:
-        made.append(saved(df, what))
+        made.append(saved(df, what, files))
         return made[-1]
 
     def compared(texts: DataFrame, k: int | None) -> DataFrame:
         sent = texts.mapInArrow(_send(levels, hot_words, buckets), "bucket int, cell long, blob binary")
         shape = "doc_id long, row long, line int, x_doc long, x_row long, x_line int, apart int, more boolean, equal boolean"
-        return keep(sent.groupBy("bucket", "cell").applyInArrow(_match(k), shape), "line-pairs")
+        return keep(sent.groupBy("bucket", "cell").applyInArrow(_match(k), shape).repartition(files), "line-pairs")
 
     def listed(lines: DataFrame, name: str) -> DataFrame:
         """source with the numbers of the lines of each document."""
@@ -612,7 +614,7 @@ def _removals(named: DataFrame, size: int, nearest: int = NEAREST) -> DataFrame:
         else:
             again = compared(listed(asking, "line-asking"), None)
             gone = gone.unionByName(verified(again.select(*line, *other).distinct(), sets_of(again)))
-    out = saved(gone.distinct(), "line-removals")
+    out = saved(gone.distinct(), "line-removals", files)
     for table_ in made:
         forget(table_)
     return out
@@ -698,7 +700,7 @@ def _joined(docs: DataFrame, digest: bool) -> DataFrame:
     own, row, gone = free(docs, ID, ROW, "_gone")
     named = keyed(docs, (own, row))
     removed = _removals(named.select(F.col(own).alias(ID), F.col(row).alias(ROW), "text"), input_bytes(docs))
-    by_doc = saved(removed.groupBy(F.col("doc_id").alias(own), F.col("row").alias(row)).agg(F.collect_list("line").alias(gone)), "line-removed")
+    by_doc = saved(removed.groupBy(F.col("doc_id").alias(own), F.col("row").alias(row)).agg(F.collect_list("line").alias(gone)), "line-removed", file_count(input_bytes(docs)))
     out = named.join(F.broadcast(by_doc) if few(by_doc, lists=gone) else by_doc, [own, row], "left")
     if digest:
         return out.select("doc_id", "text", gone).mapInArrow(_cut(gone, None), "doc_id long, n_lines long, n_removed long, kept_sha256 string")

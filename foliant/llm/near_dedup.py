@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import kernels as K
-from foliant.llm.common import as_bytes, dealt, few, forget, saved, table
+from foliant.llm.common import as_bytes, dealt, few, file_count, forget, input_bytes, saved, table
 from foliant.llm.components import components
 
 SHINGLE = 5
@@ -178,15 +178,15 @@ def _pairs(k: int | None, percent: int):
 
 def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
-    source = docs.select("doc_id", as_bytes())
+    source, files = docs.select("doc_id", as_bytes()), file_count(input_bytes(docs))
     marked = saved(source.mapInArrow(_features, "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch binary"), "minhash")
     limit = _limit(percent)
     classes = marked.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r"))
-    nodes = saved(classes.select("k1", "k2", "n", F.col("r.doc_id").alias("node"), "r.bands", "r.sketch"), "classes")
+    nodes = saved(classes.select("k1", "k2", "n", F.col("r.doc_id").alias("node"), "r.bands", "r.sketch"), "classes", files)
     made = [marked, nodes]
 
     def keep(df: DataFrame, what: str) -> DataFrame:
-        made.append(saved(df, what))
+        made.append(saved(df, what, files))
         return made[-1]
 
     def met(df: DataFrame, known: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -199,7 +199,8 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     wanted = keep(members.select("node").distinct(), "candidates")
     found = source.withColumnRenamed("doc_id", "node").join(F.broadcast(wanted) if few(wanted) else wanted, "node", "left_semi")
-    sets = keep(found.select(F.col("node").alias("doc_id"), "text").mapInArrow(_emit_sets, "node long, shingles binary, parity binary"), "sets")
+    sets = saved(found.select(F.col("node").alias("doc_id"), "text").mapInArrow(_emit_sets, "node long, shingles binary, parity binary"), "sets")
+    made.append(sets)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -212,7 +213,7 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     near = stars.join(heads, "least").where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
     apart = sum((F.bit_count(F.conv(F.substring(F.hex("sketch"), 8 * i + 1, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(F.hex("s2"), 8 * i + 1, 8), 16, 10).cast("long"))) for i in range(8 * SKETCH_WORDS // 4)), F.lit(0))
     links = confirmed(near.where(apart <= limit).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
-    label = components(links)
+    label = components(links, files)
     shapes = sets.select("node", "parity").join(light.select("node", "n"), "node")
     asking = None
     for k in ROUNDS:
@@ -239,7 +240,7 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         other = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         joined = keep(new.join(own, "a", "left").join(other, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "merges")
         if not joined.isEmpty():
-            label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(joined))
+            label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(joined), files)
         asking = keep(pairs.where("more").select(F.col("y").alias("node")).distinct(), "asking")
         if asking.isEmpty():
             break
@@ -253,7 +254,7 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without those that are not the smallest doc_id of their component; all columns stay."""
-    gone = saved(labelled(docs, percent).where("not kept").select("doc_id").distinct(), "near-copies")
+    gone = saved(labelled(docs, percent).where("not kept").select("doc_id").distinct(), "near-copies", file_count(input_bytes(docs)))
     return docs.join(F.broadcast(gone) if few(gone) else gone, "doc_id", "left_anti").select(*docs.columns)
 
 

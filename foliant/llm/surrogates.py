@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import forget, free, saved, table
+from foliant.llm.common import file_count, forget, free, input_bytes, saved, table
 
 #: The key of the registered query, whose rows must not depend on who runs it. Callers of replaced() give their own;
 #: surrogates can be linked to what they stand for by whoever knows it.
@@ -254,7 +254,8 @@ def written(mention: Column, before: Column, s: Column, key: str) -> Column:
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, surrogate) for distinct entities (kind, canon), all surrogates distinct and none an entity."""
-    entities = saved(entities.distinct(), "entities")
+    files = file_count(input_bytes(entities))
+    entities = saved(entities.distinct(), "entities", files)
     taken = entities.select("kind", F.col("canon").alias("surrogate"))
     done, todo, attempt = None, entities, 0
     canon, k = F.col("canon"), F.col("kind")
@@ -267,9 +268,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         free_ones = drawn.join(taken, ["kind", "surrogate"], "left_anti")
         if done is not None:
             free_ones = free_ones.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        drawn_from, won = todo, saved(free_ones.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).select("kind", "canon", "surrogate"), "surrogates")
+        drawn_from, won = todo, saved(free_ones.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).select("kind", "canon", "surrogate"), "surrogates", files)
         done = won if done is None else done.unionByName(won)
-        todo = saved(todo.select("kind", "canon").join(won, ["kind", "canon"], "left_anti"), "surrogates-todo")
+        todo = saved(todo.select("kind", "canon").join(won, ["kind", "canon"], "left_anti"), "surrogates-todo", files)
         attempt += 1
         if attempt > 1:
             forget(drawn_from)  # the entities themselves are still looked at
@@ -290,7 +291,7 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     m = F.col("m")
     once = some.select(F.col(row).alias("row"), F.col(mentions).alias("mentions")).dropDuplicates(["row"])
     each = once.select("row", F.posexplode("mentions").alias("at", "m")).withColumn("kind", kind(m)).withColumn("canon", canonical(m, F.col("kind")))
-    each = saved(each.drop("m"), "mentions")
+    each = saved(each.drop("m"), "mentions", file_count(input_bytes(docs)))
     known = surrogates(each.select("kind", "canon"), key)
     small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     met = each.join(F.broadcast(known) if small else known, ["kind", "canon"])

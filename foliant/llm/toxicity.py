@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import kernels as K
-from foliant.llm.common import extended, forget, saved, table
+from foliant.llm.common import extended, file_count, forget, input_bytes, saved, table
 
 PER_CLASS = 3000
 FEATURES = 256
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, names: list[str], per_class: int = P
     own = sum((F.when(F.col(n) > 0, 1 << k).otherwise(0) for k, n in enumerate(names)), F.lit(0))
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     # at most per_class rows of each value
-    found = saved(texts.join(F.broadcast(sample.select("doc_id", own.cast("int").alias("class"))), "doc_id"), "labelled")
+    found = saved(texts.join(F.broadcast(sample.select("doc_id", own.cast("int").alias("class"))), "doc_id").repartition(8), "labelled")  # 2 * per_class documents
     sizes = np.zeros(classes)
     for r in found.groupBy("class").count().collect():
         sizes[r[0]] = r[1]
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, names: list[str], per_class: int = P
     weights = np.array([next((counts[v] / drawn[v] for v in counts if float(v > 0) == last), 0.0) for last in value[:, -1]])
     weights *= sizes.sum() / max(float(weights @ sizes), 1e-300)
     per_task = found.select("text", "class").mapInArrow(_feature_counts(classes), "feature long, " + ", ".join(f"n{k} long" for k in range(classes)))
-    seen = saved(per_task.groupBy("feature").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(classes)]), "features")
+    seen = saved(per_task.groupBy("feature").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(classes)]), "features", file_count(input_bytes(found)))
     picked = [_ranked(seen, weights, sizes, value[:, k], top) for k in range(len(names))]
     forget(seen)
     words = np.unique(np.concatenate(picked))
