@@ -34,14 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
 ROW_GROUP_BYTES = 16 << 20
 
 
-#: Input bytes that a file of a small intermediate table stands for.
+#: Input bytes that a file of a small intermediate table, or of a result, stands for.
 FILE_BYTES = 64 << 20
+RESULT_FILES = 12
 
 
-def file_count(size: int) -> int:
-    """Files of a small intermediate table of a job on that many bytes: few, as each costs its task a process or two on
-    local file systems, but more with more data."""
-    return max(4, size // FILE_BYTES)
+def file_count(size: int, least: int = 4) -> int:
+    """Files of a small intermediate table of a job on that many bytes: few, as on local file systems Hadoop starts a process
+    or more for each file and folder that a task makes, but more with more data."""
+    return max(least, size // FILE_BYTES)
+
+
+def in_few_files(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """A result that is as large as docs, in files of about FILE_BYTES of what was read; RESULT_FILES at least."""
+    return out.coalesce(file_count(input_bytes(docs), RESULT_FILES))
+
+
+#: Where the shared folder is a mounted file system: no checksum file beside each file. Holds for these writes only.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def saved(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
@@ -49,7 +59,10 @@ def saved(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
     many tasks at most in the last stage, and so files; for tables that are cheap to finish."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant-{what}-{uuid.uuid4().hex}"
-    (df if files is None else df.coalesce(files)).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    writer = (df if files is None else df.coalesce(files)).write.option("parquet.block.size", ROW_GROUP_BYTES)
+    for key, value in PLAIN_FILES.items():
+        writer = writer.option(key, value)
+    writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._foliant_path = path
     return out

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import kernels as K
-from foliant.llm.common import few, file_count, forget, free, input_bytes, saved, table
+from foliant.llm.common import few, file_count, forget, free, in_few_files, input_bytes, saved, table
 
 #: Similarity as a fraction: 4 / 5.
 NUM, DEN = 4, 5
@@ -718,4 +718,5 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return in_few_files(report(docs), docs)
