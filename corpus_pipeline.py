@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import decontaminate, line_dedup, near_dedup, pieces, toxicity
-from foliant.llm.common import forget, saved, table
+from foliant.llm.common import forget, in_few_files, saved, table
 
 
 #: Similarity of near copies in percent. The query of op10 has its own, which its SQL shares.
@@ -28,27 +28,27 @@ NEAR_PERCENT = 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A null or empty text is scored like any other; without labels nothing goes."""
-    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
+    return in_few_files(toxicity.accepted(docs, table(spark, sf_dir, "labels")), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows stay; a null text stays null, one of which all lines go becomes empty."""
-    return line_dedup.deduplicated(docs)
+    return in_few_files(line_dedup.deduplicated(docs), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without words, or without a doc_id, stay. Of equal doc_ids all rows stay or go."""
-    return near_dedup.deduplicated(docs, NEAR_PERCENT)
+    return in_few_files(near_dedup.deduplicated(docs, NEAR_PERCENT), docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows stay; a null text stays null. An empty benchmark cuts nothing."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    return in_few_files(decontaminate.clean(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null ids for a null text, none for an empty one."""
-    return pieces.with_ids(docs)
+    return in_few_files(pieces.with_ids(docs), docs)
 
 
 STAGES = [
