@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import kernels as K
-from foliant.llm.common import RESULT_FILES, as_bytes, dealt, few, file_count, forget, in_few_files, input_bytes, saved, table
+from foliant.llm.common import RESULT_FILES, as_bytes, dealt, few, file_count, forget, input_bytes, saved, table
 from foliant.llm.components import components
 
 SHINGLE = 5
@@ -259,8 +259,7 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return in_few_files(labelled(docs), docs)
+    return labelled(table(spark, sf_dir, "documents"))
 
 
 ORACLE = r"""

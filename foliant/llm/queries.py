@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
+
 from foliant.llm import decontaminate, hilbert, line_dedup, near_dedup, nearest, pieces, substring_dedup, surrogates, toxicity, url_filter
 
+from foliant.llm.common import in_few_files, table
+
+
+def _filed(query):
+    """The query's result in files that stand for enough of the documents each."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return in_few_files(query(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+    return run
+
+
 QUERIES = {
-    "op1_toxicity_chain": toxicity.query,
-    "op2_benchmark_decontamination": decontaminate.query,
-    "op3_substring_dedup": substring_dedup.query,
+    "op1_toxicity_chain": _filed(toxicity.query),
+    "op2_benchmark_decontamination": _filed(decontaminate.query),
+    "op3_substring_dedup": _filed(substring_dedup.query),
     "op4_url_filters": url_filter.query,
-    "op5_line_dedup": line_dedup.query,
-    "op6_pii_surrogates": surrogates.query,
+    "op5_line_dedup": _filed(line_dedup.query),
+    "op6_pii_surrogates": _filed(surrogates.query),
     "op7_hilbert_sharding": hilbert.query,
-    "op8_sentencepiece": pieces.query,
+    "op8_sentencepiece": _filed(pieces.query),
     "op9_nearest_neighbours": nearest.query,
-    "op10_minhash_near_dedup": near_dedup.query,
+    "op10_minhash_near_dedup": _filed(near_dedup.query),
 }
 
 ORACLES = {
