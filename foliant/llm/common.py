@@ -34,20 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
 ROW_GROUP_BYTES = 16 << 20
 
 
-#: Input bytes that a file of a small intermediate table, or of a result, stands for.
-FILE_BYTES = 64 << 20
-RESULT_FILES = 12
+#: Input bytes that a file of a result stands for, and one of a small intermediate table; the least of either.
+FILE_BYTES, RESULT_FILES = 64 << 20, 12
+SMALL_FILE_BYTES, SMALL_FILES = 256 << 20, 3
 
 
-def file_count(size: int, least: int = 4) -> int:
+def file_count(size: int) -> int:
     """Files of a small intermediate table of a job on that many bytes: few, as on local file systems Hadoop starts a process
     or more for each file and folder that a task makes, but more with more data."""
-    return max(least, size // FILE_BYTES)
+    return max(SMALL_FILES, size // SMALL_FILE_BYTES)
+
+
+def result_count(size: int) -> int:
+    """Files of a table that is as large as what it was made of."""
+    return max(RESULT_FILES, size // FILE_BYTES)
 
 
 def in_few_files(out: DataFrame, docs: DataFrame) -> DataFrame:
-    """A result that is as large as docs, in files of about FILE_BYTES of what was read; RESULT_FILES at least."""
-    return out.coalesce(file_count(input_bytes(docs), RESULT_FILES))
+    """A result that is as large as docs."""
+    return out.coalesce(result_count(input_bytes(docs)))
 
 
 #: Where the shared folder is a mounted file system: no checksum file beside each file. Holds for these writes only.

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import kernels as K
-from foliant.llm.common import RESULT_FILES, as_bytes, dealt, few, file_count, forget, input_bytes, saved, table
+from foliant.llm.common import as_bytes, dealt, few, file_count, forget, input_bytes, result_count, saved, table
 from foliant.llm.components import components
 
 SHINGLE = 5
@@ -179,7 +179,7 @@ def _pairs(k: int | None, percent: int):
 def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     source, files = docs.select("doc_id", as_bytes()), file_count(input_bytes(docs))
-    marked = saved(source.mapInArrow(_features, "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch binary"), "minhash", file_count(input_bytes(docs), RESULT_FILES))
+    marked = saved(source.mapInArrow(_features, "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch binary"), "minhash", result_count(input_bytes(docs)))
     limit = _limit(percent)
     classes = marked.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r"))
     nodes = saved(classes.select("k1", "k2", "n", F.col("r.doc_id").alias("node"), "r.bands", "r.sketch"), "classes", files)
@@ -199,7 +199,7 @@ def labelled(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     wanted = keep(members.select("node").distinct(), "candidates")
     found = source.withColumnRenamed("doc_id", "node").join(F.broadcast(wanted) if few(wanted) else wanted, "node", "left_semi")
-    sets = saved(found.select(F.col("node").alias("doc_id"), "text").mapInArrow(_emit_sets, "node long, shingles binary, parity binary"), "sets", file_count(input_bytes(docs), RESULT_FILES))
+    sets = saved(found.select(F.col("node").alias("doc_id"), "text").mapInArrow(_emit_sets, "node long, shingles binary, parity binary"), "sets", result_count(input_bytes(docs)))
     made.append(sets)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
