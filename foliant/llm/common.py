@@ -36,7 +36,7 @@ ROW_GROUP_BYTES = 16 << 20
 
 #: Input bytes that a file of a result stands for, and one of a small intermediate table; the least of either.
 FILE_BYTES, RESULT_FILES = 64 << 20, 12
-SMALL_FILE_BYTES, SMALL_FILES = 256 << 20, 3
+SMALL_FILE_BYTES, SMALL_FILES = 64 << 20, 3
 
 
 def file_count(size: int) -> int:
