@@ -6,6 +6,7 @@ height, width, data (rows one after another, no gaps).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,12 +14,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: Fixed value: tops closer than this belong to one row of text.
 ROW_TOLERANCE = 10
 #: Fixed value: the share of the wider of box and column by which they must overlap.
 COLUMN_OVERLAP = 0.45
+#: Boxes of whole pages that are put in order at once; a larger page is taken whole.
+PAGE_ROWS = 1 << 16
 #: Per channel mean and deviation of a detector's input, sizes of the other two inputs, and their padding.
 DET_MEAN, DET_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 CLS_SIZE, CLS_PADDING = (80, 160), -1.0
@@ -212,30 +216,85 @@ def in_columns(boxes: list[tuple[float, float, float, float]], right_to_left: bo
     """The order of boxes (x0, y0, x1, y1) by column, then from the top. Boxes are taken by their middles from the left;
     each joins the column that it overlaps most, by COLUMN_OVERLAP or more of the wider of the two, the first of
     several, or begins one. A column spans all its boxes, and is as wide as its widest."""
-    columns: list[list[float]] = []  # left, right, width
-    column = [0] * len(boxes)
-    for i in sorted(range(len(boxes)), key=lambda k: ((boxes[k][0] + boxes[k][2]) * 0.5, k)):
-        x0, _, x1, _ = boxes[i]
-        shares = [max(0.0, min(x1, c[1]) - max(x0, c[0])) / m if (m := max(x1 - x0, c[2])) > 0 else 0.0 for c in columns]
-        best = max(range(len(columns)), key=lambda k: (shares[k], -k), default=None)
-        if best is None or shares[best] < COLUMN_OVERLAP:
-            best = len(columns)
-            columns.append([x0, x1, x1 - x0])
-        c = columns[best]
-        columns[best] = [min(c[0], x0), max(c[1], x1), max(c[2], x1 - x0)]
-        column[i] = best
-    return sorted(range(len(boxes)), key=lambda k: (-column[k] if right_to_left else column[k], boxes[k][1], (boxes[k][1] + boxes[k][3]) * 0.5, k))
+    return _columns(np.zeros(min(len(boxes), 1), int), *np.array(boxes, float).reshape(-1, 4).T, right_to_left=right_to_left).tolist()
+
+
+def _columns(starts: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, right_to_left: bool) -> np.ndarray:
+    """in_columns() of many pages, which begin at starts: their boxes, page by page. A step takes a box of every page."""
+    sizes = np.diff(starts, append=len(x0))
+    page = np.repeat(np.arange(len(starts)), sizes)
+    column = np.zeros(len(x0), int)
+    with np.errstate(invalid="ignore"):
+        by_middle, width = np.lexsort(((x0 + x1) * 0.5, page)), x1 - x0
+        for group in _alike(sizes):
+            # left, right and width of the columns that a page may have
+            left, right, widest = (np.full((sizes[group[0]], len(group)), v) for v in (np.inf, -np.inf, 0.0))
+            count = np.zeros(len(group), int)
+            for step in range(sizes[group[0]]):
+                m = np.count_nonzero(sizes[group] > step)
+                at, own = by_middle[starts[group[:m]] + step], np.arange(m)
+                lo, hi, w = x0[at], x1[at], width[at]
+                n = max(count[:m].max(), 1)
+                a, b, c = left[:n, :m], right[:n, :m], widest[:n, :m]
+                over, most = np.where(b < hi, b, hi) - np.where(a > lo, a, lo), np.where(c > w, c, w)
+                shares = np.divide(over, most, out=np.zeros_like(over), where=(over > 0) & (most > 0) & (most < np.inf))
+                best = shares.argmax(axis=0)
+                begins = shares[best, own] < COLUMN_OVERLAP
+                best = np.where(begins, count[:m], best)
+                count[:m] += begins
+                a, b, c = left[best, own], right[best, own], widest[best, own]
+                left[best, own] = np.where(begins | (lo < a), lo, a)
+                right[best, own] = np.where(begins | (hi > b), hi, b)
+                widest[best, own] = np.where(begins | (w > c), w, c)
+                column[at] = best
+        return np.lexsort(((y0 + y1) * 0.5, y0, -column if right_to_left else column, page))
 
 
 def columns_in_order(boxes: DataFrame, right_to_left: bool = False) -> DataFrame:
-    """(page, idx, k): the place k of each box (page, idx, x0, y0, x1, y1) in its page, column by column."""
+    """(page, idx, k): the place k of each box (page, idx, x0, y0, x1, y1) in its page, column by column. Boxes of one
+    idx are taken by their sides."""
+    return _by_page(boxes, ["x0", "y0", "x1", "y1"], functools.partial(_columns, right_to_left=right_to_left))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("idx", kind="stable")
-        order = in_columns(list(zip(g.x0, g.y0, g.x1, g.y1, strict=True)), right_to_left)
-        return pd.DataFrame({"page": g.page.to_numpy()[order], "idx": g.idx.to_numpy()[order], "k": range(len(g))})
 
-    return boxes.groupBy("page").applyInPandas(run, f"page {boxes.schema['page'].dataType.simpleString()}, idx int, k int")
+def _alike(sizes: np.ndarray) -> list[np.ndarray]:
+    """The pages in groups whose sizes differ by less than a factor of two, the largest of a group first."""
+    order = np.argsort(-sizes, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(np.frexp(sizes[order] - 0.5)[1])) + 1) if len(order) else []
+
+
+def _by_page(boxes: DataFrame, sides: list[str], order: Callable[..., np.ndarray]) -> DataFrame:
+    """(page, idx, k) of boxes (page, idx, sides): order(starts, *sides) gives the boxes of whole pages, which lie one after
+    another by idx, page by page in their order. Many pages come to it at once; the page that a chunk ends in waits for
+    the rest of it."""
+    kind = boxes.schema["page"].dataType
+    nth = F.row_number().over(Window.partitionBy("page").orderBy(F.asc_nulls_last("idx"), *sides))
+    rows = boxes.select("page", F.col("idx").cast("int").alias("idx"), *[F.col(c).cast("double").alias(c) for c in sides]).withColumn("nth", nth)
+
+    def placed(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        values = [t.column(c).to_numpy() for c in sides]
+        k = np.arange(len(t)) - np.repeat(starts, np.diff(starts, append=len(t)))
+        out = t.select(["page", "idx"]).take(order(starts, *values)).append_column("k", pa.array(k, pa.int32()))
+        yield from out.combine_chunks().to_batches(PAGE_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, enough = [], 0, PAGE_ROWS
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n < enough:
+                continue
+            t = pa.Table.from_batches(held)
+            starts = np.flatnonzero(t.column("nth").to_numpy() == 1)
+            if starts[-1]:
+                yield from placed(t.slice(0, starts[-1]), starts[:-1])
+                t = t.slice(starts[-1])
+            held, n = t.to_batches(), len(t)
+            enough = max(PAGE_ROWS, 2 * n)
+        if n:
+            t = pa.Table.from_batches(held)
+            yield from placed(t, np.flatnonzero(t.column("nth").to_numpy() == 1))
+
+    return rows.mapInArrow(run, StructType([StructField("page", kind), StructField("idx", IntegerType()), StructField("k", IntegerType())]))
 
 
 def page_texts(lines: DataFrame, page: str = "page", place: str = "k", text: str = "text") -> DataFrame:
