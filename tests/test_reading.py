@@ -1,5 +1,6 @@
 """Reading order of many pages at once, against one box after another."""
 
+import itertools
 import random
 
 import pytest
@@ -56,6 +57,37 @@ def places(df):
     return sorted(df.collect(), key=lambda r: (r.page or "", r.k))
 
 
+def plain_rows(boxes):
+    """Places of boxes (x0, y0, x1, y1), each put in from the end."""
+    out = []
+    for i, (x, y, _, _) in enumerate(boxes):
+        at = len(out)
+        while at:
+            left, top = boxes[out[at - 1]][:2]
+            if x >= left if abs(y - top) < images.ROW_TOLERANCE else y >= top:
+                break
+            at -= 1
+        out.insert(at, i)
+    return out
+
+
+def test_rows_of_many_pages(boxes, pages):
+    by_top = {p: sorted(page, key=lambda b: (b[0], b[2], b[1])) for p, page in pages.items()}
+    want = [(p, page[i][0], k) for p, page in sorted(by_top.items(), key=lambda x: x[0] or "") for k, i in enumerate(plain_rows([b[1:] for b in page]))]
+    assert places(images.lines_in_order(boxes)) == want
+
+
+def test_rows_of_boxes_of_one_idx_do_not_depend_on_their_order(spark):
+    rows = [("p", 0, 17.0, 11.0), ("p", 0, 17.0, 17.0), ("p", 1, 16.0, 21.0)]  # the last is near the second only
+    got = {tuple(places(images.lines_in_order(spark.createDataFrame(p, "page string, idx int, x0 double, y0 double").selectExpr("*", "x0 + 5 AS x1", "y0 + 5 AS y1").coalesce(1)))) for p in itertools.permutations(rows)}
+    assert len(got) == 1
+
+
+def test_rows_of_a_page_without_numbers():
+    assert images.in_rows([0, float("nan"), 5], [3, 1, 1]) == plain_rows([(3, 0, 0, 0), (1, float("nan"), 0, 0), (1, 5, 0, 0)])
+    assert images.in_rows([], []) == []
+
+
 @pytest.mark.parametrize("right_to_left", [False, True])
 def test_columns_of_many_pages(boxes, pages, right_to_left):
     want = [(p, page[i][0], k) for p, page in sorted(pages.items(), key=lambda x: x[0] or "") for k, i in enumerate(plain_columns([b[1:] for b in page], right_to_left))]
